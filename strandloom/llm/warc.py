@@ -26,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import cut, fresh_path, table
 
 REVISIT_BYTES = 1000
 ROLL_BYTES, SHARD_BYTES, LEAST_SHARDS, BINS = 64 << 20, 64 << 20, 64, 4096
+MAX_BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _CRLF = b"\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,9 +120,11 @@ def with_shards(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[Dat
 def records_of(pages: DataFrame) -> DataFrame:
     """page_id, url, html, size, digest, refers_to (null: a response) of pages(page_id, url, html)."""
     body = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("*", F.octet_length("html").cast("long").alias("size"), F.sha1(F.encode("html", "utf-8")).alias("digest"))
-    # Only payloads that occur twice take part in the join; their copies are counted before they meet.
+    # Only payloads that occur twice take part in the join; their copies are counted before they meet. While they are
+    # at most MAX_BROADCAST_ROWS digests of 40 letters, pages needn't be shuffled for it.
     repeated = body.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = body.join(repeated, "digest", "left")
+    repeated = cut(repeated)
+    met = body.join(F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST_ROWS else repeated, "digest", "left")
     return met.select("page_id", "url", "html", "size", "digest", F.when((F.col("size") >= REVISIT_BYTES) & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
 
 
