@@ -27,7 +27,7 @@ from .common import free_name, remainder, table
 from .textbytes import NON_BLANK, prefix_hash, span_hash, text_chunks, window_hash, word_spans
 
 BITS, DIM, EPOCHS, RATE = 18, 8, 4, 0.4
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 THRESHOLD = 0.7
 _MASK = (1 << BITS) - 1
 
