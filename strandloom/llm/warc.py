@@ -50,7 +50,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     sha1 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     block = b"" if refers_to is not None else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id, digest)}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {_field(url)}"] * (url is not None) + [f"X-Page-Id: {page_id}"] * (page_id is not None)
+    head += [f"WARC-Target-URI: {_field(url or '')}"] * (url is not None) + [f"X-Page-Id: {page_id}"] * (page_id is not None)
     head += [f"WARC-Payload-Digest: {sha1}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]

@@ -1,0 +1,334 @@
+"""Each operator against brute force or a round trip on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import html as entities
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandloom.llm import chat, components, decontaminate, html_text, lm_score, media, mixing, pii, quality, simhash, warc
+
+WORDS = "alpha beta gamma delta Épsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ("hits", "score", "fp", "h", "spans", "candidates", "media", "text_hash", "mix_topic", "mix_kept", "no_id", "pii_text", "Score")
+
+
+def texts():
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    base = make(60)
+    out = [None, "", "   ", "one", "two words", base, base, base + " extra", make(30), "x" * 5000, make(4000), "a b c d e f g h i j", "mail bob@example.com or +1 (743) 555-3824, 10.0.0.1, 4111 1111 1111 1111 end"]
+    return out + [make(rng.randrange(1, 80)) for _ in range(40)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 3 else None, t, "en" if i % 3 else None, "s%d" % (i % 2) if i % 5 else None, None) for i, t in enumerate(texts())]
+    rows.append(rows[5])
+    return spark.createDataFrame(rows, DOC).withColumns({c: F.lit(1) for c in CLASH if c != "Score"}).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    t = texts()
+    return spark.createDataFrame([(1, " ".join(t[5].split()[10:25])), (2, "Two WORDS"), (3, None), (4, ""), (5, "nothing like this stands anywhere in the texts of the table here"), (None, " ".join(t[10].split()[:12])), (1, "alpha beta not there")], "item_id long, text string")
+
+
+def ref_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_decontamination(docs, bench, none, bound):
+    items = [("null" if r.item_id is None else str(r.item_id), ref_words(r.text)) for r in bench.collect()]
+    wins = {(i, tuple(w[k : k + min(10, len(w))])) for i, w in items if w for k in range(len(w) - min(10, len(w)) + 1)}
+
+    def brute(t):
+        w, hit, got = ref_words(t), set(), set()
+        for i, g in wins:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    got.add(i)
+        return len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest()
+
+    rows = decontaminate.hits(docs, bench, out="found", max_broadcast_bytes=bound).select("text", "found.*").collect()
+    assert len(rows) == docs.count()
+    assert all((r.n_words, r.n_hit, r.n_items, r.items_sha256) == brute(r.text) for r in rows)
+    assert any(r.contaminated for r in rows)
+    clean = decontaminate.decontaminate(docs, bench, max_broadcast_bytes=bound)
+    assert clean.columns == docs.columns and clean.count() == sum(not r.contaminated for r in rows)
+    cut = decontaminate.decontaminate(docs, bench, mode="span", max_broadcast_bytes=bound)
+    assert cut.count() == len(rows) and not any(brute(r.text)[1] for r in cut.where("doc_id in (5, 10)").select("text").collect())
+    assert decontaminate.hits(none, bench, out="found", max_broadcast_bytes=bound).count() == 0
+    assert not decontaminate.hits(docs, bench.where("false"), out="found", max_broadcast_bytes=bound).where("found.contaminated").count()
+
+
+def test_mixing(docs, none):
+    mixed = mixing.mix(docs.drop("mix_topic", "mix_kept"), budget=0.5)
+    rows = mixed.collect()
+    tokens = sum(r.mix_tokens for r in rows)
+    assert tokens == sum(len((r.text or "").split()) for r in rows)
+    assert abs(sum(r.mix_tokens * r.mix_probability for r in rows) / tokens - 0.5) < 1e-6
+    assert len(rows) == docs.count() and sorted(map(str, mixed.collect())) == sorted(map(str, rows))
+    a, b = (mixing.mix(docs, rounds=2, max_cells=m) for m in (0, 1000))
+    assert np.allclose(sorted(r._mix_probability if "_mix_probability" in r else r.mix_probability for r in a.collect()), sorted(r.mix_probability for r in b.collect()))
+    assert mixing.mix(none).count() == 0
+
+
+def test_raking_meets_the_targets():
+    cells = [(s, l, "t") for s in "ab" for l in ("en", "de")]
+    w = mixing.rake(cells, np.array([10, 20, 30, 40]), [{"a": 0.5, "b": 0.5}, {"en": 0.7, "de": 0.3}, {"t": 1.0}])
+    assert abs(w[0] + w[1] - 0.5) < 1e-9 and abs(w[0] + w[2] - 0.7) < 1e-9
+    p = mixing.probabilities(w, np.array([10, 20, 30, 40]), 0.9)
+    assert (p <= 1).all() and abs((p * [10, 20, 30, 40]).sum() - 90) < 1e-9
+
+
+FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(t):
+    def good(k, m):
+        d = re.sub("[^0-9]", "", m)
+        if k == "card":
+            return 16 <= len(d) <= 19 and sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(d[::-1])) % 10 == 0
+        return all(int(x) <= 255 for x in m.split(".")) if k == "ip" else 8 <= len(d) <= 15 if k == "phone" else True
+
+    return [(k, m.start(), m.end()) for k in FORMS for m in re.finditer(FORMS[k], t or "") if good(k, m[0])]
+
+
+def test_pii(spark, docs, none):
+    rng = random.Random(9)
+    odd = ["a@b.c_x@d.e@f.g h%@i-.j", "1.2.3.4.5.6.7.8 256.1.1.1 0.00.000.255", "4111-1111 1111 1111-2", "+1+12345678 +1((((( +49 (0)30 1234567 5", "é" * 30 + "x@y.zz", "@.@.a@b", "a" * 50000, "1 " * 20000, 'token = "abcdef0123456789"', "call (743) 555-3824 now"]
+    odd += ["".join(rng.choice("ab1290.@+- ()é_%") for _ in range(80)) for _ in range(300)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(odd + texts())], "doc_id long, text string")
+    for r in pii.candidates(frame).select("text", F.filter("candidates", lambda s: s["base"]).alias("b")).collect():
+        got = [(pii.KINDS[s.kind], s.start, s.end) for s in r.b]
+        assert sorted(got) == sorted(base_spans(r.text)), r.text[:200]
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert "bob@example.com" not in out.where("doc_id = 12").first().text and "[EMAIL]" in out.where("doc_id = 12").first().text
+    assert pii.find(none, out="found").count() == 0 and pii.redact(docs.where("text is null")).first().text is None
+
+
+def test_quality_learns_and_scores_all(spark, docs, none):
+    rng = random.Random(3)
+    good, bad = (lambda: " ".join(rng.choice(WORDS) for _ in range(50))), (lambda: " ".join(rng.choice(WORDS).upper() + "!!" for _ in range(50)))
+    rows = [(i, good() if i % 3 else bad()) for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(240)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    scored = {r.doc_id: r.score for r in quality.score(frame, model).collect()}
+    assert all((scored[i] > 0.7) == bool(i % 3) for i in range(240))
+    again = quality.score(docs, model, out="_score").collect()
+    assert len(again) == docs.count() and all(0 <= r._score <= 1 for r in again)
+    same = {}
+    assert all(same.setdefault(r.text or "", r._score) == r._score for r in again)
+    assert quality.score(none, model, out="_score").count() == 0
+    assert quality.score(docs, quality.fit(docs, labels.where("false")), out="_score").first()._score == 0.5
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+@pytest.mark.parametrize("most", [lm_score.MAX_VOCAB, 5])
+def test_lm_base_score(docs, none, most):
+    train = docs.where("doc_id % 3 <> 1").select("text")
+    tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</s>"]
+    from collections import Counter
+
+    c = Counter(w for r in train.collect() for w in tok(r.text))
+    n, v = sum(c.values()), len(c)
+    rows = lm_score.score(docs, train, max_vocab=most).collect()
+    want = sorted((len(w), sum(c[x] > 0 for x in w), round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for w in (tok(r.text) for r in docs.collect()))
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want
+    assert all(r.train_tokens == n and r.score < 0 for r in rows)
+    assert lm_score.score(none, train).count() == 0
+
+
+def test_lm_is_a_distribution():
+    """Probabilities of all one-byte continuations of a text, and of its end, sum to 1."""
+    code = lm_score.Code(np.arange(257) % 7)
+    rng = np.random.default_rng(1)
+    mixer = lm_score.Mixer(code, [rng.normal(0, 1, 1 << b).astype(np.float32) for b in (8, 8, 8)])
+    mixer.tables = [t for t in mixer.tables]
+    symbols = [bytes([b]) for b in range(256)]
+    # P(byte b, then the end) / P(the end after b) is P(b); summed in log space over the first symbol's bits instead:
+    first = []
+    for s in symbols + [b""]:
+        data = np.frombuffer(s, np.uint8)
+        whole = mixer.run(data, np.array([0, len(data)]))[0]
+        first.append((s, whole))
+    paths = {s: p for s, p in first}
+    end = np.exp(paths[b""])
+    assert 0 < end < 1 and all(p < 0 for p in paths.values())
+    lengths = code.length.astype(int)
+    assert abs(sum(2.0**-x for x in lengths) - 1) < 1e-9  # a full code: each bit's two probabilities sum to 1
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "<p>" + "y" * 1200
+    rows = [(1, "http://a/ b\r\nX: y", big), (7, None, big), (7, None, big), (3, "u", "small"), (4, "u", "small"), (None, "u", None), (9, "u", ""), (8, "ü", big + "é"), (None, "n", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write(pages, folder, roll_bytes=500).collect()
+    got = sorted((tuple(r)[:5] for r in warc.read(spark, folder).collect()), key=str)
+    want = []
+    for p, _, h in rows:
+        b = (h or "").encode()
+        peers = [x[0] for x in rows if x[2] == h and x[0] is not None]
+        last = max(peers, default=None)
+        revisit = len(b) >= 1000 and p != last
+        want.append((p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
+    assert got == sorted(want, key=str)
+    assert sum(r.records for r in manifest) == len(rows) and not list(tmp_path.glob("w/data/_*"))
+    again = warc.write(pages.repartition(3), f"file://{tmp_path}/w2", roll_bytes=500).collect()
+    assert sorted((r.file, r.sha256) for r in again) == sorted((r.file, r.sha256) for r in manifest)
+    assert warc.read(spark, (warc.write(pages.where("false"), f"file://{tmp_path}/w3"), f"file://{tmp_path}/w3")[1]).count() == 0
+
+
+def ref_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(fps):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash(docs, none):
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == docs.count()
+    data = docs.select("doc_id", "text").collect()
+    fps = [ref_fingerprint(r.text) for r in data]
+    comp = brute_components(fps)
+    least = {c: min((data[i].doc_id for i in range(len(data)) if comp[i] == c and data[i].doc_id is not None), default=None) for c in set(comp)}
+    want = sorted(((r.doc_id, f - (1 << 64) if f >> 63 else f, least[c]) for r, f, c in zip(data, fps, comp)), key=str)
+    assert sorted((tuple(r) for r in rows), key=str) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(comp))
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_simhash_links_find_every_pair(spark):
+    """Planted fingerprints at distances 1 to 4, and a dense ball, against all pairs."""
+    rng = random.Random(11)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for f in list(fps)[:25]:
+        for d in (1, 2, 3, 4):
+            for b in (s := rng.sample(range(64), d)):
+                f ^= 1 << b
+            fps.add(f)
+            for b in s:
+                f ^= 1 << b
+    centre = rng.getrandbits(64)
+    fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 3))) for _ in range(120)}
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"))
+    got = links.collect()
+    assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 3 for r in got)
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    mine = {}
+    for f in fps:
+        mine.setdefault(roots.get(signed(f), signed(f)), set()).add(f)
+    comp = brute_components(fps)
+    want = {}
+    for f, c in zip(fps, comp):
+        want.setdefault(c, set()).add(f)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(5, 5)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, **{x: 100 for x in range(101, 160)}}
+
+
+def test_media(docs, none):
+    stored = media.store(docs, out="wav")
+    for r in media.sniff(stored, "wav", out="seen").select("text", "wav", "seen").collect():
+        raw = (r.text or "").encode()
+        samples = bytes(media.wave_samples(memoryview(bytes(r.wav))))
+        assert samples[: len(raw)] == raw and not any(samples[len(raw) :]) and len(samples) % 64 == 0 and samples
+        assert r.seen.type == "audio/wav" and [tuple(x) for x in r.seen.found] == [("audio/wav", 0, len(r.wav))]
+    assert media.store(none, out="wav").count() == 0
+
+
+def test_carving_of_embedded_media(spark):
+    import gzip
+    import io
+    import struct
+    import zipfile
+
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "hello")
+    parts = [png, media.wave(b"\x80" * 64), gif, gzip.compress(b"hello" * 50), box.getvalue()]
+    blob, want = b"junk RIFF %PDF- GIF89a \xff\xd8\xff", []
+    for kind, part in zip(("image/png", "audio/wav", "image/gif", "application/gzip", "application/zip"), parts):
+        want.append((kind, len(blob), len(part)))
+        blob += part + b"between PK\x03\x04"
+    frame = spark.createDataFrame([(bytearray(blob), "image/jpeg"), (bytearray(png), "image/jpeg"), (None, None)], "media binary, declared string")
+    rows = media.sniff(frame, declared="declared").collect()
+    assert [tuple(x) for x in rows[0].sniffed.found] == want and rows[0].sniffed.type is None
+    assert (rows[1].sniffed.type, rows[1].sniffed.corrected) == ("image/png", True) and rows[2].sniffed.found == []
+    carved = [bytes(r.carved) for r in media.embedded(media.sniff(frame).limit(1)).collect()]
+    assert carved == parts
+
+
+def test_html():
+    rng = random.Random(4)
+    for _ in range(50):
+        blocks = [" ".join(rng.choice(WORDS + ["<b>x</b>y", "&amp;lt;", "a &lt; b"]) for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 9))]
+        body = "".join(f"<p>{b}\n </p>" if rng.random() < 0.7 else f"<p>{b}<br>" for b in blocks)
+        page = f"<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/x>Menu</a></ul></nav><!-- <p>no</p> --><article><h1>Head</h1>{body}<aside>Side</aside></article><div class='comments'><p>{'comment ' * 40}</p></div><form><label>Name</label></form><footer>F</footer></body></html>"
+        want = " ".join(["Head", *(" ".join(entities.unescape(re.sub("</?b>", "", b)).split()) for b in blocks)])
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>a</nav>") == ""
+    plain = "<body><div id=menu>Home</div><div class=text>" + "".join(f"<p>{'word ' * 30}</p><p>Short.</p>" for _ in range(3)) + "</div><div class='sidebar'><p>Other</p></div></body>"
+    assert html_text.main_text(plain) == " ".join(["word " * 29 + "word", "Short."] * 3)
+
+
+def test_chat(spark):
+    tricky = ["", None, "\\", "<|end|>\n", "a\\<|turn|>b", "<", "|x", "\\\\|", "<\\|end|>", "é<|text|>\n"]
+    rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", None, "assistant", "system"] * 2, tricky))]
+    frame = spark.createDataFrame(rows + rows[:2], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(frame)
+    for r in done.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("t"), F.transform("loss_spans", lambda s: chat.unescape(F.substring("formatted", s["start"] + 1, s["size"]))).alias("loss")).collect():
+        want = sorted(((t, a or "", x or "") for c, t, a, x in rows + rows[:2] if c == r.conv_id))
+        assert [(x.role, x.content) for x in r.t] == [w[1:] for w in want]
+        assert r.loss == [w[2] for w in want if w[1] == "assistant"]
+    assert chat.format_conversations(frame.where("false")).count() == 0
+
+
+def test_chat_parts(spark):
+    parts = [("text", "see <|", None, None), ("image", None, "i.png", None), (None, "then", None, None), ("audio", None, "a.wav", 2.0), None]
+    frame = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    r = chat.format_conversations(frame, parts="parts").first()
+    assert r.formatted == "<|turn|>user<|text|>see <\\|<|image:0|>then<|audio:1|><|end|>\n<|turn|>assistant<|text|><|end|>\n"
+    assert [(a.type, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 576), ("audio", "a.wav", 52)] and r.expanded_tokens == 628
