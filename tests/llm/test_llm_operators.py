@@ -5,6 +5,7 @@ import html as entities
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -155,23 +156,53 @@ def test_lm_base_score(docs, none, most):
 
 
 def test_lm_is_a_distribution():
-    """Probabilities of all one-byte continuations of a text, and of its end, sum to 1."""
-    code = lm_score.Code(np.arange(257) % 7)
+    """Probabilities of all words of the code sum to 1 in any context, and so do those of all bytes and the stop."""
+    counts = np.array([8, 4, 2, 16, 4, 9])
+    seen = np.append(np.arange(256) % 7, 5)
+    code = lm_score.Code(np.arange(6), counts, int(counts.sum()) + 12, seen)
+    assert code.words == 8 and (code.symbol > lm_score.ESCAPE).all()
     rng = np.random.default_rng(1)
-    mixer = lm_score.Mixer(code, [rng.normal(0, 1, 1 << b).astype(np.float32) for b in (8, 8, 8)])
-    mixer.tables = [t for t in mixer.tables]
-    symbols = [bytes([b]) for b in range(256)]
-    # P(byte b, then the end) / P(the end after b) is P(b); summed in log space over the first symbol's bits instead:
-    first = []
-    for s in symbols + [b""]:
-        data = np.frombuffer(s, np.uint8)
-        whole = mixer.run(data, np.array([0, len(data)]))[0]
-        first.append((s, whole))
-    paths = {s: p for s, p in first}
-    end = np.exp(paths[b""])
-    assert 0 < end < 1 and all(p < 0 for p in paths.values())
-    lengths = code.length.astype(int)
-    assert abs(sum(2.0**-x for x in lengths) - 1) < 1e-9  # a full code: each bit's two probabilities sum to 1
+    tables = [rng.normal(0, 1, n).astype(np.float32) for n in code.sizes()]
+    # Leaves that no symbol has take a share of their own, so the sum is 1 only over a code's whole tree.
+    for low, high, spelled in ((0, code.words, 0), (code.words, code.words + 257, 1)):
+        symbols = np.arange(low, high)
+        n = len(symbols)
+        one = SimpleNamespace(symbol=symbols, row=np.arange(n), place=np.zeros(n, np.int64), spelled=np.full(n, spelled, np.int8), hashed=[np.full(n, 77, np.uint32)] * 3)
+        length = code.length[symbols].astype(int)
+        used = sum(2.0**-x for x in length)
+        p = np.exp(lm_score.Mixer(code, tables).run(one, n))
+        assert (p > 0).all() and p.sum() <= 1 + 1e-5
+        even = np.exp(lm_score.Mixer(code, [np.zeros_like(t) for t in tables]).run(one, n))
+        assert abs(even.sum() - used) < 1e-3 and used <= 1
+
+
+def test_lm_symbols_spell_rare_words():
+    """Vocabulary words are one symbol; others are an escape, their bytes and a stop; each row ends."""
+    words = b"alpha beta alpha beta alpha"
+    h = np.unique(lm_score.token_spans(np.frombuffer(words, np.uint8), np.array([0, len(words)]))[0])
+    code = lm_score.Code(np.sort(h), np.array([3, 2]), 9, np.append(np.ones(256, int), 2))
+    data = b"Alpha xy BETA"
+    s = lm_score.Symbols(np.frombuffer(data, np.uint8), np.array([0, 0, len(data)]), np.sort(h), code)
+    known = [int(x) for x in s.symbol]
+    assert known[0] == lm_score.END and s.row.tolist() == [0] + [1] * 7
+    assert known[2:6] == [lm_score.ESCAPE, code.words + ord("x"), code.words + ord("y"), code.words + lm_score.STOP]
+    assert {known[1], known[6]} == {2, 3} and known[7] == lm_score.END and s.place.tolist() == [0, *range(7)]
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Texts of a chain of words: the word before tells the next, which the base can't know."""
+    rng = random.Random(8)
+    follow = {w: rng.sample(WORDS, 3) for w in WORDS}
+
+    def text():
+        out = [rng.choice(WORDS)]
+        for _ in range(60):
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    rows = lm_score.score(docs.where("doc_id >= 300"), docs.where("doc_id < 300").select("text")).collect()
+    assert sum(r.score for r in rows) > 0.7 * sum(r.base_score for r in rows)
 
 
 def test_warc_round_trip(spark, tmp_path):
