@@ -162,7 +162,7 @@ def test_lm_is_a_distribution():
     code = lm_score.Code(np.arange(6), counts, int(counts.sum()) + 12, seen)
     assert code.words == 8 and (code.symbol > lm_score.ESCAPE).all()
     rng = np.random.default_rng(1)
-    tables = [rng.normal(0, 1, n).astype(np.float32) for n in code.sizes()]
+    tables = [rng.integers(-60, 60, n).astype(np.int8) for n in code.sizes()]
     # Leaves that no symbol has take a share of their own, so the sum is 1 only over a code's whole tree.
     for low, high, spelled in ((0, code.words, 0), (code.words, code.words + 257, 1)):
         symbols = np.arange(low, high)
