@@ -10,7 +10,8 @@ a table, one dimension after the other, cut by checkpoints. Documents are never
 
 Defined cases: a null source or language is a value of its own; a text without words has no token and is kept at its
 cell's probability; equal doc_ids with equal texts share their fate; targets for values that don't occur are ignored
-and the rest scaled; values without a target share what the named ones leave, by their tokens; an empty table gives none.
+and the rest scaled; values without a target (null, or any not named) share what all targets leave, by their tokens, but
+have their natural share at least, for which the named ones are scaled down; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def topic_of(text: Column) -> Column:
     )
 
 
+def left_over(target: dict, unnamed: int, everything: int) -> float:
+    """The share of values without a target: what the targets leave, and their natural share at least."""
+    return max(1 - sum(target.values()), unnamed / everything) if unnamed else 0.0
+
+
 def shares(totals: dict, target: dict | float) -> dict:
     """Target shares that sum to 1 over the values that occur: a power of the natural share, or named ones."""
     everything = sum(totals.values())
@@ -58,8 +64,10 @@ def shares(totals: dict, target: dict | float) -> dict:
     if isinstance(target, dict):
         named = {v: target[v] for v in totals if v in target}
         rest = {v: n for v, n in totals.items() if v not in target}
-        left = max(0.0, 1 - sum(named.values())) if sum(rest.values()) else 0.0
-        raw = named | {v: left * n / max(1, sum(rest.values())) for v, n in rest.items()}
+        unnamed = sum(rest.values())
+        left = left_over(target, unnamed, everything)
+        fit = (1 - left) / (sum(named.values()) or 1)
+        raw = {v: x * fit for v, x in named.items()} | {v: left * n / max(1, unnamed) for v, n in rest.items()}
     else:
         raw = {v: (n / everything) ** target if n else 0.0 for v, n in totals.items()}
     scale = sum(raw.values())
@@ -153,9 +161,9 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, to
                 named = {v: x for v, x in targets[k].items()}
                 known = F.coalesce(F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[F.col("value")], F.lit(None).cast("double")) if named else F.lit(None).cast("double")
                 s = totals.select("value", "n", known.alias("t"))
-                sums = s.agg(F.sum("t").alias("t"), F.sum(F.when(F.col("t").isNull(), F.col("n"))).alias("n")).first()
-                left = max(0.0, 1 - (sums.t or 0.0)) if sums.n else 0.0
-                raw = s.select("value", F.coalesce("t", F.col("n") * F.lit(left / max(1, sums.n or 0))).alias("share"))
+                sums = s.agg(F.sum("t").alias("t"), F.sum(F.when(F.col("t").isNull(), F.col("n"))).alias("n"), F.sum("n").alias("everything")).first()
+                left = left_over(named, sums.n or 0, sums.everything or 1)
+                raw = s.select("value", F.coalesce(F.col("t") * F.lit((1 - left) / (sums.t or 1)), F.col("n") * F.lit(left / max(1, sums.n or 0))).alias("share"))
             else:
                 raw = totals.select("value", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(targets[k]))).otherwise(0.0).alias("share"))
             scale = raw.agg(F.sum("share")).first()[0] or 1.0

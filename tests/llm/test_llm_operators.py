@@ -87,6 +87,18 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [mixing.MAX_CELLS, 0])
+def test_mixing_keeps_languages_without_a_target(spark, most):
+    """All four named languages occur; null and a fifth have their natural share, not none."""
+    langs = ["en", "de", "fr", "es", None, "it"]
+    docs = spark.createDataFrame([(i, "w " * 20, langs[i % 6], "s") for i in range(600)], "doc_id long, text string, lang string, source string")
+    rows = mixing.mix(docs, budget=0.2, max_cells=most, rounds=3).collect()
+    mass = {x: sum(r.mix_tokens * r.mix_probability for r in rows if r.lang == x) for x in langs}
+    assert abs(mass[None] - mass["it"]) < 1e-6 and abs(mass[None] / sum(mass.values()) - 1 / 6) < 1e-6
+    assert abs(mass["en"] / mass["de"] - 0.55 / 0.15) < 1e-6
+    assert {r.lang for r in rows if r.mix_kept} == set(langs)
+
+
 def test_raking_meets_the_targets():
     cells = [(s, l, "t") for s in "ab" for l in ("en", "de")]
     w = mixing.rake(cells, np.array([10, 20, 30, 40]), [{"a": 0.5, "b": 0.5}, {"en": 0.7, "de": 0.3}, {"t": 1.0}])
