@@ -1,9 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line's weight is its length, or nothing if it stands in
-a menu, form, advert or the like, or is mostly links. Weights are summed over windows of WINDOW lines; the text
-surges where a sum first reaches the threshold and dives where sums are back at nothing, and the lines between are
-kept, with the runs' short lines. On pages that mark their article, only its lines have weight and every run of them is text.
+Markup is stripped into lines, one for each block element. A line's weight is its length, times ARTICLE in an article
+or main element, times LOW if a class name or id speaks of other parts or most of it is links, and nothing in a menu,
+form, advert or hidden element. Weights are summed over windows of WINDOW lines, which don't reach across an article's
+edge; the text surges in a run where a sum reaches the threshold, and the run dives where sums are back at nothing or at
+such an edge. Beside articles, other runs must reach the part RIVAL of the largest sum. The runs' lines of full weight
+are chosen, and so is every line with weight that stands in an element that holds chosen lines: short or set apart,
+lists of links, sections with such names.
 
 Each page is handled alone, by regular expressions that take time in proportion to its length, so nothing is shuffled.
 
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 from .common import table
 
 WINDOW, LEAST, SHARE, LINKS = 3, 80, 0.15, 0.6
+ARTICLE, LOW, RIVAL = 4, 0.05, 0.5
 
 # Elements of HTML by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -30,8 +34,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUTSIDE = frozenset("nav aside footer form menu dialog button select fieldset".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|head|audio|video"
-#: Parts of class names and ids that mark what isn't the article.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|sidebar|side|widget|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|recommendations|trending|comments?|commentlist|replies|reply|discussion|disqus|responses|login|search|skip|copyright|legal|disclaimer|toc)(?=$|[\s_-])", re.I)
+#: Elements that hold text in a parent that holds more of it.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote".split())
+#: Parts of class names and ids that no part of an article has, and those that sections of one may have, too.
+MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|paywall|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|sidebar|widget|masthead|topbar|toolbar|share|sharing|social|recommended|recommendations|trending|commentlist|disqus|login)(?=$|[\s_-])", re.I)
+FAINT_MARKS = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|footer|header|related|comments?|replies|reply|discussion|responses|search|skip|copyright|legal|disclaimer|toc)(?=$|[\s_-])", re.I)
 ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|content|text))?(?=$|\s)", re.I)
 
 _RAW_OPEN = re.compile(rf"<({RAW})\b[^>]*>", re.I)
@@ -61,10 +68,14 @@ def _without_raw(page: str) -> str:
     return "".join(out)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside the article's kind of text, in an article) of each block."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, outside, article
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int, bool]], list[int]]:
+    """(text, characters in links, level, article's number or 0, element's number, whether it is a leaf) of each block, and the elements' parents.
+
+    Level: 0 text, 1 a part that may be of the article, 2 outside it. The page and its body are number 0.
+    """
+    out: list[tuple[str, int, int, int, int, bool]] = []
+    stack: list[tuple[str, int, int, int]] = []  # element, level, article, number
+    up = [0]
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -72,8 +83,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append((text, links, outside, article))
+            name, level, article, number = stack[-1] if stack else ("body", 0, 0, 0)
+            out.append((text, links, level, article, number, name in LEAVES))
         parts.clear()
         links = 0
 
@@ -108,9 +119,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            elif m[3] and name not in VOID and _outside(name, m[3], stack):
+            elif m[3] and name not in VOID and _level(name, m[3], stack) == 2:
                 flush()
-                stack.append((name, True, stack[-1][2] if stack else False))
+                up.append(stack[-1][3] if stack else 0)
+                stack.append((name, 2, stack[-1][2] if stack else 0, len(up) - 1))
             continue
         flush()
         if name in VOID:
@@ -124,54 +136,68 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if not outside and _outside(name, m[3], stack):
-            outside = True
-        if name in ("article", "main") and not outside:
-            article = True
-        stack.append((name, outside, article))
+        _, level, article, parent = stack[-1] if stack else ("", 0, 0, 0)
+        level = max(level, _level(name, m[3], stack))
+        number = 0
+        if name not in ("html", "body"):
+            number = len(up)
+            up.append(parent)
+        if name in ("article", "main") and level < 2:
+            article = number
+        stack.append((name, level, article, number))
     say(page[at:])
     flush()
-    return out
+    return out, up
 
 
-def _outside(name: str, attributes: str, stack: list[tuple[str, bool, bool]]) -> bool:
-    inside_article = bool(stack) and stack[-1][2]
+def _level(name: str, attributes: str, stack: list[tuple[str, int, int, int]]) -> int:
+    inside_article = bool(stack) and stack[-1][2] > 0
     if name in OUTSIDE or name == "header" and not inside_article:
-        return True
+        return 2
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    level = 0
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if key == "role" and value.lower() in OUTSIDE_ROLES:
-            return True
-        if key in ("class", "id") and MARKS.search(value) and not ARTICLE_MARKS.search(value):
-            return not (name.startswith("h") and name[1:].isdigit())
-    return False
+            return 2
+        if key in ("class", "id") and not (name.startswith("h") and name[1:].isdigit()) and not ARTICLE_MARKS.search(value):
+            level = max(level, 2 if MARKS.search(value) else 1 if FAINT_MARKS.search(value) else 0)
+    return level
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marked = any(article and not outside for _, _, outside, article in lines)
-    weight = [0 if outside or marked and not article or not marked and links > LINKS * len(text) else len(text) for text, links, outside, article in lines]
+    lines, up = lines_of(page or "")
+    low = [level == 1 or links > LINKS * len(text) for text, links, level, _, _, _ in lines]
+    weight = [0 if level == 2 else len(text) * (ARTICLE if article else 1) * (LOW if faint else 1) for (text, _, level, article, _, _), faint in zip(lines, low)]
     if not any(weight):
         return ""
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    surge = 0 if marked else min(LEAST, SHARE * max(sums))
-    kept, i = [], 0
+    area = [line[3] for line in lines]
+    sums = [sum(w for w, a in zip(weight[i : i + WINDOW], area[i : i + WINDOW]) if a == area[i]) for i in range(len(weight))]
+    top = max(sums)
+    surge = min(LEAST, SHARE * top)
+    rival = max(surge, RIVAL * top) if any(w and a for w, a in zip(weight, area)) else surge
+    surged: list[int] = []
+    i = 0
     while i < len(lines):
-        if not sums[i]:
-            i += 1
-            continue
-        end = i
-        while end < len(lines) and sums[end]:
-            end += 1  # the dive: a whole window without text
-        if max(sums[i:end]) > surge:
-            kept += [lines[k][0] for k in range(i, end) if weight[k]]
+        end = i + 1
+        if sums[i]:
+            while end < len(lines) and sums[end] and area[end] == area[i]:
+                end += 1  # the dive: a whole window without text, or an article's edge
+            if max(sums[i:end]) >= (surge if area[i] else rival):
+                surged += [k for k in range(i, end) if weight[k]]
         i = end
-    return " ".join(kept)
+    # Marked parts alone are text only where there is nothing else.
+    chosen = {k for k in surged if not low[k]} or {k for k in surged if lines[k][2] == 1}
+    holds = {x for k in chosen for x in (lines[k][3], lines[k][4], up[lines[k][4]] if lines[k][5] else lines[k][4])}
+    within = [False] * len(up)
+    for e in range(1, len(up)):
+        within[e] = e in holds or within[up[e]]
+    beside = {up[lines[k][4]] for k in chosen if lines[k][5]}
+    kept = (k for k in range(len(lines)) if k in chosen or weight[k] and (within[lines[k][4]] or not low[k] and lines[k][5] and up[lines[k][4]] in beside))
+    return " ".join(lines[k][0] for k in kept)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

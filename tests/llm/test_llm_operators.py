@@ -357,6 +357,14 @@ def test_html():
     assert html_text.main_text(plain) == " ".join(["word " * 29 + "word", "Short."] * 3)
 
 
+def test_html_finds_the_text_beside_a_marked_teaser():
+    """An article element is one contribution to weight: it doesn't rule out a larger text, and small ones beside a large article go."""
+    text = " ".join(["word " * 99 + "word"] * 5)
+    page = "<body><article><p>Teaser card.</p></article><div>" + f"<p>{'word ' * 100}</p>" * 5 + "</div></body>"
+    assert html_text.main_text(page).endswith(text)
+    assert html_text.main_text("<body><article>" + f"<p>{'word ' * 100}</p>" * 5 + "</article><div><p>Other pages.</p></div></body>") == text
+
+
 def test_chat(spark):
     tricky = ["", None, "\\", "<|end|>\n", "a\\<|turn|>b", "<", "|x", "\\\\|", "<\\|end|>", "é<|text|>\n"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", None, "assistant", "system"] * 2, tricky))]
