@@ -365,6 +365,16 @@ def test_html_finds_the_text_beside_a_marked_teaser():
     assert html_text.main_text("<body><article>" + f"<p>{'word ' * 100}</p>" * 5 + "</article><div><p>Other pages.</p></div></body>") == text
 
 
+def test_html_reads_attributes_by_name_and_keeps_marked_parts_of_the_text():
+    long = "word " * 60
+    for inner in ('<section id="discussion"><p>Part.</p></section>', '<p id="legal">Part.</p>', '<div id="responses">Part.</div>', '<p style="overflow:hidden">Part.</p>', '<p title="hidden gems">Part.</p>', '<p data-hidden=1>Part.</p>', '<p><a href=x>Part.</a></p>', "<aside>a<br>b<br>c</aside><p>Part.</p><aside>a<br>b<br>c</aside>"):
+        for tag in ("article", "div"):
+            page = f"<body><nav>Menu</nav><{tag}><p>{long}</p>{inner}<p>{long}</p><p>A <span class=\"search-hit\">hit</span> here.</p></{tag}><footer>F</footer></body>"
+            assert html_text.main_text(page) == f"{long}Part. {long}A hit here.", (tag, inner)
+    for inner in ('<p hidden>No.</p>', '<p aria-hidden="true">No.</p>', '<div class="ad">No.</div>', '<div role=search>No.</div>'):
+        assert html_text.main_text(f"<article><p>{long}</p>{inner}</article>") == long.strip()
+
+
 def test_chat(spark):
     tricky = ["", None, "\\", "<|end|>\n", "a\\<|turn|>b", "<", "|x", "\\\\|", "<\\|end|>", "é<|text|>\n"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", None, "assistant", "system"] * 2, tricky))]
