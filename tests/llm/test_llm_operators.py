@@ -188,6 +188,28 @@ def test_lm_is_a_distribution():
         assert abs(even.sum() - used) < 1e-3 and used <= 1
 
 
+def test_lm_learns_within_short_texts():
+    """A text of 300 symbols that contradicts the tables: weights and map follow it, whatever rows stand beside it."""
+    counts = np.array([8, 4, 2, 16, 4, 9])
+    code = lm_score.Code(np.arange(6), counts, int(counts.sum()) + 12, np.append(np.arange(256) % 7, 5))
+    rng = np.random.default_rng(2)
+    mixer = lm_score.Mixer(code, [rng.integers(-60, 60, n).astype(np.int8) for n in code.sizes()])
+
+    def run(*texts):
+        size = [len(t) for t in texts]
+        n = sum(size)
+        one = SimpleNamespace(symbol=np.concatenate(texts), row=np.repeat(np.arange(len(texts)), size), place=np.concatenate([np.arange(x) for x in size]), spelled=np.zeros(n, np.int8), hashed=[np.full(n, 77, np.uint32)] * 3)
+        return mixer.run(one, len(texts))
+
+    symbols = min((np.full(300, x) for x in range(code.words)), key=lambda t: run(t[:1])[0])
+    alone, start = run(symbols)[0], run(symbols[:1])[0]
+    assert alone > 0.9 * 300 * start
+    assert abs(run(symbols[:40], symbols, symbols[::2])[1] - alone) < 1e-9
+    # What comes later changes nothing before it.
+    ends = [run(np.append(symbols[:100], x))[0] for x in range(code.words)]
+    assert sum(np.exp(e - run(symbols[:100])[0]) for e in ends) <= 1 + 1e-5
+
+
 def test_lm_symbols_spell_rare_words():
     """Vocabulary words are one symbol; others are an escape, their bytes and a stop; each row ends."""
     words = b"alpha beta alpha beta alpha"
