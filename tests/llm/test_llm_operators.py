@@ -210,6 +210,24 @@ def test_lm_learns_within_short_texts():
     assert sum(np.exp(e - run(symbols[:100])[0]) for e in ends) <= 1 + 1e-5
 
 
+def test_lm_tables_hold_all_training_rows(spark):
+    """The texts that starting weights are fitted on, and all their copies, count in the tables that score."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(12)) for _ in range(60)] + [None, ""]
+    train = spark.createDataFrame([(t,) for i, t in enumerate(texts) for _ in range(1 + i % 4)], "text string")
+    sample, rest = lm_score.mixing_sample(train)
+    assert sample and rest.count() + sum(n for _, n in sample) == train.count()
+    data = np.frombuffer("".join(f"{t or ''} " for (t,) in train.collect()).encode(), np.uint8)
+    hashes, counts = np.unique(lm_score.token_spans(data, np.array([0, len(data)]))[0], return_counts=True)
+    code = lm_score.Code(hashes, counts, int(counts.sum()) + 200, np.append(np.bincount(data, minlength=256), 200))
+    want = [np.zeros(2 * n, np.uint32) for n in code.sizes()]
+    for (t,) in train.collect():
+        one = np.frombuffer((t or "").encode(), np.uint8)
+        lm_score.count_bits(one, np.array([0, len(one)]), hashes, code, want)
+    tables = lm_score.learned(train, hashes, code).tables
+    assert all((tables[k] == lm_score.log_odds(want[k])).all() for k in (1, 2))
+
+
 def test_lm_symbols_spell_rare_words():
     """Vocabulary words are one symbol; others are an escape, their bytes and a stop; each row ends."""
     words = b"alpha beta alpha beta alpha"
