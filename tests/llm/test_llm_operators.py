@@ -179,7 +179,7 @@ def test_lm_is_a_distribution():
     for low, high, spelled in ((0, code.words, 0), (code.words, code.words + 257, 1)):
         symbols = np.arange(low, high)
         n = len(symbols)
-        one = SimpleNamespace(symbol=symbols, row=np.arange(n), place=np.zeros(n, np.int64), spelled=np.full(n, spelled, np.int8), hashed=[np.full(n, 77, np.uint32)] * 3)
+        one = SimpleNamespace(symbol=symbols, row=np.arange(n), place=np.zeros(n, np.int64), spelled=np.full(n, spelled, np.uint8), hashed=[np.full(n, 77, np.uint32)] * 4)
         length = code.length[symbols].astype(int)
         used = sum(2.0**-x for x in length)
         p = np.exp(lm_score.Mixer(code, tables).run(one, n))
@@ -198,7 +198,7 @@ def test_lm_learns_within_short_texts():
     def run(*texts):
         size = [len(t) for t in texts]
         n = sum(size)
-        one = SimpleNamespace(symbol=np.concatenate(texts), row=np.repeat(np.arange(len(texts)), size), place=np.concatenate([np.arange(x) for x in size]), spelled=np.zeros(n, np.int8), hashed=[np.full(n, 77, np.uint32)] * 3)
+        one = SimpleNamespace(symbol=np.concatenate(texts), row=np.repeat(np.arange(len(texts)), size), place=np.concatenate([np.arange(x) for x in size]), spelled=np.zeros(n, np.uint8), hashed=[np.full(n, 77, np.uint32)] * 4)
         return mixer.run(one, len(texts))
 
     symbols = min((np.full(300, x) for x in range(code.words)), key=lambda t: run(t[:1])[0])
@@ -225,7 +225,7 @@ def test_lm_tables_hold_all_training_rows(spark):
         one = np.frombuffer((t or "").encode(), np.uint8)
         lm_score.count_bits(one, np.array([0, len(one)]), hashes, code, want)
     tables = lm_score.learned(train, hashes, code).tables
-    assert all((tables[k] == lm_score.log_odds(want[k])).all() for k in (1, 2))
+    assert all((tables[k] == lm_score.log_odds(want[k])).all() for k in (1, 2, 3))
 
 
 def test_lm_symbols_spell_rare_words():
