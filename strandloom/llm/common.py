@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests on
-    one machine, a temporary folder is set for the session."""
+    one machine, a temporary folder is set for the session; other masters must name one."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(where)
@@ -31,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_once(df: DataFrame, kind: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again, so that later steps read the columns they need."""
+    path = fresh_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it while df has such a column (names compare without case)."""
     have = {c.lower() for c in df.columns}

@@ -1,15 +1,18 @@
 """Personal data by weak supervision, in DataFrame and SQL functions only.
 
-Candidate spans come from regular expressions: the base forms, which are always personal data, and looser ones.
-Four labelers vote on each candidate: its strict form, a gazetteer, cue words before it, and its shape. Counts of
-vote patterns over the whole corpus go into expectation-maximisation (per kind, a pattern table of bounded size),
-which estimates how reliable each labeler is; the soft labels then train a naive Bayes classifier of spans on the
-votes and the span's length, and the looser candidates that it accepts join the base spans.
-
-Patterns are possessive and anchored to the start of a run, so each scan takes time in proportion to the text.
+Candidate spans come from regular expressions: the base forms, which always count as personal data, and looser ones that
+also match what is none: version numbers, account and order numbers, assignments of any name. Four labelers that the
+candidates' patterns don't imply vote on each: a strict form, a gazetteer, cue words before it, and its shape. Counts of
+vote patterns over the whole corpus go into expectation-maximisation (per kind, a pattern table of bounded size), which
+estimates how reliable each labeler is; the soft labels then train a naive Bayes classifier of spans on the votes and
+the span's length, and the looser candidates that it accepts join the base spans.
+
+Patterns are possessive and anchored to the start of a run, so each scan takes time in proportion to the text. Texts are
+scanned once: the candidates are written to the shared folder, the model is fitted on them and applied to them.
 Positions count code points: the text is split at the matches, and lengths of gaps and matches add up.
 
-Defined cases: a null text is empty; repeated rows each get a row; a model of an empty table accepts only base spans.
+Defined cases: a null text is empty; repeated rows each get a row; of candidates at one place each kind has its own; a
+column of docs named as the output is replaced; a model of an empty table accepts only base spans.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, table, written_once
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -31,26 +34,35 @@ BASE_PATTERNS = {
 }
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LOOSE_PATTERNS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+=-]{8,}+",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++|@[A-Za-z0-9-]++(?!\.[A-Za-z0-9-]))",
+    "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]++(?:\.[0-9]++){2,}+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9])",
+    "phone": r"(?<![0-9+(.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}|00[1-9][0-9]?[\x20-][0-9(][0-9()\x20-]{5,14}[0-9])(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*+[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+=-]{8,}+",
 }
 #: Cheap tests of whether a loose form can occur at all.
-LOOSE_GUARDS = {"email": ("[at]", "(at)", "[AT]", "(AT)"), "phone": (), "secret": ("token", "secret", "passw", "api")}
-#: Gazetteer entries (as patterns of the span) and cue words (in the CONTEXT characters before it).
+LOOSE_GUARDS = {"email": ("[at]", "(at)", "[AT]", "(AT)", "@"), "ip": (".",), "card": (), "phone": (), "secret": ("=", ":")}
+#: Fixed values, patterns of the labelers: a span's strict form, gazetteer entries, and cue words in the CONTEXT characters before it.
+STRICT = {
+    "email": r"\.[A-Za-z]{2,}$",
+    "ip": rf"^(?:{_OCTET}\.){{3}}{_OCTET}$",
+    "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$",
+    "phone": r"^(?:\+|00|\([2-9][0-9]{2}\)|[2-9][0-9]{2}[.-])",
+    "secret": r"(?:[A-Fa-f0-9]{32,}|[A-Za-z0-9_/+-]*[0-9][A-Za-z_/+-]+[0-9][A-Za-z0-9_/+=-]{12,})$",
+}
 GAZETTEER = {
-    "email": r"(?i)(?:example|gmail|yahoo|outlook|hotmail|proton|mail)[.\x20\[(]|(?:com|org|net|edu|gov|de|fr|es|io)$",
-    "ip": r"^(?:10|127|172|192|8|1)\.",
+    "email": r"(?i)(?:gmail|yahoo|outlook|hotmail|proton|mail)|(?:com|org|net|edu|gov|de|fr|es|io)$",
+    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.(?!0\.[0-9]+$)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|555",
-    "secret": r"(?i)token|secret|passw|key",
+    "phone": r"^(?:\+|00)?(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])[\x20().-]|^\(?[2-9][0-9]{2}\)?[\x20.-]",
+    "secret": r"(?i)^[A-Za-z0-9_.-]*(?:token|secret|passw|pwd|api[_-]?key|private|credential|auth)",
 }
 CUES = {
     "email": r"(?i)e-?mail|contact|courriel|correo|write|reply",
     "ip": r"(?i)\bip\b|host|address|server|addr",
     "card": r"(?i)card|visa|master|carte|karte|tarjeta|credit",
     "phone": r"(?i)tel|phone|call|fax|mobil|tél|anruf",
-    "secret": r"(?i)auth|bearer|config|key|env|\"",
+    "secret": r"(?i)auth|bearer|config|export|env|login",
 }
 CONTEXT, LABELERS, BUCKETS, ROUNDS = 24, 4, 8, 25
 
@@ -75,10 +87,29 @@ def is_base(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _digits_apart(x: Column) -> Column:
+    return F.size(F.array_distinct(F.split(_digits(x), "")))
+
+
+def _strict(kind: str, x: Column) -> Column:
+    """The span in its kind's strict form, which no loose pattern demands."""
+    form = x.rlike(STRICT[kind])
+    if kind == "card":
+        return form & luhn(_digits(x))
+    if kind == "phone":
+        return form & F.length(_digits(x)).between(10, 15)
+    return form
+
+
 def _shape(kind: str, x: Column) -> Column:
-    if kind in ("card", "phone", "secret"):
-        return F.size(F.array_distinct(F.split(x, ""))) >= (8 if kind == "secret" else 5)
-    return F.length(x).between(6, 64)
+    """Whether the span varies as one of its kind would: neither repeated signs nor round numbers."""
+    if kind == "secret":
+        return F.size(F.array_distinct(F.split(F.regexp_extract(x, "[A-Za-z0-9_/+=-]+$", 0), ""))) >= 10
+    if kind in ("card", "phone"):
+        return (_digits_apart(x) >= 5) & ~x.rlike("0000$")
+    if kind == "ip":
+        return x.rlike(r"[0-9]{2,}\.[0-9]*\.?[0-9]{2,}") | (F.length(x) >= 11)
+    return F.length(x).between(6, 64) & x.rlike("^[A-Za-z0-9]")
 
 
 def _bit(test: Column, bit: int) -> Column:
@@ -102,7 +133,7 @@ def _spans(kind: str, matches: Column, gaps: Column, base: bool) -> Column:
         F.lit(KINDS.index(kind)).alias("kind"),
         s["start"].alias("start"),
         (s["start"] + s["size"]).alias("end"),
-        (_bit(F.lit(base or kind == "secret"), 0) + _bit(s["text"].rlike(GAZETTEER[kind]), 1) + _bit(s["before"].rlike(CUES[kind]), 2) + _bit(_shape(kind, s["text"]), 3)).alias("votes"),
+        (_bit(_strict(kind, s["text"]), 0) + _bit(s["text"].rlike(GAZETTEER[kind]), 1) + _bit(s["before"].rlike(CUES[kind]), 2) + _bit(_shape(kind, s["text"]), 3)).alias("votes"),
         F.least(F.floor(F.log2(s["size"])), F.lit(BUCKETS - 1)).cast("int").alias("bucket"),
         F.lit(base).alias("base"),
     ))
@@ -110,6 +141,7 @@ def _spans(kind: str, matches: Column, gaps: Column, base: bool) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
     """docs with an array of candidate spans: all base ones, and loose ones that overlap none of them."""
+    docs = docs.drop(out)
     t = free_name(docs, "pii_text")
     step = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     none, empty = F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<struct<kind:int,start:int,end:int,votes:int,bucket:int,base:boolean>>)")
@@ -123,10 +155,9 @@ def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") ->
         words = LOOSE_GUARDS[kind]
         if not words:
             return every
-        low = F.lower(F.col(t)) if kind == "secret" else F.col(t)
-        test = F.contains(low, F.lit(words[0]))
+        test = F.contains(F.col(t), F.lit(words[0]))
         for w in words[1:]:
-            test = test | F.contains(low, F.lit(w))
+            test = test | F.contains(F.col(t), F.lit(w))
         return F.when(test, every).otherwise(none)
 
     # Three steps, so that no regular expression is evaluated twice.
@@ -186,9 +217,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """docs with the accepted spans; the model is fitted on these docs."""
+def find(docs: DataFrame, text: str = "text", out: str = "spans", keep_text: bool = True) -> DataFrame:
+    """docs with the accepted spans; the model is fitted on these docs. keep_text: whether the text stays a column."""
     found = candidates(docs, text, out)
+    found = written_once(found if keep_text else found.drop(text), "pii")
     return found.withColumn(out, accepted(F.col(out), fit(found, out)))
 
 
@@ -212,7 +244,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
