@@ -1,23 +1,27 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line's weight is its length, times ARTICLE in an article
-or main element, times LOW if a class name or id speaks of other parts or most of it is links, and nothing in a menu,
-form, advert or hidden element. Weights are summed over windows of WINDOW lines, which don't reach across an article's
-edge; the text surges in a run where a sum reaches the threshold, and the run dives where sums are back at nothing or at
-such an edge. Beside articles, other runs must reach the part RIVAL of the largest sum. The runs' lines of full weight
-are chosen, and so is every line with weight that stands in an element that holds chosen lines: short or set apart,
-lists of links, sections with such names.
+or main element, times LOW if a class name or id speaks of other parts or most of it is links, and times OUT in a menu,
+footer, form, advert or hidden element: tags weigh lines, and the distribution of weights chooses among all of them.
+Weights are summed over windows of WINDOW lines, which don't reach across the edge of an article or of an outer part;
+the text surges in a run where a sum reaches the threshold, and the run dives where sums are back at nothing or at such
+an edge. The threshold is SURGE weights or the part SHARE of the largest sum within its article, TEASER of it in other
+articles, RIVAL of it elsewhere. The runs' lines of full weight are chosen, and so is every line that stands in an
+element that holds chosen lines, but for its outer parts: short or set apart, lists of links, sections with such names.
+Where all lines are outer ones, they are text only from FLOOR weights on.
 
-Each page is handled alone, by regular expressions that take time in proportion to its length, so nothing is shuffled.
+Each page is handled alone, in time in proportion to its length, so nothing is shuffled.
 
 Defined cases: a null or empty html gives empty text; unclosed elements end with their parent; a repeated page gets a
-row each time; an empty table gives none.
+row each time; no two lines compete, so there are no ties; a column of pages named as the output is replaced, others
+stay whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +29,9 @@ from pyspark.sql import types as T
 
 from .common import table
 
-WINDOW, LEAST, SHARE, LINKS = 3, 80, 0.15, 0.6
-ARTICLE, LOW, RIVAL = 4, 0.05, 0.5
+WINDOW, LINKS = 3, 0.6
+ARTICLE, LOW, OUT = 4, 0.05, 0.005
+SURGE, SHARE, TEASER, RIVAL, FLOOR = 80, 0.15, 0.2, 0.5, 5
 
 # Elements of HTML by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -38,7 +43,7 @@ RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|hea
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote".split())
 #: Parts of class names and ids that no part of an article has, and those that sections of one may have, too.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|paywall|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|sidebar|widget|masthead|topbar|toolbar|share|sharing|social|recommended|recommendations|trending|commentlist|disqus|login)(?=$|[\s_-])", re.I)
-FAINT_MARKS = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|footer|header|related|comments?|replies|reply|discussion|responses|search|skip|copyright|legal|disclaimer|toc)(?=$|[\s_-])", re.I)
+FAINT_MARKS = re.compile(r"(?:^|[\s_-])(?:notices?|alert|side|footer|header|related|comments?|replies|reply|respond|discussion|responses|search|skip|copyright|legal|disclaimer|toc)(?=$|[\s_-])", re.I)
 ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|content|text))?(?=$|\s)", re.I)
 
 _RAW_OPEN = re.compile(rf"<({RAW})\b[^>]*>", re.I)
@@ -76,6 +81,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int, bool]], lis
     out: list[tuple[str, int, int, int, int, bool]] = []
     stack: list[tuple[str, int, int, int]] = []  # element, level, article, number
     up = [0]
+    depth: Counter[str] = Counter()  # how many elements of a name are open, so that stray end tags cost nothing
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -96,6 +102,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int, bool]], lis
             if linked:
                 links += len(text.strip())
 
+    def push(name: str, level: int, article: int, number: int) -> None:
+        stack.append((name, level, article, number))
+        depth[name] += 1
+
+    def close(name: str) -> None:
+        while depth[name]:
+            top = stack.pop()[0]
+            depth[top] -= 1
+            if top == name:
+                return
+
     page = _without_raw(page)
     at = 0
     for m in _TAG.finditer(page):
@@ -112,30 +129,23 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int, bool]], lis
                 parts.append(" ")
             # Marked inline elements, such as a span that holds an advert, count as blocks of their own.
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        flush()
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
+                if depth[name] and not any(x[0] in BLOCKS for x in stack[-1:]):
+                    flush()
+                    close(name)
             elif m[3] and name not in VOID and _level(name, m[3], stack) == 2:
                 flush()
                 up.append(stack[-1][3] if stack else 0)
-                stack.append((name, 2, stack[-1][2] if stack else 0, len(up) - 1))
+                push(name, 2, stack[-1][2] if stack else 0, len(up) - 1)
             continue
         flush()
         if name in VOID:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            close(name)
             linked = 0
             continue
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            close(name)
         _, level, article, parent = stack[-1] if stack else ("", 0, 0, 0)
         level = max(level, _level(name, m[3], stack))
         number = 0
@@ -144,7 +154,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int, int, bool]], lis
             up.append(parent)
         if name in ("article", "main") and level < 2:
             article = number
-        stack.append((name, level, article, number))
+        push(name, level, article, number)
     say(page[at:])
     flush()
     return out, up
@@ -170,24 +180,26 @@ def _level(name: str, attributes: str, stack: list[tuple[str, int, int, int]]) -
 
 def main_text(page: str | None) -> str:
     lines, up = lines_of(page or "")
+    outer = [level == 2 for _, _, level, _, _, _ in lines]
     low = [level == 1 or links > LINKS * len(text) for text, links, level, _, _, _ in lines]
-    weight = [0 if level == 2 else len(text) * (ARTICLE if article else 1) * (LOW if faint else 1) for (text, _, level, article, _, _), faint in zip(lines, low)]
-    if not any(weight):
-        return ""
-    area = [line[3] for line in lines]
+    weight = [len(text) * (ARTICLE if article else 1) * (OUT if out else LOW if faint else 1) for (text, _, _, article, _, _), faint, out in zip(lines, low, outer)]
+    area = [(line[3], out) for line, out in zip(lines, outer)]
     sums = [sum(w for w, a in zip(weight[i : i + WINDOW], area[i : i + WINDOW]) if a == area[i]) for i in range(len(weight))]
-    top = max(sums)
-    surge = min(LEAST, SHARE * top)
-    rival = max(surge, RIVAL * top) if any(w and a for w, a in zip(weight, area)) else surge
+    top = max(sums, default=0)
+    if all(outer) and top < FLOOR:
+        return ""
+    surge = min(SURGE, SHARE * top)
+    best = area[sums.index(top)]
+    rival = max(surge, RIVAL * top) if any(line[3] for line in lines) else surge
+    need = {a: surge if a == best else max(surge, TEASER * top) if a[0] and not a[1] else max(surge, RIVAL * top) if a[1] else rival for a in set(area)}
     surged: list[int] = []
     i = 0
     while i < len(lines):
         end = i + 1
-        if sums[i]:
-            while end < len(lines) and sums[end] and area[end] == area[i]:
-                end += 1  # the dive: a whole window without text, or an article's edge
-            if max(sums[i:end]) >= (surge if area[i] else rival):
-                surged += [k for k in range(i, end) if weight[k]]
+        while end < len(lines) and area[end] == area[i]:
+            end += 1  # the dive: an edge of an article or of an outer part
+        if max(sums[i:end]) >= need[area[i]]:
+            surged += range(i, end)
         i = end
     # Marked parts alone are text only where there is nothing else.
     chosen = {k for k in surged if not low[k]} or {k for k in surged if lines[k][2] == 1}
@@ -196,7 +208,7 @@ def main_text(page: str | None) -> str:
     for e in range(1, len(up)):
         within[e] = e in holds or within[up[e]]
     beside = {up[lines[k][4]] for k in chosen if lines[k][5]}
-    kept = (k for k in range(len(lines)) if k in chosen or weight[k] and (within[lines[k][4]] or not low[k] and lines[k][5] and up[lines[k][4]] in beside))
+    kept = (k for k in range(len(lines)) if k in chosen or not outer[k] and (within[lines[k][4]] or not low[k] and lines[k][5] and up[lines[k][4]] in beside))
     return " ".join(lines[k][0] for k in kept)
 
 
