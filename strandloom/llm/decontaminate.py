@@ -1,14 +1,18 @@
 """Benchmark decontamination.
 
-The windows of ten benchmark words are hashed into a set that every task holds; the words of each document are
-scanned once, all windows whose hash is in the set are verified against the words themselves, and what remains
+The windows of ten benchmark words are hashed into a table that every task holds; the words of each document are
+scanned once, all windows whose hash is in the table are verified against the words themselves, and what remains
 marks the document's words as hit. Then hit documents or the hit passages are removed.
 
-The set is broadcast only while the benchmark's texts are within MAX_BROADCAST_BYTES, which is measured first.
-Beyond that, windows of both sides meet in a shuffle join on their hash, with the same result.
+The table is a few arrays: the benchmark's words as bytes, and for each distinct window its hash, its place in them and
+its items. It is built once, in the driver, and broadcast while the benchmark's bytes and words are within
+MAX_BROADCAST_BYTES, which is measured first and bounds the table. Beyond that, a bitmap of fixed size of the windows'
+hashes is broadcast; the documents' windows that it lets through meet the benchmark's in a shuffle join, on hash and
+words, with the same result.
 
 Defined cases: a null or empty text has no words; an item without words has no window; a null item_id is named
-"null"; equal item_ids count once; repeated documents each get a row; an empty table gives no row or no hit.
+"null"; equal item_ids count once; repeated documents each get a row; an empty table gives no row or no hit; a column of
+docs named as the output is replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import cut, free_name, table
 from .textbytes import ALNUM, LOWER, prefix_hash, span_hash, text_chunks, window_hash, word_spans
 
 WINDOW = 10
-MAX_BROADCAST_BYTES = 64 << 20
+#: Bound of the measured size of the broadcast table: a word's bytes, and ENTRY_BYTES for the window that begins with it.
+MAX_BROADCAST_BYTES, ENTRY_BYTES = 64 << 20, 40
+#: Log2 of the bits of the bitmap of hashes, 64 MB, and of those in one slice of it.
+BITMAP_BITS, BITMAP_SLICE = 29, 15
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 
@@ -38,30 +45,61 @@ def _words(text: str | None) -> list[bytes]:
     return [raw[s:e] for s, e in zip(starts, ends)]
 
 
-def windows_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> dict[bytes, set[str]]:
-    """Words joined by a space, with the items in which they stand."""
-    out: dict[bytes, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = _words(text)
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            out[b" ".join(words[i : i + n])].add("null" if item is None else str(item))
-    return dict(out)
-
-
-def _hash_words(words: bytes) -> int:
-    data = np.frombuffer(words, np.uint8)
-    starts, ends, _, _ = word_spans(data, np.array([0, len(data)]), ALNUM)
-    return int(window_hash(span_hash(prefix_hash(data), starts, ends), len(starts))[0])
+class Windows:
+    """Arrays of the distinct windows: words (bytes, each window's words one blank apart), and by length n the sorted
+    hashes, the window's start and end in words, and items[first[k]:first[k + 1]] of window k, as numbers of names."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.names = sorted({"null" if item is None else str(item) for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        texts, found, at = [], [], 0
+        for item, text in items:
+            words = _words(text)
+            if not words:
+                continue
+            joined = b" ".join(words)
+            texts.append(joined)
+            size = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(size + 1) - 1
+            n = min(window, len(words))
+            hashed = window_hash(span_hash(prefix_hash(np.frombuffer(joined, np.uint8)), ends - size, ends), n)
+            found.append((np.full(len(hashed), n), hashed, at + (ends - size)[: len(hashed)], at + ends[n - 1 :], np.full(len(hashed), number["null" if item is None else str(item)])))
+            at += len(joined)
+        self.words = b"".join(texts)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        if not found:
+            return
+        length, hashed, start, end, item = (np.concatenate(x) for x in zip(*found))
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            mine = mine[np.lexsort((item[mine], hashed[mine]))]
+            h, s, e, i = hashed[mine], start[mine], end[mine], item[mine]
+            # Windows of one hash are one if their words are; other words of that hash, if there are any, are moved behind.
+            new = np.append(True, h[1:] != h[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            odd = np.array([k for k in np.flatnonzero(~new).tolist() if self.words[s[k] : e[k]] != self.words[s[first[k]] : e[first[k]]]], int)
+            if len(odd):
+                order = np.lexsort((i, [self.words[a:b] for a, b in zip(s, e)], h))
+                h, s, e, i = h[order], s[order], e[order], i[order]
+                new = np.array([k == 0 or h[k] != h[k - 1] or self.words[s[k] : e[k]] != self.words[s[k - 1] : e[k - 1]] for k in range(len(h))])
+            once = np.append(True, (i[1:] != i[:-1]) | new[1:])
+            heads = np.flatnonzero(new)
+            self.by_length[n] = h[heads], s[heads].astype(np.int64), e[heads].astype(np.int64), i[once].astype(np.int32), np.append(np.cumsum(once)[heads] - 1, once.sum())
+
+    def items_of(self, n: int, k: int, words: bytes) -> list[str]:
+        """Items of the windows of these words, k the first of their hash's; none if only the hash is the same."""
+        h, start, end, item, first = self.by_length[n]
+        at = k
+        while at < len(h) and h[at] == h[k]:
+            if self.words[start[at] : end[at]] == words:
+                return [self.names[i] for i in item[first[at] : first[at + 1]]]
+            at += 1
+        return []
 
 
 class _Scanner:
-    def __init__(self, windows: dict[bytes, set[str]]):
+    def __init__(self, windows: Windows):
         self.windows = windows
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for words in windows:
-            by_length[words.count(b" ") + 1].append(_hash_words(words))
-        self.hashes = {n: np.unique(np.array(h, np.uint64)) for n, h in by_length.items()}
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, set[str], list[tuple[int, int]]]]:
         """For each row: words, hit words, items, and hit spans as bytes."""
@@ -71,19 +109,19 @@ class _Scanner:
         per_row = np.bincount(row, minlength=rows)
         cover = np.zeros(len(starts) + 1, np.int64)
         items: dict[int, set[str]] = defaultdict(set)
-        if len(starts) and self.hashes:
+        if len(starts) and self.windows.by_length:
             raw, hashed = data.tobytes(), span_hash(prefix_hash(data), starts, ends)
-            for n, known in self.hashes.items():
+            for n, (known, *_) in self.windows.by_length.items():
                 seen = window_hash(hashed, n)
                 at = np.searchsorted(known, seen)
                 at[at == len(known)] = 0
                 last = np.arange(len(seen)) + n - 1
                 for i in np.flatnonzero((known[at] == seen) & (row[: len(seen)] == row[last])):
-                    found = self.windows.get(b" ".join(raw[s:e] for s, e in zip(starts[i : i + n], ends[i : i + n])))
+                    found = self.windows.items_of(n, int(at[i]), b" ".join(raw[s:e] for s, e in zip(starts[i : i + n], ends[i : i + n])))
                     if found:
                         cover[i] += 1
                         cover[i + n] -= 1
-                        items[int(row[i])] |= found
+                        items[int(row[i])].update(found)
         hit = np.cumsum(cover)[:-1] > 0
         hits = np.bincount(row, weights=hit, minlength=rows).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(per_row)])
@@ -111,13 +149,15 @@ _KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", p
 def hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs with a struct `out` of RESULT; spans are byte offsets in the text. Only item and item_text of benchmark are read."""
     bench = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("words"))
-    measured = bench.agg(F.sum(F.octet_length("words")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if (measured.b or 0) + 32 * measured.n > max_broadcast_bytes:
+    docs = docs.drop(out)
+    words = F.regexp_count(F.coalesce("words", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    measured = bench.agg(F.sum(F.octet_length("words")).alias("b"), F.sum(words).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if (measured.b or 0) + ENTRY_BYTES * ((measured.w or 0) + measured.n) > max_broadcast_bytes:
         return _hits_by_join(docs, bench, out, text, window)
-    scanner = docs.sparkSession.sparkContext.broadcast(windows_of([(r.item, r.words) for r in bench.collect()], window))
+    shared = docs.sparkSession.sparkContext.broadcast(Windows([(r.item, r.words) for r in bench.collect()], window))  # within the bound just measured
 
     def run(batches):
-        scan = _Scanner(scanner.value)
+        scan = _Scanner(shared.value)
         for batch in batches:
             found = []
             for _, data, offsets in text_chunks(batch.column(text)):
@@ -133,17 +173,44 @@ def _schema(docs: DataFrame, out: str):
     return T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(f"struct<{RESULT.replace(' ', ':').replace(',:', ',')}>"))])
 
 
+def _bitmap(known: DataFrame) -> np.ndarray:
+    """One bit for each value of the hashes' last BITMAP_BITS bits: slices are filled apart and meet in the driver, 64 MB in all."""
+
+    def fill(batches):
+        key, held = None, np.zeros(1 << BITMAP_SLICE - 3, np.uint8)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["i", "blob"])
+        for batch in batches:
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i != key:
+                    if key is not None:
+                        yield row()
+                    key, held[:] = i, 0
+                held[b >> 3] |= 1 << (b & 7)
+        if key is not None:
+            yield row()
+
+    spot = F.col("h").bitwiseAND((1 << BITMAP_BITS) - 1)
+    spots = known.select(F.shiftright(spot, BITMAP_SLICE).cast("int").alias("i"), spot.bitwiseAND((1 << BITMAP_SLICE) - 1).cast("int").alias("b")).distinct()
+    out = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for r in spots.repartition("i").sortWithinPartitions("i").mapInArrow(fill, "i int, blob binary").toLocalIterator():
+        out[r.i << BITMAP_SLICE - 3 : (r.i + 1) << BITMAP_SLICE - 3] = np.frombuffer(r.blob, np.uint8)
+    return out
+
+
 def _hits_by_join(docs: DataFrame, bench: DataFrame, out: str, text: str, window: int) -> DataFrame:
-    """The same by a shuffle join of windows. A result depends on the text alone, so equal texts are scanned once."""
+    """The same by a shuffle join of those windows that the bitmap lets through. A result depends on the text alone, so equal texts are scanned once."""
 
     def item_windows(batches):
         for batch in batches:
-            rows = [(_hash_words(w), w.count(b" ") + 1, w.decode("utf-8", "surrogatepass"), i) for item, words in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()) for w, names in windows_of([(item, words)], window).items() for i in names]
-            h, n, w, i = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(w, pa.string()), pa.array(i, pa.string())], ["h", "n", "w", "item"])
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
+                one = Windows([(item, text)], window)
+                for n, (h, start, end, _, _) in one.by_length.items():
+                    w = [one.words[s:e].decode("utf-8", "surrogatepass") for s, e in zip(start, end)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(w, pa.string()), pa.array(one.names * len(h), pa.string())], ["h", "n", "w", "item"])
 
-    known = bench.mapInArrow(item_windows, "h long, n int, w string, item string").distinct()
+    known = cut(bench.mapInArrow(item_windows, "h long, n int, w string, item string").distinct())
     lengths = [r.n for r in known.select("n").distinct().collect()]  # at most `window` of them
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
 
     def doc_windows(batches):
         for batch in batches:
@@ -156,6 +223,8 @@ def _hits_by_join(docs: DataFrame, bench: DataFrame, out: str, text: str, window
                 for n in lengths:
                     seen = window_hash(hashed, n)
                     ok = np.flatnonzero(row[: len(seen)] == row[np.arange(len(seen)) + n - 1]) if len(seen) else np.zeros(0, int)
+                    spot = (seen[ok] & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+                    ok = ok[bitmap.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 != 0]
                     for part in np.array_split(ok, len(ok) // 65536 + 1):
                         words = [b" ".join(raw[s:e] for s, e in zip(starts[i : i + n], ends[i : i + n])).decode("utf-8", "surrogatepass") for i in part]
                         r = row[part]
