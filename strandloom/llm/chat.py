@@ -12,7 +12,8 @@ unescaping (each `\\x` is x) restores it. Placeholders are the only other `<|`.
 A conversation becomes one string, so its turns meet in one row; different conversations never do.
 
 Defined cases: turns are ordered by turn (null first), role, text; repeated rows are repeated turns; a null role or
-text is empty; a null part is left out; a null conv_id is a conversation of its own; an empty table gives none.
+text is empty; a null part is left out; a null conv_id is a conversation of its own; an empty table gives none. Only the
+named columns are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ structure and returns its length, and so the blob's type is corrected and every
 All work is on one row's bytes, so nothing is shuffled and memory follows one blob.
 
 Defined cases: a null blob or text is empty; a signature without valid structure is no media; equal bytes give equal
-values; of pieces that overlap, the one that begins first stays, then the longer; an empty table gives none.
+values; of pieces that overlap, the one that begins first stays, then the longer; a column named as the output is
+replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 from .common import free_name, table
 
 BLOCK, RATE = 64, 8000
+#: Rows and bytes of one batch of stored media.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
 FOUND = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
 
 
@@ -103,7 +107,8 @@ def _gif(b: memoryview) -> tuple[str, int] | None:
 
 
 def _jpeg(b: memoryview) -> tuple[str, int] | None:
-    at, scanned = 2, False
+    at, scanned, raw = 2, False, b.obj
+    base = len(raw) - len(b)  # b is the rest of the blob from its magic on
     while at + 4 <= len(b):
         if b[at] != 0xFF:
             return None
@@ -115,35 +120,62 @@ def _jpeg(b: memoryview) -> tuple[str, int] | None:
             return None
         at += 2 + size
         if mark == 0xDA:
-            scanned, raw = True, bytes(b[at:])
-            k = raw.find(b"\xff")
+            scanned, k = True, raw.find(b"\xff", base + at)
             while 0 <= k < len(raw) - 1 and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
                 k = raw.find(b"\xff", k + 2)
             if k < 0 or k >= len(raw) - 1:
                 return None
-            at += k
+            at = k - base
     return ("image/jpeg", at + 2) if scanned and bytes(b[at : at + 2]) == b"\xff\xd9" else None
 
 
-def _pdf(b: memoryview) -> tuple[str, int] | None:
-    raw = bytes(b)
-    end = raw.find(b"%%EOF")
-    if end < 0 or not raw[5:8].replace(b".", b"").isdigit() or b"startxref" not in raw[:end]:
+class _Places:
+    """Where marks stand in one blob; every mark is sought once, so that many false beginnings cost no more than one."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.known = raw, {}
+
+    def all(self, mark: bytes) -> list[int]:
+        if mark not in self.known:
+            out, k = [], self.raw.find(mark)
+            while k >= 0:
+                out.append(k)
+                k = self.raw.find(mark, k + 1)
+            self.known[mark] = out
+        return self.known[mark]
+
+    def first(self, mark: bytes, start: int) -> int:
+        places = self.all(mark)
+        k = bisect_left(places, start)
+        return places[k] if k < len(places) else -1
+
+    def zips(self) -> dict[int, int]:
+        """End of the archive that begins at a place, by its end-of-directory record."""
+        if "zip" not in self.known:
+            out: dict[int, int] = {}
+            for end in self.all(b"PK\x05\x06"):
+                if end + 22 <= len(self.raw):
+                    size, start, note = struct.unpack_from("<IIH", self.raw, end + 12)
+                    at = end - start - size
+                    if at >= 0 and self.raw[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(self.raw):
+                        out.setdefault(at, end + 22 + note)
+            self.known["zip"] = out
+        return self.known["zip"]
+
+
+def _pdf(places: _Places, at: int) -> tuple[str, int] | None:
+    """From its head to the last end mark before the next head."""
+    end = places.first(b"%%EOF", at)
+    if end < 0 or not places.raw[at + 5 : at + 8].replace(b".", b"").isdigit() or not at < places.first(b"startxref", at) < end:
         return None
-    nxt = raw.find(b"%PDF-", 5)
-    end = raw.rfind(b"%%EOF", 0, nxt if nxt > 0 else len(raw))
-    return ("application/pdf", end + 5) if end > 0 else None
-
-
-def _zip(b: memoryview) -> tuple[str, int] | None:
-    raw = bytes(b)
-    at = raw.find(b"PK\x05\x06")
-    while at >= 0 and at + 22 <= len(raw):
-        size, start, note = struct.unpack_from("<IIH", raw, at + 12)
-        if start + size == at and raw[start : start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(raw):
-            return "application/zip", at + 22 + note
-        at = raw.find(b"PK\x05\x06", at + 4)
-    return None
+    after, ends = places.first(b"%PDF-", at + 5), places.all(b"%%EOF")
+    last = ends[bisect_left(ends, after) - 1] if after >= 0 else ends[-1]
+    return ("application/pdf", last + 5 - at) if last > at else None
+
+
+def _zip(places: _Places, at: int) -> tuple[str, int] | None:
+    end = places.zips().get(at)
+    return ("application/zip", end - at) if end else None
 
 
 def _ogg(b: memoryview) -> tuple[str, int] | None:
@@ -176,8 +208,9 @@ def _gzip(b: memoryview) -> tuple[str, int] | None:
     return None
 
 
-#: Magic bytes by format; the validator gets the bytes from the magic on.
-MAGIC: dict[bytes, Callable[[memoryview], tuple[str, int] | None]] = {b"RIFF": _riff, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg, b"%PDF-": _pdf, b"PK\x03\x04": _zip, b"OggS": _ogg, b"\x1f\x8b\x08": _gzip}
+#: Magic bytes by format. A validator gets the bytes from the magic on, or the marks of the whole blob and its place.
+MAGIC: dict[bytes, Callable[..., tuple[str, int] | None]] = {b"RIFF": _riff, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg, b"%PDF-": _pdf, b"PK\x03\x04": _zip, b"OggS": _ogg, b"\x1f\x8b\x08": _gzip}
+_BY_MARKS = (_pdf, _zip)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -190,10 +223,11 @@ def automaton() -> ahocorasick.Automaton:
 
 def carve(blob: bytes, signatures: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the media in blob that stand in no other, by offset."""
-    view, out, after = memoryview(blob), [], 0
+    view, places, out, after = memoryview(blob), _Places(blob), [], 0
     for last, magic in signatures.iter(blob.decode("latin-1")):
         at = last - len(magic) + 1
-        if at >= after and (found := MAGIC[magic](view[at:])):
+        check = MAGIC[magic]
+        if at >= after and (found := check(places, at) if check in _BY_MARKS else check(view[at:])):
             out.append((found[0], at, found[1]))
             after = at + found[1]
     return out
@@ -201,13 +235,18 @@ def carve(blob: bytes, signatures: ahocorasick.Automaton) -> list[tuple[str, int
 
 def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """docs with the text's UTF-8 bytes, padded, as a WAVE file."""
+    docs = docs.drop(out)
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                media = [wave(padded((x.as_py() or "").encode("utf-8", "surrogatepass"))) for x in part.column(text)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], [*part.schema.names, out])
+            media, held, first = [], 0, 0
+            for k, x in enumerate(batch.column(text)):
+                media.append(wave(padded((x.as_py() or "").encode("utf-8", "surrogatepass"))))
+                held += len(media[-1])
+                if held >= BATCH_BYTES or len(media) == BATCH_ROWS or k == batch.num_rows - 1:
+                    part = batch.slice(first, len(media))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], [*part.schema.names, out])
+                    media, held, first = [], 0, k + 1
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
 
@@ -217,6 +256,7 @@ SNIFFED = T.StructType([T.StructField(n, k) for n, k in (("type", T.StringType()
 
 def sniff(blobs: DataFrame, content: str = "media", declared: str | None = None, out: str = "sniffed") -> DataFrame:
     """blobs with a struct: the type that the bytes show (null: none), whether the declared one differs, and all media found."""
+    blobs = blobs.drop(out)
 
     def run(batches):
         signatures = automaton()
@@ -236,7 +276,7 @@ def sniff(blobs: DataFrame, content: str = "media", declared: str | None = None,
 def embedded(blobs: DataFrame, content: str = "media", sniffed: str = "sniffed") -> DataFrame:
     """A row for each piece of media found, with its bytes as `carved`."""
     one = free_name(blobs, "piece")
-    rows = blobs.withColumn(one, F.explode(f"{sniffed}.found"))
+    rows = blobs.drop("found", "carved").withColumn(one, F.explode(f"{sniffed}.found"))
     return rows.withColumn("carved", F.substring(F.col(content), F.col(f"{one}.offset").cast("int") + 1, F.col(f"{one}.length").cast("int"))).withColumnRenamed(one, "found")
 
 
@@ -249,15 +289,17 @@ def feature(samples: memoryview) -> str:
     return f"wav8;n={n};mean={mean:.4f};std={((counts * (at - mean) ** 2).sum() / n) ** 0.5:.4f};entropy={-(share * np.log2(share)).sum() + 0:.4f};mode={counts.argmax()}"
 
 
-DESCRIBED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DESCRIBED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_embedded long"
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts become media of an unknown type; sniffing finds it, and the samples are read from what it carved."""
+    """Texts become media of an unknown type; sniffing finds it, and the samples are read from what it carved. n_embedded
+    counts the media found within the samples, as texts may hold some."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     found = sniff(store(docs).drop("text").withColumn("declared", F.lit("application/octet-stream")), declared="declared")
 
     def run(batches):
+        signatures = automaton()
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
@@ -267,9 +309,9 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     raise ValueError("stored media weren't recognised")
                 carved = memoryview(media)[piece["offset"] : piece["offset"] + piece["length"]]
                 samples = wave_samples(carved)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(carved), hashlib.sha256(carved).hexdigest(), feature(samples)))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(carved), hashlib.sha256(carved).hexdigest(), feature(samples), len(carve(bytes(samples), signatures))))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *(f.split()[0] for f in DESCRIBED.split(", "))])
 
     return found.select("doc_id", "n_bytes", "media", "sniffed").mapInArrow(run, "doc_id long, " + DESCRIBED)

@@ -6,12 +6,14 @@ are scaled, with probabilities held at 1 at most, so that the expected tokens ar
 if a number drawn from its own hash is below its probability: the same documents at any partitioning.
 
 Cells are aggregated before they meet. Up to MAX_CELLS of them (measured) are raked in the driver; more are raked as
-a table, one dimension after the other, cut by checkpoints. Documents are never shuffled for a bounded table of cells.
+a table, one dimension after the other, cut by checkpoints, until the same tolerance. Documents are never shuffled for a
+bounded table of cells. Topics and tokens are counted once: documents are written with them to the shared folder.
 
 Defined cases: a null source or language is a value of its own; a text without words has no token and is kept at its
 cell's probability; equal doc_ids with equal texts share their fate; targets for values that don't occur are ignored
 and the rest scaled; values without a target (null, or any not named) share what all targets leave, by their tokens, but
-have their natural share at least, for which the named ones are scaled down; an empty table gives none.
+have their natural share at least, for which the named ones are scaled down; an empty table gives none; the new columns
+get underscores before their names where docs has such a column.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, table, written_once
 
 DIMENSIONS = ("source", "lang", "topic")
 MAX_CELLS = 100_000
-ROUNDS, TOLERANCE = 60, 1e-10
+ROUNDS, TOLERANCE = 60, 1e-9
 #: Production targets: sources and topics tempered by this power of their share, languages as named.
 TEMPER = 0.5
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
@@ -121,7 +123,7 @@ def _rake_table(cells: DataFrame, targets: list[DataFrame], budget: float, round
             now = now.join(factor.drop("gap", "have"), now[d].eqNullSafe(F.col("v"))).withColumn("w", F.col("w") * F.col("f")).drop("v", "f")
         now = cut(now)
         worst = max(now.groupBy(d).agg(F.sum("w").alias("have")).join(t, F.col(d).eqNullSafe(F.col("value"))).where("have > 0").agg(F.max(F.abs(F.col("share") - F.col("have")))).first()[0] or 0.0 for d, t in zip(DIMENSIONS, targets))
-        if worst < TOLERANCE * 100:
+        if worst < TOLERANCE:
             break
     rate, bound = F.col("w") / F.col("tokens"), float("inf")
     while True:
@@ -133,11 +135,12 @@ def _rake_table(cells: DataFrame, targets: list[DataFrame], budget: float, round
     return now.withColumn("p", F.when(F.col("tokens") > 0, F.when(rate >= bound, 1.0).otherwise(F.least(F.lit(1.0), rate * scale))).otherwise(min(1.0, budget)))
 
 
-def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic: Column | None = None, text: str = "text", seed: int = SEED, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, prefix: str = "mix_") -> DataFrame:
-    """docs with columns mix_topic, mix_tokens, mix_weight (share of the mix per token over the natural one), mix_probability and mix_kept."""
+def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, topic: Column | None = None, text: str = "text", seed: int = SEED, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, prefix: str = "mix_", keep_text: bool = True) -> DataFrame:
+    """docs with columns mix_topic, mix_tokens, mix_weight (share of the mix per token over the natural one), mix_probability and mix_kept. keep_text: whether the text stays."""
     targets = targets or {"source": TEMPER, "lang": LANGUAGES, "topic": TEMPER}
     name = {k: free_name(docs, prefix + k) for k in ("topic", "tokens", "weight", "probability", "kept")}
-    counted = docs.withColumns({name["topic"]: topic if topic is not None else topic_of(F.col(text)), name["tokens"]: tokens_of(F.col(text))})
+    counted = docs.withColumns({name["topic"]: topic if topic is not None else topic_of(F.col(text)), name["tokens"]: tokens_of(F.col(text)), (draw := free_name(docs, prefix + "draw")): F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)), 11) / F.lit(float(1 << 53))})
+    counted = written_once(counted if keep_text else counted.drop(text), "mix")
     keys = ["source", "lang", name["topic"]]
     cells = counted.groupBy(*keys).agg(F.sum(name["tokens"]).alias("tokens")).select(F.col("source"), F.col("lang"), F.col(name["topic"]).alias("topic"), "tokens")
     cells = cut(cells)
@@ -170,12 +173,12 @@ def mix(docs: DataFrame, targets: dict | None = None, budget: float = BUDGET, to
             wanted.append(cut(raw.withColumn("share", F.col("share") / F.lit(scale))))
         total = cells.agg(F.sum("tokens")).first()[0] or 1
         result = _rake_table(cells, wanted, budget, rounds).select("source", "lang", "topic", F.coalesce(F.col("w") * F.lit(float(total)) / F.nullif(F.col("tokens"), F.lit(0)), F.lit(0.0)).alias("lift"), "p")
-    met = result.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("lift").alias(name["weight"]), F.col("p").alias(name["probability"]))
-    joined = counted.join(met, counted["source"].eqNullSafe(F.col("_s")) & counted["lang"].eqNullSafe(F.col("_l")) & counted[name["topic"]].eqNullSafe(F.col("_t")), "left").drop("_s", "_l", "_t")
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)), 11) / F.lit(float(1 << 53))
-    return joined.withColumn(name["kept"], drawn < F.col(name["probability"]))
+    s, l, t = (free_name(counted, f"cell_{k}") for k in DIMENSIONS)
+    met = result.select(F.col("source").alias(s), F.col("lang").alias(l), F.col("topic").alias(t), F.col("lift").alias(name["weight"]), F.col("p").alias(name["probability"]))
+    joined = counted.join(met, counted["source"].eqNullSafe(F.col(s)) & counted["lang"].eqNullSafe(F.col(l)) & counted[name["topic"]].eqNullSafe(F.col(t)), "left").drop(s, l, t)
+    return joined.withColumn(name["kept"], F.col(draw) < F.col(name["probability"])).drop(draw)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), keep_text=False)
     return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))

@@ -3,14 +3,15 @@
 A document's features are its words, pairs of neighbouring words, and runs of 3 and 4 bytes, each hashed into one of
 2**BITS buckets. Every bucket has a learned vector; their average over all features of the whole text goes through a
 linear layer and softmax. Vectors and layer are trained by numpy stochastic gradient descent on a bounded sample:
-at most TRAIN_ROWS labelled rows, those whose doc_id hashes lowest, so the driver's work is the same at any size.
+at most TRAIN_ROWS labelled rows, those whose doc_id hashes lowest, and of these no more than have TRAIN_BUCKETS buckets
+together, so the driver's work is the same at any size. Their buckets are counted where the rows are; no text is collected.
 
 Since the layer is linear, scoring needs one number per bucket (its vector times the layer), a table of fixed size
 that is broadcast; then each task scores its rows in one pass, and no text is shuffled.
 
 Defined cases: a null or empty text has no feature and gets the bias's score; a null doc_id counts as empty text for
 holding out; several labels of one doc_id are averaged (a tie is 1), null labels are ignored; repeated rows get equal
-scores; without labels, or with labels of one kind, every score is the share of label 1 (0.5 if there is none).
+scores; a column of docs named as the output is replaced; without labels, or with labels of one kind, every score is the share of label 1 (0.5 if there is none).
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from .common import free_name, remainder, table
+from .common import cut, free_name, remainder, table
 from .textbytes import NON_BLANK, prefix_hash, span_hash, text_chunks, window_hash, word_spans
 
 BITS, DIM, EPOCHS, RATE = 18, 8, 4, 0.4
-TRAIN_ROWS = 4000
+TRAIN_ROWS, TRAIN_BUCKETS = 4000, 6_000_000
 THRESHOLD = 0.7
 _MASK = (1 << BITS) - 1
 
@@ -62,15 +64,27 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """The number of each bucket, and the bias; score = sigmoid(mean + bias)."""
+def bags(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text's distinct buckets and their shares, as little-endian bytes of int32 and float32."""
+    names = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for _, data, offsets in text_chunks(batch.column(text)):
+                families = list(features(data, offsets))
+                for r in range(len(offsets) - 1):
+                    b, c = np.unique(np.concatenate([np.zeros(0, np.int32), *(f[s[r] : s[r + 1]] for f, s in families)]), return_counts=True)
+                    out.append((b.astype("<i4").tobytes(), (c / max(1, c.sum())).astype("<f4").tobytes()))
+            b, c = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(b, pa.binary()), pa.array(c, pa.binary())], [*names, "buckets", "parts"])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField("buckets", T.BinaryType()), T.StructField("parts", T.BinaryType())]))
+
+
+def train(bag: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """The number of each bucket, and the bias; score = sigmoid(mean + bias). bag: (buckets, shares) of each row."""
     y = np.array(labels, int)
-    bag = []
-    for _, data, offsets in text_chunks(pa.array(texts, pa.large_string())):
-        families = list(features(data, offsets))
-        for r in range(len(offsets) - 1):
-            b, c = np.unique(np.concatenate([f[s[r] : s[r + 1]] for f, s in families]), return_counts=True)
-            bag.append((b, (c / max(1, c.sum())).astype(np.float32)))
     share = y.mean() if len(y) else 0.5
     if share in (0.0, 1.0) or not len(y):
         return np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -102,12 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_of:
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), held_out_of) != held_out))
     chosen = usable.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # At most train_rows ids: small enough to broadcast whatever the number of labels.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_rows).collect()
-    return train([r.text or "" for r in rows], [r.y for r in rows])
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")
+    mine = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(train_rows)
+    counted = cut(bags(mine, "text"))
+    # Over at most train_rows rows.
+    so_far = F.sum(F.length("buckets") / 4).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = counted.withColumn("so_far", so_far).where((F.col("so_far") <= TRAIN_BUCKETS)).orderBy(*order).collect()
+    return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.parts, "<f4")) for r in rows], [r.y for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
     """docs with a double `out`, the probability of label 1."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats
 
     def run(batches):

@@ -30,6 +30,7 @@ from .components import components
 from .textbytes import LOWER, NON_BLANK, text_chunks, word_spans
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+EMITTED = 1_000_000
 PARTS = ((0, 22), (22, 43), (43, 64))
 _U = np.uint64
 # The five primes of XXH64.
@@ -166,7 +167,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > 3:
         raise ValueError("three parts and balls of radius one find pairs up to radius 3")
     keys = F.array(*[F.struct(F.lit(stay).alias("stay"), F.lit(flip).alias("flip")) for stay, flip in variant_keys()])
-    emitted = fps.select("fp", F.explode(F.transform(keys, lambda k: F.col("fp").bitwiseAND(k["stay"]).bitwiseXOR(k["flip"]))).alias("key"))
+    # Each fingerprint becomes 132 rows: tasks by the rows to come, not by those there are.
+    spread = fps.repartition(max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() * len(variant_keys()) // EMITTED + 1), "fp")
+    emitted = spread.select("fp", F.explode(F.transform(keys, lambda k: F.col("fp").bitwiseAND(k["stay"]).bitwiseXOR(k["flip"]))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, _U)
@@ -203,14 +206,14 @@ def _smallest(prints: DataFrame, what, radius: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id (null last), then of the smallest text hash."""
-    h = free_name(docs, "text_hash")
-    mine = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("h").alias("h"))
+    h, nought = free_name(docs, "text_hash"), F.lit(0).cast(docs.schema[doc_id].dataType)
+    mine = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", nought).alias("i"), F.col("h").alias("h"))
     # A hash of the text tells apart rows of one doc_id; rows equal in both are one.
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     prints = cut(fingerprints(hashed, ["doc_id", "h"]))
     n, i = free_name(docs, "no_id"), free_name(docs, "id_or_0")
     chosen = _smallest(prints, mine, radius).select(F.col("least.n").alias(n), F.col("least.i").alias(i), F.col("least.h").alias(h)).distinct()
-    marked = docs.withColumns({n: F.col(doc_id).isNull(), i: F.coalesce(F.col(doc_id), F.lit(0)), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    marked = docs.withColumns({n: F.col(doc_id).isNull(), i: F.coalesce(F.col(doc_id), nought), h: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     return marked.join(chosen, [n, i, h], "left_semi").dropDuplicates([n, i, h]).select(*docs.columns)
 
 

@@ -11,6 +11,7 @@ Files are reached through pyarrow.fs, so any folder that it and Spark both open
 
 Defined cases: a null html is an empty payload; a null page_id or url leaves its header out; rows that share the largest
 page_id of a payload are all responses; a group without any page_id is all responses; an empty table writes no file.
+Only page_id, url and html are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
