@@ -18,8 +18,8 @@ def count_of(s: Column, letter: str) -> Column:
 
 
 def poly_a_fraction(s: Column) -> Column:
-    """The larger share of A or T; 0 for null or empty."""
-    return F.coalesce(F.try_divide(F.greatest(count_of(s, "A"), count_of(s, "T")).cast("double"), F.length(s)), F.lit(0.0))
+    """The larger share of A or T in either case; 0 for null or empty."""
+    return F.coalesce(F.try_divide(F.greatest(count_of(F.upper(s), "A"), count_of(F.upper(s), "T")).cast("double"), F.length(s)), F.lit(0.0))
 
 
 def longest_run(s: Column, letter: str) -> Column:
@@ -40,9 +40,10 @@ def locate_first(long: Column, short: Column) -> Column:
 
 
 def locate_last(long: Column, short: Column) -> Column:
-    back = F.instr(F.reverse(long), F.reverse(short))
-    at = F.length(long) - back - F.length(short) + 1
-    return F.when(back > 0, F.struct(at.alias("start"), (at + F.length(short)).alias("end")))
+    """The same of the last of the occurrences found from the left that don't overlap: of `aa` in `aaa`, [0, 2]."""
+    rest = F.element_at(F.split(long, F.concat(F.lit("\\Q"), short, F.lit("\\E")), -1), -1)
+    at = F.length(long) - F.length(rest) - F.length(short)
+    return F.when(F.length(short) == 0, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).when(F.contains(long, short), F.struct(at.alias("start"), (at + F.length(short)).alias("end")))
 
 
 def oriented(long: Column, short: Column) -> Column:

@@ -127,12 +127,12 @@ def q08_overlap_join(spark, d):
 
 @query(f"SELECT o_orderkey, chrom, st AS start FROM ({_A}) WHERE EXISTS (SELECT 1 FROM ({_B}) WHERE {_MEET})")
 def q09_overlap_semi(spark, d):
-    return iv.overlap_semi(_spans(spark, d), _targets(spark, d), ["o_orderkey"], BIN).select("o_orderkey", "chrom", "start")
+    return iv.overlap_semi(_spans(spark, d), _targets(spark, d), BIN).select("o_orderkey", "chrom", "start")
 
 
 @query(f"SELECT o_orderkey, chrom, st AS start FROM ({_A}) WHERE NOT EXISTS (SELECT 1 FROM ({_B}) WHERE {_MEET})")
 def q10_overlap_anti(spark, d):
-    return iv.overlap_anti(_spans(spark, d), _targets(spark, d), ["o_orderkey"], BIN).select("o_orderkey", "chrom", "start")
+    return iv.overlap_anti(_spans(spark, d), _targets(spark, d), BIN).select("o_orderkey", "chrom", "start")
 
 
 @query(f"SELECT o_orderkey, b_st AS b_start, b_en AS b_end, label FROM ({_A}) JOIN ({_B}) ON {_MEET} QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY b_st, b_en, label) = 1")
@@ -180,7 +180,10 @@ def q15_pair_score(spark, d):
 
 @query()
 def q16_greedy_pairs(spark, d):
-    return pairing.greedy_pairs(_scored(spark, d), "user_id", "left_id", "right_id", "score")
+    # No pair crosses a gap of more than 7200 seconds in a user's clicks and views.
+    e = _events(spark, d).where("event_type in ('click', 'view')")
+    chains = cl.gap_chain(e, "user_id", "s", "s", 7200, "event_id").where("event_type = 'click'").select(F.col("event_id").alias("left_id"), "chain")
+    return pairing.greedy_pairs(_scored(spark, d).join(chains, "left_id"), ["user_id", "chain"], "left_id", "right_id", "score").drop("chain")
 
 
 @query("SELECT a.l_orderkey, a.l_partkey AS part, b.l_partkey AS mate_part, a.l_shipdate = b.l_shipdate AS together FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_suppkey <> b.l_suppkey")
@@ -193,7 +196,7 @@ def q17_mate_join(spark, d):
 @query(f"WITH e AS ({_E}) SELECT event_id, user_id, value FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND abs(o.s - e.s) <= 3600 AND o.value > e.value)")
 def q18_decluster(spark, d):
     e = _events(spark, d).select("event_id", F.col("user_id").alias("chrom"), F.col("s").alias("pos"), "value")
-    return iv.decluster(e, "event_id", "value", 3600).select("event_id", F.col("chrom").alias("user_id"), "value")
+    return iv.decluster(e, "value", 3600).select("event_id", F.col("chrom").alias("user_id"), "value")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_totalprice DESC, o_orderkey) = 1")
@@ -216,8 +219,9 @@ def q20_sweep_dedup(spark, d):
     return cl.sweep_longest(s.select((F.col("s_suppkey") % 7).alias("chrom"), start.alias("start"), (start + 10 + F.col("s_suppkey") % 60).alias("end"), F.floor(F.col("s_acctbal") / 100).alias("size")), "chrom")
 
 
-@query("""WITH dep AS (SELECT l_suppkey % 10 AS chrom, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS pos, count(*) AS depth FROM lineitem GROUP BY ALL HAVING count(*) > 2),
-i AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM dep) SELECT chrom, min(pos) AS start, max(pos) + 1 AS end FROM i GROUP BY chrom, g HAVING count(*) >= 2""")
+@query("""WITH dep AS (SELECT l_suppkey % 10 AS chrom, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS pos, count(*) AS depth FROM lineitem GROUP BY ALL),
+m AS (SELECT *, CASE WHEN pos = lag(pos) OVER (PARTITION BY chrom ORDER BY pos) + 1 AND depth > 2 THEN 0 ELSE 1 END AS nw FROM dep),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT chrom, min(pos) AS start, max(pos) + 1 AS end FROM i GROUP BY chrom, g HAVING max(pos) - min(pos) >= 2""")
 def q21_covered_segments(spark, d):
     depth = _t(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("chrom"), _day("l_shipdate").alias("pos")).agg(F.count(F.lit(1)).alias("depth"))
     return cl.islands(depth, "chrom", "pos", "depth", 2, 2)
@@ -240,10 +244,10 @@ def q24_chunks(spark, d):
     return cl.chunks(_t(spark, d, "supplier").select("s_suppkey", F.floor(F.greatest("s_acctbal", F.lit(0.0))).alias("n")), "s_suppkey", "n", 24)
 
 
-@query(f"WITH c AS (SELECT event_type, s // {DAY} AS day, count(*) AS n FROM ({_E}) GROUP BY ALL), z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z FROM c WINDOW w AS (PARTITION BY event_type)) SELECT event_type, day, n, round(z, 6) AS z FROM z WHERE z > 1")
+@query(f"WITH c AS (SELECT event_type, s // {DAY} AS day, count(*) AS n FROM ({_E}) GROUP BY ALL), z AS (SELECT *, (n - avg(n) OVER ()) / nullif(stddev_pop(n) OVER (), 0) AS z FROM c) SELECT event_type, day, n, round(z, 6) AS z FROM z WHERE z > 1")
 def q25_zscore_mask(spark, d):
     counts = _events(spark, d).groupBy("event_type", F.floor(F.col("s") / DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return ev.zscore_mask(counts, "event_type", "n", 1.0).withColumn("z", F.round("z", 6))
+    return ev.zscore_mask(counts, None, "n", 1.0).withColumn("z", F.round("z", 6))
 
 
 @query("WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY l_suppkey) AS BIGINT) AS total, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag) AS r FROM c) SELECT l_suppkey, l_returnflag, n, total FROM t WHERE r = 1 AND total >= 4 AND n >= 0.35 * total")
@@ -307,9 +311,9 @@ def q35_homopolymer(spark, d):
     return _t(spark, d, "documents").select("doc_id", sq.longest_run(F.col("text"), "E").cast("long").alias("run"))
 
 
-@query("SELECT c_custkey, round(coalesce(greatest(length(c_mktsegment) - length(replace(c_mktsegment, 'A', '')), length(c_mktsegment) - length(replace(c_mktsegment, 'T', ''))) / nullif(length(c_mktsegment), 0)::DOUBLE, 0), 6) AS fraction FROM customer")
+@query("SELECT c_custkey, round(coalesce(greatest(length(m) - length(replace(m, 'A', '')), length(m) - length(replace(m, 'T', ''))) / nullif(length(m), 0)::DOUBLE, 0), 6) AS fraction FROM (SELECT c_custkey, upper(c_name || c_mktsegment) AS m FROM customer)")
 def q36_poly_a_fraction(spark, d):
-    return _t(spark, d, "customer").select("c_custkey", F.round(sq.poly_a_fraction(F.col("c_mktsegment")), 6).alias("fraction"))
+    return _t(spark, d, "customer").select("c_custkey", F.round(sq.poly_a_fraction(F.concat("c_name", "c_mktsegment")), 6).alias("fraction"))
 
 
 @query("SELECT a.c_custkey, round(list_sum(list_transform(range(1, length(a.c_name) + 1), lambda i: CASE WHEN upper(a.c_name)[i] = upper(b.c_name)[i] THEN 1 ELSE 0 END)) / length(a.c_name)::DOUBLE, 6) AS matched FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")

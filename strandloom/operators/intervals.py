@@ -1,7 +1,9 @@
 """Joins on half-open intervals and bands.
 
-Catalyst plans an interval predicate as a nested loop, so both sides are dealt into bins of a fixed width and meet by
-(chrom, bin); a pair that shares several bins is kept in the first of them only. Adaptive execution splits hot bins.
+Catalyst plans an interval predicate as a nested loop, so both sides are dealt into bins and meet by (chrom, level, bin);
+adaptive execution splits hot bins. Bins have levels, each FACTOR times as wide. An interval's own level is the finest at
+which it touches at most SPREAD bins, so a very long one is few rows; a pair meets at the coarser of its two levels, in
+the first bin that it shares there: rows visit, beside their own, the coarser levels that the other side has.
 """
 
 from __future__ import annotations
@@ -10,26 +12,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .names import free
 
-def _binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
-    first, last = F.floor(start / width), F.floor((end - 1) / width)
-    return df.withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, last))))
+FACTOR, SPREAD, LEVELS = 16, 4, 8
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        w = width * FACTOR**k
+        out = F.when(F.floor((end - 1) / w) - F.floor(start / w) < SPREAD, F.lit(k)).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame, start: str, end: str, width: int) -> list[int]:
+    return sorted(r[0] for r in df.select(_level(F.col(start), F.greatest(end, F.col(start) + 1), width).alias("l")).distinct().collect())  # at most LEVELS rows
+
+
+def _dealt(df: DataFrame, start: str, end: str, width: int, others: list[int], own_in: list[int], visits_in: int, name: list[str]) -> DataFrame:
+    """A row for each (level, bin, side) that an interval takes part in; at the own level on the sides own_in."""
+    level, bin_, side = name
+    stop = F.greatest(F.col(end), F.col(start) + 1)
+    own = _level(F.col(start), stop, width)
+    seats = F.concat(F.array(*[F.struct(own.alias("level"), F.lit(s).alias("side")) for s in own_in]), F.filter(F.array(*[F.struct(F.lit(x).alias("level"), F.lit(visits_in).alias("side")) for x in others]), lambda x: x["level"] > own) if others else F.expr("cast(array() as array<struct<level:int,side:int>>)"))
+    wide = F.lit(width) * F.pow(F.lit(FACTOR), F.col(f"{side}.level")).cast("long")
+    seated = df.withColumn(side, F.explode(seats)).withColumn(bin_, F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor((stop - 1) / wide))))
+    return seated.withColumn(level, F.col(f"{side}.level")).withColumn(side, F.col(f"{side}.side"))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """Pairs of a(chrom, start, end, ...) and b(b_chrom, b_start, b_end, ...) with start < b_end and end > b_start."""
-    met = _binned(a, F.col("start"), F.col("end"), width).join(_binned(b, F.col("b_start"), F.col("b_end"), width).withColumnRenamed("_bin", "_bin_b"), (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("_bin_b")))
-    once = F.col("_bin") == F.floor(F.greatest("start", "b_start") / width)
-    return met.where((F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")) & once).drop("_bin", "_bin_b")
+    """Pairs of a(chrom, start, end, ...) and b(b_chrom, b_start, b_end, ...) with start < b_end and end > b_start.
+
+    width: of the finest bins, near the usual length. Rows with a null chrom, start or end meet none."""
+    names = free(a.join(b, F.lit(False)), "level", "bin", "side", "level_b", "bin_b", "side_b")
+    left, right = a.where(F.col("start").isNotNull() & F.col("end").isNotNull()), b.where(F.col("b_start").isNotNull() & F.col("b_end").isNotNull())
+    levels = _levels(left, "start", "end", width), _levels(right, "b_start", "b_end", width)
+    # Side 1 holds pairs at the left one's own level, side 2 those at a coarser level of the right one.
+    left = _dealt(left, "start", "end", width, levels[1], [1], 2, names[:3])
+    right = _dealt(right, "b_start", "b_end", width, levels[0], [1, 2], 1, names[3:])
+    met = left.join(right, (F.col("chrom") == F.col("b_chrom")) & (F.col(names[0]) == F.col(names[3])) & (F.col(names[1]) == F.col(names[4])) & (F.col(names[2]) == F.col(names[5])))
+    once = F.col(names[1]) == F.floor(F.greatest("start", "b_start") / (F.lit(width) * F.pow(F.lit(FACTOR), F.col(names[0])).cast("long")))
+    return met.where((F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")) & once).drop(*names)
+
 
+def _hit(a: DataFrame, b: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """a with a column of whether each row overlaps any of b, whatever its other values: equal rows are equal in this, too."""
+    spot, c, s, e = free(a, "hit", "hit_chrom", "hit_start", "hit_end")
+    spans = a.select("chrom", "start", "end").distinct()
+    hit = overlap_join(spans, b.select("b_chrom", "b_start", "b_end").distinct(), width).select(F.col("chrom").alias(c), F.col("start").alias(s), F.col("end").alias(e)).distinct().withColumn(spot, F.lit(True))
+    return a.join(hit, (F.col("chrom") == F.col(c)) & (F.col("start") == F.col(s)) & (F.col("end") == F.col(e)), "left").drop(c, s, e), spot
 
-def overlap_semi(a: DataFrame, b: DataFrame, key: list[str], width: int) -> DataFrame:
-    """Rows of a that overlap any of b; key names a row of a."""
-    return a.join(overlap_join(a, b, width).select(*key).distinct(), key, "left_semi")
 
+def overlap_semi(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Rows of a that overlap any of b."""
+    met, hit = _hit(a, b, width)
+    return met.where(F.col(hit).isNotNull()).drop(hit)
 
-def overlap_anti(a: DataFrame, b: DataFrame, key: list[str], width: int) -> DataFrame:
-    return a.join(overlap_join(a, b, width).select(*key).distinct(), key, "left_anti")
+
+def overlap_anti(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Rows of a that overlap none of b; those with a null chrom, start or end overlap none."""
+    met, hit = _hit(a, b, width)
+    return met.where(F.col(hit).isNull()).drop(hit)
 
 
 def first_overlap(a: DataFrame, b: DataFrame, key: list[str], width: int, label: str = "label") -> DataFrame:
@@ -53,19 +96,43 @@ def annotate(a: DataFrame, b: DataFrame, key: list[str], width: int, text: str =
 
 def band_pairs(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     """Pairs of left(chrom, pos, ...) and right(r_chrom, r_pos, ...) at most `distance` apart; each right row visits three bins."""
-    l = left.withColumn("_bin", F.floor(F.col("pos") / (distance + 1)))
-    r = right.withColumn("_bin_r", F.explode(F.array(*[F.floor(F.col("r_pos") / (distance + 1)) + k for k in (-1, 0, 1)])))
-    met = l.join(r, (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_bin_r")))
-    return met.where(F.abs(F.col("pos") - F.col("r_pos")) <= distance).drop("_bin", "_bin_r")
+    bin_l, bin_r = free(left.join(right, F.lit(False)), "bin_l", "bin_r")
+    l = left.withColumn(bin_l, F.floor(F.col("pos") / (distance + 1)))
+    r = right.withColumn(bin_r, F.explode(F.array(*[F.floor(F.col("r_pos") / (distance + 1)) + k for k in (-1, 0, 1)])))
+    met = l.join(r, (F.col("chrom") == F.col("r_chrom")) & (F.col(bin_l) == F.col(bin_r)))
+    return met.where(F.abs(F.col("pos") - F.col("r_pos")) <= distance).drop(bin_l, bin_r)
+
+
+def decluster(rows: DataFrame, value: str, distance: int, block: int = 1 << 20) -> DataFrame:
+    """Rows of (chrom, pos, value, ...) without a strictly larger value within `distance`; ties keep both.
+
+    A range window holds the largest value of the neighbourhood, so no pairs arise; rows near a block's edge visit the next block, too."""
+    b, own, most, seat = free(rows, "block", "own", "most", "seat")
+    seats = F.transform(F.sequence(F.floor((F.col("pos") - distance) / block), F.floor((F.col("pos") + distance) / block)), lambda x: F.struct(x.alias(b), (x == F.floor(F.col("pos") / block)).alias(own)))
+    dealt = rows.withColumn(seat, F.explode(seats)).select(*rows.columns, f"{seat}.*")
+    near = W.partitionBy("chrom", b).orderBy("pos").rangeBetween(-distance, distance)
+    return dealt.withColumn(most, F.max(value).over(near)).where(F.col(own) & (F.col(value) >= F.col(most))).drop(b, own, most)
 
 
-def decluster(rows: DataFrame, key: str, value: str, distance: int) -> DataFrame:
-    """Rows of (key, chrom, pos, value) without a strictly larger value within `distance`; ties keep both."""
-    other = rows.select(F.col("chrom").alias("r_chrom"), F.col("pos").alias("r_pos"), F.col(value).alias("r_value"))
-    beaten = band_pairs(rows.select(key, "chrom", "pos", value), other, distance).where(F.col("r_value") > F.col(value)).select(key).distinct()
-    return rows.join(beaten, key, "left_anti")
+def decluster_spans(rows: DataFrame, value: str, reach: int, width: int) -> DataFrame:
+    """Rows of (chrom, start, end, value, ...) that no row of strictly larger value overlaps within [start - reach, end + reach); ties keep both.
+
+    Of each span, only its largest value takes part, and only one row for each span and value is looked up."""
+    most, c, s, e, v = free(rows, "most", "c_chrom", "c_start", "c_end", "c_value")
+    peak = rows.groupBy(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end")).agg(F.max(value).alias(most))
+    spans = rows.select("chrom", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), F.col(value).alias(v)).distinct()
+    beaten = overlap_join(spans, peak, width).where(F.col(most) > F.col(v)).select(F.col("chrom").alias(c), (F.col("start") + reach).alias(s), (F.col("end") - reach).alias(e), v).distinct()
+    return rows.join(beaten, (F.col("chrom") == F.col(c)) & (F.col("start") == F.col(s)) & (F.col("end") == F.col(e)) & (F.col(value) == F.col(v)), "left_anti")
 
 
 def prefer(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The best row of each key by a total order."""
-    return rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    """The best row of each key by a total order. A rank within each key and random share comes first, so that a hot key is not one task."""
+    share, rank = free(rows, "share", "rank")
+    dealt = rows.withColumn(share, F.pmod(F.xxhash64(*rows.columns), F.lit(64)))
+    best = dealt.withColumn(rank, F.row_number().over(W.partitionBy(*keys, share).orderBy(*order))).where(F.col(rank) == 1).drop(rank, share)
+    return best.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
+
+
+def replace_ids(rows: DataFrame, ids: DataFrame, uuid: str, width: int) -> DataFrame:
+    """rows(chrom, start, end, uuid, ...) with the uuid of each of ids(b_chrom, b_start, b_end, b_uuid) that they overlap: a row for each, none for others."""
+    return overlap_join(rows, ids, width).withColumn(uuid, F.col("b_uuid")).select(*rows.columns)

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import sorted_fold
+from .names import free
 
-def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
-    """Pairs by falling score (then left, right), each taken if neither end is used. Groups are stretches that no pair crosses."""
-    schema = pairs.select(group, left, right, score).schema
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        used_left, used_right, kept = set(), set(), []
-        for row in frame.sort_values([score, left, right], ascending=[False, True, True]).itertuples(index=False):
-            l, r = getattr(row, left), getattr(row, right)
-            if l not in used_left and r not in used_right:
-                used_left.add(l), used_right.add(r), kept.append(row)
-        return pd.DataFrame(kept, columns=frame.columns)
+def greedy_pairs(pairs: DataFrame, groups: list[str], left: str, right: str, score: str) -> DataFrame:
+    """Pairs by falling score (then left, right), each taken if neither end is used. Groups are stretches that no pair
+    crosses, such as gap chains; a task holds the ids used in the stretch at hand, not its pairs."""
+    (falling,) = free(pairs, "falling")
+    kinds = dict(pairs.dtypes)
 
-    return pairs.select(group, left, right, score).groupBy(group).applyInPandas(take, schema)
+    def take(stream):
+        at, lefts, rights, n = None, set(), set(), len(groups)
+        for row in stream:
+            if row[:n] != at:
+                at, lefts, rights = row[:n], set(), set()
+            down, l, r = row[n:]
+            if l not in lefts and r not in rights:
+                lefts.add(l), rights.add(r)
+                yield *at, l, r, -down
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*groups, left, right, score])
+    return sorted_fold(pairs.withColumn(falling, -F.col(score)), groups, [falling, left, right], schema, take)
+
+
+def with_leftovers(taken: DataFrame, lefts: DataFrame, rights: DataFrame, left: str, right: str) -> DataFrame:
+    """taken(left, right, ...) and a row for each of lefts(left) and rights(right) without a partner, whose other columns are null."""
+    alone = lefts.select(left).distinct().join(taken.select(left), left, "left_anti"), rights.select(right).distinct().join(taken.select(right), right, "left_anti")
+    return taken.unionByName(alone[0], allowMissingColumns=True).unionByName(alone[1], allowMissingColumns=True)

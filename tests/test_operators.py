@@ -24,6 +24,55 @@ def test_overlap_join_equals_nested_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_overlap_of_very_long_and_short_intervals(spark):
+    """Each meets at the coarser level, once; a long interval is few rows; null keys meet nothing and stay in the anti join."""
+    rng = random.Random(7)
+    span = lambda: (lambda s, n: (s, s + n))(rng.randrange(10**6), rng.choice([1, 5, 100, 3000, 10**5, 2 * 10**6]))
+    a, b = [(i, "c", *span()) for i in range(80)], [(i, "c", *span()) for i in range(80)]
+    left = spark.createDataFrame(a + [(80, None, 1, 5), (81, "c", None, 5)], "i int, chrom string, start long, end long")
+    right = spark.createDataFrame(b + [(80, None, 1, 5)], "j int, b_chrom string, b_start long, b_end long")
+    want = sorted((x[0], y[0]) for x in a for y in b if x[2] < y[3] and x[3] > y[2])
+    assert sorted(map(tuple, iv.overlap_join(left, right, 16).select("i", "j").collect())) == want
+    small = right.where("b_end - b_start < 10")
+    hit = {x[0] for x in a for y in b if y[3] - y[2] < 10 and x[2] < y[3] and x[3] > y[2]}
+    assert sorted(r.i for r in iv.overlap_semi(left, small, 16).collect()) == sorted(hit)
+    assert sorted(r.i for r in iv.overlap_anti(left, small, 16).collect()) == sorted(set(range(82)) - hit)
+
+
+def test_stitched_windows_over_many_blocks(spark):
+    rng = random.Random(8)
+    rows = [("k%d" % rng.randrange(2), rng.randrange(400), i) for i in range(120)]
+    frame = spark.createDataFrame(rows, "k string, p long, t int").repartition(7)
+    for k in ("k0", "k1"):
+        mine = sorted((p, t) for x, p, t in rows if x == k)
+        got = {h: {r.t: r.x for r in cl.stitched(frame.where(F.col("k") == k), "k", ["p", "t"], F.col("p") + F.col("t"), h, "x", block=16).collect()} for h in ("sum", "max", "lag")}
+        total, most, last = 0, None, None
+        for p, t in mine:
+            total += p + t
+            assert (got["sum"][t], got["max"][t], got["lag"][t]) == (total, most, last)
+            most, last = max(most or 0, p + t), p + t
+
+
+def test_spans_decluster_and_depth(spark):
+    rng = random.Random(9)
+    rows = [(i, "c", s, s + rng.randrange(1, 40), rng.randrange(5)) for i in range(60) for s in [rng.randrange(900)]]
+    frame = spark.createDataFrame(rows, "i int, chrom string, start long, end long, v int")
+    want = [x[0] for x in rows if not any(y[4] > x[4] and y[2] < x[3] + 20 and y[3] > x[2] - 20 for y in rows)]
+    assert sorted(r.i for r in iv.decluster_spans(frame, "v", 20, 16).collect()) == sorted(want)
+    depth = {p: n for r in cl.depth_runs(frame, "chrom", "start", "end").collect() for p in range(r.start, r.end) for n in [r.depth]}
+    assert depth == {p: n for p in range(1000) if (n := sum(x[2] <= p < x[3] for x in rows))}
+
+
+def test_greedy_pairs_with_leftovers(spark):
+    from strandloom.operators import pairing
+
+    pairs = spark.createDataFrame([(1, "a", "x", 5.0), (1, "a", "y", 4.0), (1, "b", "x", 4.5), (2, "c", "z", 1.0)], "g int, l string, r string, s double")
+    taken = pairing.greedy_pairs(pairs, ["g"], "l", "r", "s")
+    assert {(r.l, r.r) for r in taken.collect()} == {("a", "x"), ("c", "z")}
+    whole = pairing.with_leftovers(taken, pairs, pairs, "l", "r").select("l", "r").collect()
+    assert {tuple(r) for r in whole} == {("a", "x"), ("c", "z"), ("b", None), (None, "y")}
+
+
 def test_band_pairs_at_the_boundary(spark):
     l = spark.createDataFrame([("c", 0), ("c", 100), ("c", 250)], "chrom string, pos long")
     r = spark.createDataFrame([("c", 100), ("c", 101), ("d", 0), ("c", 150)], "r_chrom string, r_pos long")
@@ -32,7 +81,7 @@ def test_band_pairs_at_the_boundary(spark):
 
 def test_decluster_keeps_ties(spark):
     rows = spark.createDataFrame([(1, "c", 0, 5), (2, "c", 500, 5), (3, "c", 900, 4), (4, "c", 1001, 3)], "id int, chrom string, pos long, v int")
-    assert sorted(r.id for r in iv.decluster(rows, "id", "v", 500).collect()) == [1, 2]
+    assert sorted(r.id for r in iv.decluster(rows, "v", 500).collect()) == [1, 2]
 
 
 def test_weighted_mean_is_zero_without_cover(spark):
@@ -83,7 +132,9 @@ def test_sweep_equals_fold(spark):
 
 def test_islands_and_chunks(spark):
     depth = spark.createDataFrame([("c", p, n) for p, n in ((1, 2), (2, 3), (3, 1), (4, 5), (6, 5))], "k string, p long, n long")
-    assert sorted((r.start, r.end) for r in cl.islands(depth, "k", "p", "n", 1, 1).collect()) == [(1, 3), (4, 5), (6, 7)]
+    # 3 is shallow, begins a run and 4 goes on with it; a run's last position must lie `length` behind its first.
+    assert sorted((r.start, r.end) for r in cl.islands(depth, "k", "p", "n", 1, 1).collect()) == [(1, 3), (3, 5)]
+    assert cl.islands(depth, "k", "p", "n", 1, 2).count() == 0
     got = cl.chunks(spark.createDataFrame([("a", 10), ("b", 5)], "n string, size long"), "n", "size", 2).collect()
     assert sorted(map(tuple, got)) == [(0, "a", 0, 8), (1, "a", 8, 10), (1, "b", 0, 5)]
 
@@ -97,6 +148,8 @@ def test_sequence_functions(spark):
     assert one(spark, sq.locate_first(s, F.lit("")), s="abc") == (0, 0)
     assert one(spark, sq.locate_last(s, F.lit("ab")), s="abxab") == (3, 5)
     assert one(spark, sq.locate_first(s, F.lit("zz")), s="abc") is None
+    assert one(spark, sq.locate_last(s, F.lit("aa")), s="aaa") == (0, 2) and one(spark, sq.locate_last(s, F.lit("x")), s="abc") is None
+    assert one(spark, sq.poly_a_fraction(s), s="aAtg") == 0.5
     assert one(spark, sq.oriented(s, F.lit("GT")), s="TTACTT") == "AC"
     assert one(spark, sq.genotype(F.lit(20), s), s=0.5) == "0/1"
     assert one(spark, sq.genotype(F.lit(9), s), s=0.5) == "./."
