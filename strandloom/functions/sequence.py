@@ -22,6 +22,80 @@ def poly_a_fraction(s: Column) -> Column:
     return F.coalesce(F.try_divide(F.greatest(count_of(F.upper(s), "A"), count_of(F.upper(s), "T")).cast("double"), F.length(s)), F.lit(0.0))
 
 
+def only_poly_a(s: Column) -> Column:
+    """Whether more than 95 % of an alignment's letters are A, or are T; case counts."""
+    return F.coalesce(F.greatest(count_of(s, "A"), count_of(s, "T")).cast("double") / F.nullif(F.length(s), F.lit(0)) > 0.95, F.lit(False))
+
+
+def run_scan(s: Column, letter: str) -> Column:
+    """struct(start, run) of the first longest run of the letter, whatever its case; run is its length less one; (0, 0) if none."""
+    runs = F.regexp_extract_all(F.upper(s), F.lit(f"({letter}+)"), F.lit(1))
+    longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    return F.when(longest > 0, F.struct((F.instr(F.upper(s), F.repeat(F.lit(letter), longest)) - 1).alias("start"), (longest - 1).alias("run"))).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("run")))
+
+
+def common_walk(a: Column, b: Column, most: int = 100) -> Column:
+    """How many of the first letters of both are the same, `most` at most."""
+    n = F.least(F.length(a), F.length(b), F.lit(most))
+    other = F.array_position(F.zip_with(F.split(F.substring(F.upper(a), F.lit(1), n), ""), F.split(F.substring(F.upper(b), F.lit(1), n), ""), lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(n == 0, 0).when(other > 0, (other - 1).cast("int")).otherwise(n)
+
+
+def target_site(left_of: Column, right_of: Column, left_seq: Column, right_seq: Column, most: int = 100) -> Column:
+    """Bases by which a junction can be moved to both sides: the walk on, and the walk back, together at most 2 * most."""
+    return common_walk(left_of, right_of, most) + common_walk(F.reverse(left_seq), F.reverse(right_seq), most)
+
+
+def longest_try(tries: Column) -> Column:
+    """The longest of an array of strings, the earliest on ties; null if the array is empty."""
+    most = F.array_max(F.transform(tries, F.length))
+    return F.try_element_at(F.filter(tries, lambda x: F.length(x) == most), F.lit(1))
+
+
+def widest_gap(blocks: Column) -> Column:
+    """struct(start, end) of the widest gap between sorted blocks(start, end), the first on ties; null for fewer than two."""
+    gaps = F.zip_with(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(0))), lambda a, b: F.struct(a["end"].alias("start"), b["start"].alias("end")))
+    most = F.array_max(F.transform(gaps, lambda g: g["end"] - g["start"]))
+    return F.try_element_at(F.filter(gaps, lambda g: g["end"] - g["start"] == most), F.lit(1))
+
+
+def psl_scores() -> dict[str, Column]:
+    """score, span and pctmatch of PSL columns, by the formulas of that format's own tools for nucleotides."""
+    m, x, r, q, t = (F.col(n) for n in ("matches", "mismatches", "repmatches", "qnuminsert", "tnuminsert"))
+    aligned = m + r + x
+    size = F.least(F.col("qend") - F.col("qstart"), F.col("tend") - F.col("tstart"))
+    off = F.greatest(F.col("qend") - F.col("qstart") - (F.col("tend") - F.col("tstart")), F.lit(0))
+    bad = 1000.0 * (x + q + F.round(3 * F.log(1.0 + off))) / F.nullif(aligned, F.lit(0))
+    return {"score": m + F.shiftright(r, 1) - x - q - t, "span": F.col("tend") - F.col("tstart"), "pctmatch": F.when(size <= 0, 0.0).otherwise(100.0 - bad * 0.1)}
+
+
+def uncovered(length: Column, spans: Column) -> Column:
+    """array of struct(start, end), half-open: what sorted or unsorted spans(start, end) leave uncovered of [0, length)."""
+    fold = F.aggregate(
+        F.array_sort(spans),
+        F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>))"),
+        lambda acc, s: F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.when(s["start"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["start"].cast("int").alias("end"))))).otherwise(acc["out"]).alias("out")),
+    )
+    tail = F.when(fold["at"] < length, F.array(F.struct(fold["at"].alias("start"), length.cast("int").alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    return F.concat(fold["out"], tail)
+
+
+def tail_strand(s: Column, n: int = 20) -> Column:
+    """+ if the sequence has n A in a row, - if n T, the first of these; else null."""
+    return F.when(F.contains(F.upper(s), F.lit("A" * n)), "+").when(F.contains(F.upper(s), F.lit("T" * n)), "-")
+
+
+def with_tail(s: Column, n: int = 50) -> Column:
+    """A transcript with its tail of A."""
+    return F.concat(s, F.lit("A" * n))
+
+
+def cigar_match(cigar: Column, nm: Column) -> Column:
+    """1 - NM over the M bases of a CIGAR; -1 without NM or such bases."""
+    m = F.aggregate(F.regexp_extract_all(cigar, F.lit("([0-9]+)M"), F.lit(1)), F.lit(0), lambda a, x: a + x.cast("int"))
+    return F.coalesce(1 - F.try_divide(nm.cast("double"), m), F.lit(-1.0))
+
+
 def longest_run(s: Column, letter: str) -> Column:
     """Length of the longest run of the letter, whatever its case; 0 if none."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(F.upper(s), F.lit(f"({letter}+)"), F.lit(1)), F.length)), F.lit(0))

@@ -394,3 +394,6 @@ SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 21600000000 A
 def q51_sessions(spark, d):
     s = session_counts(_t(spark, d, "events"), "6 hours")
     return s.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
+
+
+from . import read_queries  # noqa: E402, F401  (registers the queries on reads and calls)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .lineage import cut
 from .names import free
 
 BLOCK = 1 << 20
@@ -22,26 +23,28 @@ BLOCK = 1 << 20
 
 def stitched(rows: DataFrame, key: str, order: list[str], value: Column, how: str, out: str, block: int = BLOCK) -> DataFrame:
     """rows with a value over the rows of the same key up to it in `order`, whose first column is a position: "sum" of all
-    with the row's own, "max" of those before it, or "lag", that of the row before. block: positions ordered in one task."""
+    with the row's own, "max" of those before it, or "lag", that of the row before. block: positions ordered in one task.
+    rows are computed once and checkpointed, as blocks' totals and the rows themselves both need them."""
     b, v, t, k2, b2 = free(rows, "block", "value", "total", "key_of_block", "number_of_block")
-    cut = rows.withColumns({b: F.floor(F.col(order[0]) / block), v: value})
+    dealt = cut(rows.withColumns({b: F.floor(F.col(order[0]) / block), v: value}))
     inner, blocks = W.partitionBy(key, b).orderBy(*order), W.partitionBy(key).orderBy(b)
     total = {"sum": F.sum(v), "max": F.max(v), "lag": F.max_by(v, F.struct(*order))}[how]
     earlier = blocks.rowsBetween(W.unboundedPreceding, -1)
     before = {"sum": F.coalesce(F.sum(t).over(earlier), F.lit(0)), "max": F.max(t).over(earlier), "lag": F.lag(t).over(blocks)}[how]
-    totals = cut.groupBy(key, b).agg(total.alias(t)).select(F.col(key).alias(k2), F.col(b).alias(b2), before.alias(t))
-    met = cut.join(totals, F.col(key).eqNullSafe(F.col(k2)) & F.col(b).eqNullSafe(F.col(b2)))
+    totals = dealt.groupBy(key, b).agg(total.alias(t)).select(F.col(key).alias(k2), F.col(b).alias(b2), before.alias(t))
+    met = dealt.join(totals, F.col(key).eqNullSafe(F.col(k2)) & F.col(b).eqNullSafe(F.col(b2)))
     rows_before = inner.rowsBetween(W.unboundedPreceding, -1)
     done = {"sum": F.sum(v).over(inner.rowsBetween(W.unboundedPreceding, 0)) + F.col(t), "max": F.greatest(F.max(v).over(rows_before), F.col(t)), "lag": F.coalesce(F.lag(v).over(inner), F.col(t))}[how]
     return met.withColumn(out, done).select(*[c for c in rows.columns if c != out], out)
 
 
 def gap_chain(rows: DataFrame, key: str, start: str, end: str, spacing: int, tie: str, out: str = "chain", block: int = BLOCK) -> DataFrame:
-    """A number for each chain: a row joins if it starts at most `spacing` after the row before it ended."""
-    prior, new = free(rows, "prior", "new")
+    """A number for each chain: a row joins if it starts at most `spacing` after the row before it ended. Rows equal in start
+    and tie should end alike; of those, the one that begins a chain counts as the first."""
+    prior, new, turned = free(rows, "prior", "new", "turned")
     lagged = stitched(rows, key, [start, tie], F.col(end), "lag", prior, block)
-    marked = lagged.withColumn(new, F.when(F.col(start) - F.col(prior) <= spacing, 0).otherwise(1))
-    return stitched(marked, key, [start, tie], F.col(new), "sum", out, block).drop(prior, new)
+    marked = lagged.withColumn(new, F.when(F.col(start) - F.col(prior) <= spacing, 0).otherwise(1)).withColumn(turned, -F.col(new))
+    return stitched(marked, key, [start, tie, turned], F.col(new), "sum", out, block).drop(prior, new, turned)
 
 
 def sorted_fold(rows: DataFrame, keys: list[str], order: list[str], schema: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -122,8 +125,8 @@ def even_windows(rows: DataFrame, key: str, order: list[str], size: int) -> Data
 def bins(contigs: DataFrame, name: str, length: str, width: int) -> DataFrame:
     """(name, start, end) of the fixed bins of each contig."""
     size, at = free(contigs, "size", "start")
-    cut = contigs.where(F.col(length) > 0).select(name, F.col(length).alias(size), F.explode(F.sequence(F.lit(0).cast("long"), F.col(length) - 1, F.lit(width).cast("long"))).alias(at))
-    return cut.select(name, F.col(at).alias("start"), F.least(F.col(at) + width, F.col(size)).alias("end"))
+    begun = contigs.where(F.col(length) > 0).select(name, F.col(length).alias(size), F.explode(F.sequence(F.lit(0).cast("long"), F.col(length) - 1, F.lit(width).cast("long"))).alias(at))
+    return begun.select(name, F.col(at).alias("start"), F.least(F.col(at) + width, F.col(size)).alias("end"))
 
 
 def chunks(contigs: DataFrame, name: str, length: str, n: int, pad: int = 0) -> DataFrame:
@@ -148,8 +151,8 @@ def sweep_longest(rows: DataFrame, key: str) -> DataFrame:
     """
     reach, new, stretch = free(rows, "reach", "new", "stretch")
     order = ["start", "end", "size"]
-    cut = stitched(rows.select(key, *[F.col(c).cast("long").alias(c) for c in order]), key, order, F.col("end"), "max", reach)
-    cut = stitched(cut.withColumn(new, F.when(F.col("start") < F.col(reach), 0).otherwise(1)), key, order, F.col(new), "sum", stretch)
+    swept = stitched(rows.select(key, *[F.col(c).cast("long").alias(c) for c in order]), key, order, F.col("end"), "max", reach)
+    swept = stitched(swept.withColumn(new, F.when(F.col("start") < F.col(reach), 0).otherwise(1)), key, order, F.col(new), "sum", stretch)
 
     def fold(stream):
         last = at = None
@@ -163,7 +166,7 @@ def sweep_longest(rows: DataFrame, key: str) -> DataFrame:
         if last:
             yield at[0], *last
 
-    return sorted_fold(cut, [key, stretch], order, f"`{key}` {dict(rows.dtypes)[key]}, start long, end long, size long", fold)
+    return sorted_fold(swept, [key, stretch], order, f"`{key}` {dict(rows.dtypes)[key]}, start long, end long, size long", fold)
 
 
 def strand_of(rows: DataFrame, keys: list[str], order: list[str], own: str, mate: str) -> DataFrame:
