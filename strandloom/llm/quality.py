@@ -29,8 +29,10 @@ from .common import cut, free_name, remainder, table
 from .textbytes import NON_BLANK, prefix_hash, span_hash, text_chunks, window_hash, word_spans
 
 BITS, DIM, EPOCHS, RATE = 18, 8, 4, 0.4
-TRAIN_ROWS, TRAIN_BUCKETS = 4000, 6_000_000
+TRAIN_ROWS, TRAIN_BUCKETS = 4000, 20_000_000
 THRESHOLD = 0.7
+#: Tasks that count the buckets of the rows to learn from.
+PARTS = 64
 _MASK = (1 << BITS) - 1
 
 
@@ -65,7 +67,7 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def bags(docs: DataFrame, text: str) -> DataFrame:
-    """docs with the text's distinct buckets and their shares, as little-endian bytes of int32 and float32."""
+    """docs with n, how many distinct buckets the text has, their steps and their counts, as compressed little-endian numbers of 32 bits."""
     names = [c for c in docs.columns if c != text]
 
     def run(batches):
@@ -75,11 +77,17 @@ def bags(docs: DataFrame, text: str) -> DataFrame:
                 families = list(features(data, offsets))
                 for r in range(len(offsets) - 1):
                     b, c = np.unique(np.concatenate([np.zeros(0, np.int32), *(f[s[r] : s[r + 1]] for f, s in families)]), return_counts=True)
-                    out.append((b.astype("<i4").tobytes(), (c / max(1, c.sum())).astype("<f4").tobytes()))
-            b, c = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(b, pa.binary()), pa.array(c, pa.binary())], [*names, "buckets", "parts"])
+                    out.append((len(b), *(pa.compress(x.astype("<u4").tobytes(), "zstd", asbytes=True) for x in (np.diff(b, prepend=0), c))))
+            n, b, c = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(n, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], [*names, "n", "buckets", "counts"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[n] for n in names), T.StructField("buckets", T.BinaryType()), T.StructField("parts", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[x] for x in names), T.StructField("n", T.LongType()), T.StructField("buckets", T.BinaryType()), T.StructField("counts", T.BinaryType())]))
+
+
+def bag_of(n: int, buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares) of a row of bags."""
+    b, c = (np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), "<u4") if n else np.zeros(0, np.uint32) for x in (buckets, counts))
+    return np.cumsum(b).astype(np.int32), (c / max(1, c.sum())).astype(np.float32)
 
 
 def train(bag: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -118,11 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out_of:
     # At most train_rows ids: small enough to broadcast whatever the number of labels.
     order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")
     mine = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(train_rows)
-    counted = cut(bags(mine, "text"))
+    counted = cut(bags(mine.repartition(PARTS), "text"))
     # Over at most train_rows rows.
-    so_far = F.sum(F.length("buckets") / 4).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    rows = counted.withColumn("so_far", so_far).where((F.col("so_far") <= TRAIN_BUCKETS)).orderBy(*order).collect()
-    return train([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.parts, "<f4")) for r in rows], [r.y for r in rows])
+    so_far = F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = counted.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_BUCKETS).orderBy(*order).collect()
+    return train([bag_of(r.n, r.buckets, r.counts) for r in rows], [r.y for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
