@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
 Pages are ranged by page_id into shards of about equal payload, whose bounds come from a histogram of the data and
-not from partitions; a range too heavy to cut by id (repeated or null ids) is dealt on by digest. Within a shard,
+not from partitions; a range too heavy to cut by id (repeated or null ids) is dealt on by digest and url. Within a shard,
 records go out in order of page_id and digest, each a gzip member of its own, and a file ends when its compressed
 size reaches ROLL_BYTES. Headers, record ids and digests derive from the page alone, so every run writes the same
 bytes. A file is written under a temporary name of its task attempt and then renamed; the manifest, written last by
@@ -97,25 +97,44 @@ def parse(raw: bytes) -> tuple:
 
 
 def with_shards(records: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """records(page_id, size, digest, ...) with their shard; and the number of shards."""
+    """records(page_id, url, size, digest, ...) with their shard; and the number of shards.
+
+    Ranges of equal width are weighed first; those heavier than a shard and than an even share are cut again between the ids
+    that they really hold, so single outlying ids don't make one range of the rest. The driver gets a row for each range, of
+    which a pass adds 16 * BINS / 4 at most; every pass separates the least and largest id of a range, and ends with single ids.
+    """
     ends = records.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.sum(F.col("size") + 512).alias("n")).first()
     if not ends.n:
         return records.withColumn("shard", F.lit(0)), 1
-    low, span = ends.a or 0, (ends.b or 0) - (ends.a or 0) + 1
     shard_bytes = max(1, min(shard_bytes, ends.n // LEAST_SHARDS))
-    spot = F.when(F.col("page_id").isNull(), 0).otherwise(F.least(F.lit(BINS), 1 + F.floor((F.col("page_id") - low).cast("double") * BINS / span))).cast("int")
-    weight = {r.bin: r.n for r in records.groupBy(spot.alias("bin")).agg(F.sum(F.col("size") + 512).alias("n")).collect()}  # at most BINS + 1 rows
-    first, ways, shard, filled = [], [], 0, 0
-    for b in range(BINS + 1):
-        n = weight.get(b, 0)
+    heaviest = max(shard_bytes, 4 * ends.n // BINS)
+    spark, id_ = records.sparkSession, F.col("page_id")
+    weigh = lambda rows: {r.bin: (r.n, r.a, r.b) for r in rows.groupBy("bin").agg(F.sum(F.col("size") + 512).alias("n"), F.min("page_id").alias("a"), F.max("page_id").alias("b")).collect()}
+    # Bin 0 is of null ids, bin 1 of all others, until it is cut.
+    dealt = records.withColumn("bin", F.when(id_.isNull(), 0).otherwise(1))
+    bins = {1: (ends.n, ends.a, ends.b)} if ends.a is not None else {}
+    used, first_pass = 2, True
+    while heavy := [b for b, (n, low, high) in bins.items() if b and low < high and (first_pass or n > heaviest)]:
+        parts = max(16, BINS // len(heavy))
+        # Subtraction of whole numbers is exact; ranges too wide for it are cut by doubles, which keep the order too.
+        cuts = [(b, bins[b][1], bins[b][2] - bins[b][1] >= 1 << 62, float(bins[b][2] - bins[b][1]), used + i * parts) for i, b in enumerate(heavy)]
+        table_ = spark.createDataFrame(cuts, "bin int, low long, wide boolean, span double, base int")
+        offset = F.when(F.col("wide"), id_.cast("double") - F.col("low").cast("double")).otherwise(F.try_subtract(id_, F.col("low")).cast("double"))
+        spot = F.col("base") + F.least(F.lit(parts - 1), F.floor(offset / F.col("span") * parts)).cast("int")
+        dealt = dealt.join(F.broadcast(table_), "bin", "left").withColumn("bin", F.coalesce(spot, "bin")).drop("low", "wide", "span", "base")  # at most BINS / 4 rows
+        bins = {b: v for b, v in bins.items() if b not in heavy} | weigh(dealt.where((F.col("bin") >= used) | (F.col("bin") == 0)))
+        used, first_pass = used + parts * len(heavy), False
+    if first_pass:
+        bins = weigh(dealt)
+    rows, shard, filled = [], 0, 0
+    for b, (n, *_) in sorted(bins.items(), key=lambda x: (x[0] > 0, x[1][1] or 0)):
         if filled and filled + n > shard_bytes:
             shard, filled = shard + 1, 0
-        first.append(shard)
-        ways.append(-(-n // shard_bytes) if n > shard_bytes else 1)
-        shard, filled = (shard + ways[-1], 0) if ways[-1] > 1 else (shard, filled + n)
-    bins = records.sparkSession.createDataFrame([(b, first[b], ways[b]) for b in sorted(weight)], "bin int, first int, ways int")
-    dealt = records.withColumn("bin", spot).join(F.broadcast(bins), "bin")  # at most BINS + 1 rows
-    return dealt.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("ways")).cast("int")).drop("bin", "first", "ways"), shard + 1
+        ways = -(-n // shard_bytes) if n > shard_bytes else 1
+        rows.append((b, shard, ways))
+        shard, filled = (shard + ways, 0) if ways > 1 else (shard, filled + n)
+    met = dealt.join(F.broadcast(spark.createDataFrame(rows, "bin int, first int, ways int")), "bin")  # as many rows as ranges
+    return met.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("digest", "url"), F.col("ways")).cast("int")).drop("bin", "first", "ways"), shard + 1
 
 
 def records_of(pages: DataFrame) -> DataFrame:
@@ -171,7 +190,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in MANIFEST.split(", ")])
 
-    laid = records.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest")
+    laid = records.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
     laid.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

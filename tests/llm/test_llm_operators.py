@@ -257,6 +257,19 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in rows) > 0.7 * sum(r.base_score for r in rows)
 
 
+@pytest.mark.parametrize("ids", [[*range(1000), 1 << 62], [-(1 << 63), *range(7, 1007), (1 << 63) - 1], [5] * 300 + [None] * 300, [None] * 50, [9] * 50, []], ids=["outlier", "widest", "heavy", "null", "one", "empty"])
+def test_warc_shards_are_ranges(spark, ids):
+    records = spark.createDataFrame([(x, f"u{i}", 100, f"{i % 40:040d}") for i, x in enumerate(ids)], "page_id long, url string, size long, digest string")
+    dealt, shards = warc.with_shards(records)
+    rows = [(r.shard, r.page_id) for r in dealt.collect()]
+    assert len(rows) == len(ids) and all(0 <= s < shards for s, _ in rows)
+    assert sorted(r.shard for r in warc.with_shards(records.repartition(3))[0].collect()) == sorted(s for s, _ in rows)
+    spans = sorted((min(x for s2, x in rows if s2 == s), max(x for s2, x in rows if s2 == s)) for s in {s for s, x in rows} if all(x is not None for s2, x in rows if s2 == s))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    largest = max((sum(s2 == s for s2, _ in rows) for s in {s for s, _ in rows}), default=0)
+    assert largest <= max(60, len(ids) // 8)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "y" * 1200
     rows = [(1, "http://a/ b\r\nX: y", big), (7, None, big), (7, None, big), (3, "u", "small"), (4, "u", "small"), (None, "u", None), (9, "u", ""), (8, "ü", big + "é"), (None, "n", big)]
