@@ -47,7 +47,7 @@ def rest(doc_id, n):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_with_sql(run, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = c.sql(registry.ORACLE_SQL[name]).df().astype(object).to_dict("records")
     plain = lambda rows: Counter(tuple((k, None if v is None or v != v else v if isinstance(v, (str, bool)) else int(v)) for k, v in sorted(r.items())) for r in rows)
