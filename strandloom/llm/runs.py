@@ -9,6 +9,7 @@ neighbouring multiples of q, at which words are equal. All places of a chunk of
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from .textbytes import mix64, text_chunks
 
 #: A run has LEAST words or more, and REPEATS periods or more.
 LEAST, REPEATS = 6, 4
-CHUNK_BYTES, PENDING = 1 << 21, 1 << 17
+CHUNK_BYTES, PENDING = 1 << 19, 1 << 16
 RUN = "array<struct<start:long,length:long,period:long>>"
 
 
@@ -112,44 +113,60 @@ def extensions(levels: list[Level], i: np.ndarray, j: np.ndarray, way: int) -> n
 
 
 def grid(text: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For each period that fits REPEATS times into `longest` words, the multiples of it with equal words at the next ones."""
+    """For each period q that fits REPEATS times into `longest` words, the multiples i of it with equal words at the next ones. In a
+    run, words are the same for (REPEATS - 2) * q words from i on as q words later, of which a few are looked at."""
     for q in range(1, longest // REPEATS + 1):
         points = text[::q]
         equal = points[1:] == points[:-1]
         fits = equal[: len(equal) - REPEATS + 2].copy()
         for k in range(1, REPEATS - 1):
             fits &= equal[k : len(equal) - REPEATS + 2 + k]
-        if fits.any():
-            yield np.flatnonzero(fits) * q, q
+        at = np.flatnonzero(fits) * q
+        for ahead in {1, 2, 3, q // 2, q + q // 3} if q > 1 else ():
+            if len(at) and ahead <= (REPEATS - 2) * q:
+                at = at[text[at + ahead] == text[at + ahead + q]]
+        if len(at):
+            yield at, q
 
 
 def runs_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, start, length, smallest period) of the runs of texts of numbers from 0 on, by text, start and period."""
+    none = (np.zeros(0, np.int64),) * 4
     sizes = np.array([len(t) for t in texts], np.int64)
     top = max((int(t.max()) for t in texts if len(t)), default=-1) + 1
     # Each text stands between marks that occur once.
     laid = lambda which: np.concatenate([np.append(texts[t], top + 1 + k) for k, t in enumerate(which)] or [np.zeros(0, np.int64)])
     begins = np.cumsum(sizes + 1) - sizes - 1
-    places = [(at, np.full(len(at), q)) for at, q in grid(laid(range(len(texts))), int(sizes.max(initial=0)))]
+    places = [(at.astype(np.int32), np.full(len(at), q, np.int32)) for at, q in grid(laid(range(len(texts))).astype(np.int32), int(sizes.max(initial=0)))]
     if not places:
-        return (np.zeros(0, np.int64),) * 4
+        return none
     at, period = (np.concatenate(p) for p in zip(*places))
-    owner = np.searchsorted(begins, at, "right") - 1
+    owner = (np.searchsorted(begins, at, "right") - 1).astype(np.int32)
     own = at + (REPEATS - 1) * period < begins[owner] + sizes[owner]
     at, period, owner = at[own], period[own], owner[own]
     held = np.unique(owner)  # only texts with such places need a grammar
     if not len(held):
-        return (np.zeros(0, np.int64),) * 4
+        return none
     levels = grammar(np.append(top, laid(held)))
     moved = np.zeros(len(texts), np.int64)
     moved[held] = np.cumsum(sizes[held] + 1) - sizes[held] - begins[held]
-    found = []
-    for k in range(0, len(at), PENDING):
-        i, q, who = at[k : k + PENDING] + moved[owner[k : k + PENDING]], period[k : k + PENDING], owner[k : k + PENDING]
-        back, on = extensions(levels, i, i + q, -1), extensions(levels, i, i + q, 1)
-        length = back + on + q
-        keep = length >= np.maximum(LEAST, REPEATS * q)
-        found.append(np.unique(np.stack([who, i - back - moved[who] - begins[who], length, q])[:, keep], axis=1))
+    found, turns = [], 0
+    while len(at):
+        # Places of one period that follow each other mostly lie in one run: the first of them is asked, and those that its answer
+        # holds need not be. After some turns all that are left are asked.
+        behind = np.append(False, (period[1:] == period[:-1]) & (at[1:] == at[:-1] + period[1:])) if turns < 4 else np.zeros(len(at), bool)
+        heads, ends = np.flatnonzero(~behind), np.zeros(len(at), np.int64)
+        for k in range(0, len(heads), PENDING):
+            some = heads[k : k + PENDING]
+            who, q = owner[some], period[some].astype(np.int64)
+            i = at[some] + moved[who]
+            back, on = extensions(levels, i, i + q, -1), extensions(levels, i, i + q, 1)
+            length = back + on + q
+            ends[some] = at[some] + on + q
+            keep = length >= np.maximum(LEAST, REPEATS * q)
+            found.append(np.unique(np.stack([who, i - back - moved[who] - begins[who], length, q])[:, keep], axis=1))
+        left = behind & (at + (REPEATS - 1) * period >= ends[heads][np.cumsum(~behind) - 1])
+        at, period, owner, turns = at[left], period[left], owner[left], turns + 1
     rows = np.unique(np.concatenate(found, axis=1), axis=1)
     # Multiples of a run's period give the same stretch again; the smallest comes first.
     new = np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))[: rows.shape[1]]
@@ -171,10 +188,11 @@ def with_runs(docs: DataFrame, text: str = "text", runs: str = "runs", collapsed
     def run(batches):
         for batch in batches:
             for at, data, offsets in text_chunks(batch.column(text), CHUNK_BYTES):
-                blob, numbers, words, coded = data.tobytes(), {}, [], []
+                blob, numbers, words, coded = data.tobytes(), defaultdict(), [], []
+                numbers.default_factory = numbers.__len__  # a word's number is how many came before it
                 for s, e in zip(offsets[:-1], offsets[1:]):
                     words.append(blob[s:e].split())
-                    coded.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words[-1]), np.int64, len(words[-1])))
+                    coded.append(np.fromiter(map(numbers.__getitem__, words[-1]), np.int64, len(words[-1])))
                 drop, lists = {}, [[] for _ in words]
                 for who, start, length, period in zip(*(c.tolist() for c in runs_of(coded))):
                     lists[who].append({"start": start, "length": length, "period": period})
