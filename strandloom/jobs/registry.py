@@ -396,4 +396,4 @@ def q51_sessions(spark, d):
     return s.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
-from . import format_queries, read_queries  # noqa: E402, F401  (register the queries on reads and calls, and on lines of other tools)
+from . import format_queries, genome_queries, read_queries  # noqa: E402, F401  (register the queries on reads and calls, on lines of other tools, and on genomes)

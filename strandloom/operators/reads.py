@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cigar import aligned_pairs, walk
 from ..functions.sequence import count_of, has_flag
 from .names import free
 
@@ -151,11 +152,17 @@ def members_of(reads: DataFrame, names: DataFrame) -> DataFrame:
     return reads.join(names.select("bam", "qname").distinct(), ["bam", "qname"], "left_semi")
 
 
-def base_calls(reads: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
-    """(chrom, pos, alt, n, depth): of unclipped, ungapped reads, bases other than the reference's (`ref`, as long as the read), where the commonest has
-    `least` reads and that share. A majority caller; the smallest base wins a tie."""
-    plain = reads.where(F.col("cigar").rlike("^[0-9]+M$"))
-    seen = plain.select("chrom", "pos", F.posexplode(F.arrays_zip(F.split(F.upper("seq"), "").alias("base"), F.split(F.upper("ref"), "").alias("was"))).alias("i", "b")).select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "b.base", "b.was")
+def base_calls(reads: DataFrame, least: int = 2, share: float = 0.5, gapped: bool = False) -> DataFrame:
+    """(chrom, pos, alt, n, depth): bases of reads other than the reference's, where the commonest has `least` reads and that share. A
+    majority caller; the smallest base wins a tie. `ref` holds the reference's letters from a read's position on. gapped: all reads take
+    part, by a walk over their CIGARs, with the bases that stand against a position; else unclipped, ungapped ones only."""
+    if gapped:
+        pairs = aligned_pairs(F.upper("seq"), walk(F.col("cigar"), F.col("pos")))
+        each = reads.select("chrom", "pos", F.upper("ref").alias("ref"), F.explode(pairs).alias("b"))
+        seen = each.select("chrom", F.col("b.ref").alias("pos"), F.col("b.base").alias("base"), F.substring("ref", (F.col("b.ref") - F.col("pos") + 1).cast("int"), F.lit(1)).alias("was"))
+    else:
+        plain = reads.where(F.col("cigar").rlike("^[0-9]+M$"))
+        seen = plain.select("chrom", "pos", F.posexplode(F.arrays_zip(F.split(F.upper("seq"), "").alias("base"), F.split(F.upper("ref"), "").alias("was"))).alias("i", "b")).select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "b.base", "b.was")
     counts = seen.groupBy("chrom", "pos", "was", "base").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"), F.min(F.struct((-F.col("n")).alias("m"), F.col("base"), F.col("was"))).alias("t"))
     return top.where((F.col("t.base") != F.col("t.was")) & (-F.col("t.m") >= least) & (-F.col("t.m") >= share * F.col("depth"))).select("chrom", "pos", F.col("t.was").alias("was"), F.col("t.base").alias("alt"), (-F.col("t.m")).alias("n"), "depth")
