@@ -2,7 +2,7 @@
 
 `store` keeps bytes losslessly as 8-bit mono samples of a WAVE file. `sniff` trusts no declared type: an Aho-Corasick
 automaton finds the magic bytes of all formats in one pass over a blob, a validator for each format walks its
-structure and returns its length, and so the blob's type is corrected and every embedded piece of media is carved.
+structure and returns its length (of chains that many beginnings lead to, every step once), and so the blob's type is corrected and every embedded piece of media is carved.
 
 All work is on one row's bytes, so nothing is shuffled and memory follows one blob.
 
@@ -57,55 +57,6 @@ def wave_samples(media: memoryview) -> memoryview:
     raise ValueError("no samples")
 
 
-def _riff(b: memoryview) -> tuple[str, int] | None:
-    if len(b) < 12:
-        return None
-    end = 8 + struct.unpack_from("<I", b, 4)[0]
-    kind, wanted = {b"WAVE": ("audio/wav", {b"fmt ", b"data"}), b"WEBP": ("image/webp", set()), b"AVI ": ("video/avi", set())}.get(bytes(b[8:12]), (None, set()))
-    if not kind or end > len(b) or end < 12:
-        return None
-    at, seen = 12, set()
-    while at + 8 <= end:
-        seen.add(bytes(b[at : at + 4]))
-        size = struct.unpack_from("<I", b, at + 4)[0]
-        at += 8 + size + (size & 1)
-    return (kind, end) if at in (end, end + 1) and seen and wanted <= seen else None
-
-
-def _png(b: memoryview) -> tuple[str, int] | None:
-    at, first = 8, True
-    while at + 12 <= len(b):
-        size, name = struct.unpack_from(">I4s", b, at)
-        if at + 12 + size > len(b) or first and name != b"IHDR" or zlib.crc32(b[at + 4 : at + 8 + size]) != struct.unpack_from(">I", b, at + 8 + size)[0]:
-            return None
-        at, first = at + 12 + size, False
-        if name == b"IEND":
-            return "image/png", at
-    return None
-
-
-def _gif(b: memoryview) -> tuple[str, int] | None:
-    if len(b) < 13:
-        return None
-    at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
-
-    def blocks(at: int) -> int:
-        while at < len(b) and b[at]:
-            at += b[at] + 1
-        return at + 1
-
-    while at < len(b):
-        if b[at] == 0x3B:
-            return "image/gif", at + 1
-        if b[at] == 0x21:
-            at = blocks(at + 2)
-        elif b[at] == 0x2C and at + 10 < len(b):
-            at = blocks(at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
-
-
 def _jpeg(b: memoryview) -> tuple[str, int] | None:
     at, scanned, raw = 2, False, b.obj
     base = len(raw) - len(b)  # b is the rest of the blob from its magic on
@@ -134,6 +85,49 @@ class _Places:
 
     def __init__(self, raw: bytes):
         self.raw, self.known = raw, {}
+        self.chunks = _Chains(self._chunk, lambda at: (b"fmt ", b"data").index(raw[at : at + 4]) if raw[at : at + 4] in (b"fmt ", b"data") and at + 8 <= len(raw) else -1)
+        self.pieces, self.pages = _Chains(self._piece), _Chains(self._page)
+        self.parts, self.frames = _Chains(self._part), _Chains(self._frame)
+
+    def _chunk(self, at: int) -> int:
+        """Of RIFF: the next chunk; names of chunks are printable."""
+        if at + 8 > len(self.raw) or not all(32 <= c <= 126 for c in self.raw[at : at + 4]):
+            return -1
+        size = struct.unpack_from("<I", self.raw, at + 4)[0]
+        return at + 8 + size + (size & 1)
+
+    def _piece(self, at: int) -> int:
+        """Of PNG: behind a chunk whose checksum holds; an end chunk is the last."""
+        if at + 12 > len(self.raw) or self.raw[at - 8 : at - 4] == b"IEND" and self.raw[at - 12 : at - 8] == bytes(4):
+            return -1
+        size = struct.unpack_from(">I", self.raw, at)[0]
+        if at + 12 + size > len(self.raw) or zlib.crc32(self.raw[at + 4 : at + 8 + size]) != struct.unpack_from(">I", self.raw, at + 8 + size)[0]:
+            return -1
+        return at + 12 + size
+
+    def page_size(self, at: int) -> int:
+        """Of Ogg: bytes of the page at a place; 0 if there is none."""
+        if at + 27 > len(self.raw) or self.raw[at : at + 5] != b"OggS\0":
+            return 0
+        n = self.raw[at + 26]
+        size = 27 + n + sum(self.raw[at + 27 : at + 27 + n])
+        return size if at + size <= len(self.raw) and at + 27 + n <= len(self.raw) else 0
+
+    def _page(self, at: int) -> int:
+        size = self.page_size(at)
+        return at + size if size and not self.raw[at + 5] & 4 else -1
+
+    def _part(self, at: int) -> int:
+        """Of GIF: the next block of data; an empty one is the last."""
+        return at + self.raw[at] + 1 if at < len(self.raw) and self.raw[at] else -1
+
+    def _frame(self, at: int) -> int:
+        """Of GIF: behind an extension or an image."""
+        if at + 10 >= len(self.raw) and (at >= len(self.raw) or self.raw[at] == 0x2C) or at >= len(self.raw) or self.raw[at] not in (0x21, 0x2C):
+            return -1
+        table_ = 0 if self.raw[at] == 0x21 or not self.raw[at + 9] & 0x80 else 3 << (self.raw[at + 9] & 7) + 1
+        last = self.parts.last(at + 2 if self.raw[at] == 0x21 else at + 11 + table_)
+        return last + 1 if last < len(self.raw) else -1
 
     def all(self, mark: bytes) -> list[int]:
         if mark not in self.known:
@@ -163,6 +157,86 @@ class _Places:
         return self.known["zip"]
 
 
+class _Chains:
+    """Chains of places in one blob, each a step on from the one before. Chains that meet go on alike, so a step is taken once, however
+    many beginnings lead to it; a place keeps where its chain ends and a far place ahead, by which others are found in few leaps."""
+
+    def __init__(self, step: Callable[[int], int], mark: Callable[[int], int] | None = None):
+        self.step, self.mark = step, mark
+        self.known: dict[int, tuple[int, int, int, int, tuple[int, int]]] = {}  # next (-1: none), leap, depth, last place, marks from here on
+
+    def _go(self, at: int) -> None:
+        path = []
+        while at not in self.known:
+            path.append(at)
+            after = self.step(at)
+            if after < 0:
+                self.known[at] = (-1, at, 0, at, self._marks(at, (0, 0)))
+                path.pop()
+                break
+            at = after
+        for at in reversed(path):
+            after = self.step(at)
+            _, leap, depth, last, marks = self.known[after]
+            far = self.known[leap]
+            balanced = depth - far[2] == far[2] - self.known[far[1]][2]
+            self.known[at] = (after, far[1] if balanced else after, depth + 1, last, self._marks(at, marks))
+
+    def _marks(self, at: int, after: tuple[int, int]) -> tuple[int, int]:
+        if self.mark is None:
+            return after
+        which = self.mark(at)
+        return after[0] + (which == 0), after[1] + (which == 1)
+
+    def last(self, at: int) -> int:
+        if at not in self.known:
+            self._go(at)
+        return self.known[at][3]
+
+    def reach(self, at: int, least: int) -> tuple[int, tuple[int, int]] | None:
+        """The first place of the chain at `least` or behind, and the marks of the places before it; None if the chain ends before."""
+        if self.last(at) < least:
+            return None
+        begun = self.known[at][4]
+        while at < least:
+            after, leap = self.known[at][:2]
+            at = leap if at < leap < least else after
+        there = self.known[at][4]
+        return at, (begun[0] - there[0], begun[1] - there[1])
+
+
+def _riff(places: _Places, at: int) -> tuple[str, int] | None:
+    raw = places.raw
+    if at + 20 > len(raw):
+        return None
+    end = at + 8 + struct.unpack_from("<I", raw, at + 4)[0]
+    kind = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}.get(raw[at + 8 : at + 12])
+    if not kind or end > len(raw) or end < at + 20:
+        return None
+    # The first place from which no chunk fits before the end must be the end itself.
+    found = places.chunks.reach(at + 12, end - 7)
+    if found is None or found[0] not in (end, end + 1):
+        return None
+    return (kind, end - at) if kind != "audio/wav" or min(found[1]) > 0 else None
+
+
+def _png(places: _Places, at: int) -> tuple[str, int] | None:
+    raw = places.raw
+    if raw[at + 8 : at + 16] != b"\x00\x00\x00\rIHDR":
+        return None
+    last = places.pieces.last(at + 8)
+    return ("image/png", last - at) if raw[last - 8 : last - 4] == b"IEND" and last > at + 33 else None
+
+
+def _gif(places: _Places, at: int) -> tuple[str, int] | None:
+    raw = places.raw
+    if at + 13 > len(raw):
+        return None
+    begin = at + 13 + (3 << (raw[at + 10] & 7) + 1 if raw[at + 10] & 0x80 else 0)
+    last = places.frames.last(begin) if begin < len(raw) else -1
+    return ("image/gif", last + 1 - at) if 0 <= last < len(raw) and raw[last] == 0x3B else None
+
+
 def _pdf(places: _Places, at: int) -> tuple[str, int] | None:
     """From its head to the last end mark before the next head."""
     end = places.first(b"%%EOF", at)
@@ -178,19 +252,10 @@ def _zip(places: _Places, at: int) -> tuple[str, int] | None:
     return ("application/zip", end - at) if end else None
 
 
-def _ogg(b: memoryview) -> tuple[str, int] | None:
-    at = 0
-    while at + 27 <= len(b) and bytes(b[at : at + 5]) == b"OggS\0":
-        n = b[at + 26]
-        if at + 27 + n > len(b):
-            return None
-        size, last = 27 + n + sum(b[at + 27 : at + 27 + n]), b[at + 5] & 4
-        if at + size > len(b):
-            return None
-        at += size
-        if last:
-            return "audio/ogg", at
-    return None
+def _ogg(places: _Places, at: int) -> tuple[str, int] | None:
+    last = places.pages.last(at)
+    size = places.page_size(last)
+    return ("audio/ogg", last + size - at) if size and places.raw[last + 5] & 4 else None
 
 
 def _gzip(b: memoryview) -> tuple[str, int] | None:
@@ -210,7 +275,7 @@ def _gzip(b: memoryview) -> tuple[str, int] | None:
 
 #: Magic bytes by format. A validator gets the bytes from the magic on, or the marks of the whole blob and its place.
 MAGIC: dict[bytes, Callable[..., tuple[str, int] | None]] = {b"RIFF": _riff, b"\x89PNG\r\n\x1a\n": _png, b"GIF87a": _gif, b"GIF89a": _gif, b"\xff\xd8\xff": _jpeg, b"%PDF-": _pdf, b"PK\x03\x04": _zip, b"OggS": _ogg, b"\x1f\x8b\x08": _gzip}
-_BY_MARKS = (_pdf, _zip)
+_BY_MARKS = (_pdf, _zip, _riff, _png, _gif, _ogg)
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -314,4 +379,4 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *(f.split()[0] for f in DESCRIBED.split(", "))])
 
-    return found.select("doc_id", "n_bytes", "media", "sniffed").mapInArrow(run, "doc_id long, " + DESCRIBED)
+    return found.select("doc_id", "n_bytes", "media", "sniffed").mapInArrow(run, f"doc_id {dict(found.dtypes)['doc_id']}, " + DESCRIBED)
