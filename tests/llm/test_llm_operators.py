@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import random
 import re
+import time
 import zlib
 from types import SimpleNamespace
 
@@ -428,6 +429,102 @@ def test_html_reads_attributes_by_name_and_keeps_marked_parts_of_the_text():
         assert html_text.main_text(f"<article><p>{long}</p>{inner}</article>") == long.strip()
 
 
+PARAGRAPH = "Running text has quite a number of words in each of its paragraphs, as articles do, and then it has some more of them. " * 2
+
+
+def div(text):
+    return f"<div>{text}</div>"
+
+
+@pytest.mark.parametrize("above,below", [("Home News Sport Culture Travel Shop Contact Login".split(), ["Imprint", "Privacy policy", "Terms of use", "Contact us", "About", "All rights kept"]), ([f"Cheap shoes {k}" for k in range(24)], [f"Cheap hats {k}" for k in range(24)])])
+@pytest.mark.parametrize("size", [1, 5, 60])
+def test_html_of_unmarked_pages(above, below, size):
+    """No tag or name says what is text: only the distribution of lines does. Taking all that no tag rules out gives the menu and footer, too."""
+    text = [f"{PARAGRAPH}{k}" for k in range(size)]
+    page = "<body>" + "".join(map(div, [*above, *text, *below])) + "</body>"
+    assert html_text.main_text(page) == " ".join(text)
+    heading = "<body>" + "".join(map(div, above)) + "<h1>Title</h1>" + "".join(map(div, [*text, *below])) + "</body>"
+    assert html_text.main_text(heading) == " ".join(["Title", *text])
+    # Two stretches of text with a list of links between them.
+    both = "<body>" + "".join(map(div, [*above, *text, *below, *above, *text, *below])) + "</body>"
+    assert html_text.main_text(both) == " ".join([*text, *text])
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a ", "<noscript>", '<a "', "<a 'x\" ", "<!-- ", '<p class="', "&amp", "<template ", "</p", "<![CDATA[", "<div>", "</div>", "<"])
+@pytest.mark.parametrize("end", ["", ">", '">'])
+def test_html_of_broken_markup_takes_linear_time(piece, end):
+    began = time.process_time()
+    html_text.main_text(piece * 100_000 + end)
+    assert time.process_time() - began < 3
+
+
+def pieces_of_media(rng):
+    page = lambda last: b"OggS\0" + bytes([4 * last]) + bytes(20) + b"\x02\x05\x03" + b"abcdefgh"
+    gif = b"GIF89a\x01\0\x01\0\x00\0\0" + b"!\xfe\x03abc\0" + b",\0\0\0\0\x01\0\x01\0\0\x02\x02\x44\x01\0;"
+    return [page(0), page(1), gif, gif[:-1], gif[:20], media.wave(b"abc"), media.wave(b""), b"RIFF\x14\0\0\0WAVEfmt \0\0\0\0", b"abcd\0\0\0\0", b"abcd\x08\0\0\0", b"data\x01\0\0\0x\0", b"RIFF\x20\0\0\0AVI ", b"!\x01\x01", b"\0", b";", b"OggS", bytes(rng.randrange(256) for _ in range(rng.randrange(9)))]
+
+
+def plain_media(raw, at):
+    """The length of the medium at a place by walking its own chain from there, without anything shared."""
+    b = raw[at:]
+    if b[:4] == b"OggS":
+        k = 0
+        while k + 27 <= len(b) and b[k : k + 5] == b"OggS\0":
+            n = b[k + 26]
+            size = 27 + n + sum(b[k + 27 : k + 27 + n])
+            if k + 27 + n > len(b) or k + size > len(b):
+                return None
+            if b[k + 5] & 4:
+                return k + size
+            k += size
+        return None
+    if b[:4] == b"RIFF":
+        if len(b) < 20 or b[8:12] not in (b"WAVE", b"AVI ", b"WEBP"):
+            return None
+        end, k, seen = 8 + int.from_bytes(b[4:8], "little"), 12, set()
+        if end > len(b):
+            return None
+        while k + 8 <= end:
+            if not all(32 <= c <= 126 for c in b[k : k + 4]):
+                return None
+            seen.add(b[k : k + 4])
+            size = int.from_bytes(b[k + 4 : k + 8], "little")
+            k += 8 + size + size % 2
+        return end if k in (end, end + 1) and seen and (b[8:12] != b"WAVE" or {b"fmt ", b"data"} <= seen) else None
+    k = 13 + (3 << (b[10] & 7) + 1 if len(b) > 10 and b[10] & 128 else 0)
+    while 13 <= len(b) and k < len(b):
+        if b[k] == 0x3B:
+            return k + 1
+        if b[k] not in (0x21, 0x2C) or b[k] == 0x2C and k + 10 >= len(b):
+            return None
+        k += 2 if b[k] == 0x21 else 11 + (3 << (b[k + 9] & 7) + 1 if b[k + 9] & 128 else 0)
+        while k < len(b) and b[k]:
+            k += b[k] + 1
+        k += 1
+    return None
+
+
+def test_media_chains_are_those_of_each_beginning():
+    rng = random.Random(8)
+    for _ in range(300):
+        raw = b"".join(rng.choice(pieces_of_media(rng)) for _ in range(rng.randrange(1, 30)))
+        places = media._Places(raw)
+        starts = [m.start() for m in re.finditer(b"OggS|RIFF|GIF89a", raw)]
+        rng.shuffle(starts)
+        for at in starts:
+            check = media.MAGIC[next(m for m in media.MAGIC if raw.startswith(m, at))]
+            found = check(places, at)
+            assert (found and found[1]) == plain_media(raw, at), (raw, at)
+
+
+@pytest.mark.parametrize("piece", [b"OggS\0" + bytes(21) + b"\0", b"GIF89a" + b"!" * 49, b"GIF89a" + bytes(4) + b"\0\0\0", b"RIFF\x7f\x7f\x01\0WAVEabcd\0\0\0\0", b"%PDF-1.4 %%EOF", b"PK\x03\x04", b"\x89PNG\r\n\x1a\n"])
+def test_media_of_false_beginnings_take_linear_time(piece):
+    blob, signatures = piece * (400_000 // len(piece)), media.automaton()
+    began = time.process_time()
+    media.carve(blob, signatures)
+    assert time.process_time() - began < 6
+
+
 def test_chat(spark):
     tricky = ["", None, "\\", "<|end|>\n", "a\\<|turn|>b", "<", "|x", "\\\\|", "<\\|end|>", "é<|text|>\n"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", None, "assistant", "system"] * 2, tricky))]
