@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import reverse_complement
-from strandloom.operators import assembly, mapping
+from strandloom.operators import assembly, mapping, orientation, pairing
 from strandloom.operators import reads as rd
 from strandloom.operators.lineage import fresh_folder
 from strandloom.sources import alignments as al
@@ -111,3 +111,41 @@ def q111_unitigs(spark, d):
     piece = F.substring(_bases("nation"), F.expr("cast(o_orderkey % 60 + 1 as int)"), F.lit(60))
     reads = c.select("nation", F.when(F.col("o_orderkey") % 3 == 0, reverse_complement(piece)).otherwise(piece).alias("seq"))
     return assembly.unitigs(assembly.words(reads, ["nation"], 21), ["nation"], 21).select("nation", "contig", "n_words")
+
+
+def _oriented(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as calls whose ends are pieces of their element and of their site, each on a strand of its own; some genomic consensuses, and some of both kinds, hold no element. N between pieces keep alignments from running on."""
+    e = F.expr
+    turned = lambda s, test: F.when(e(test), reverse_complement(s)).otherwise(s)
+    element, site = _bases("p % 25"), _bases("concat('s', p)")
+    piece = lambda at: F.substring(element, e(f"cast({at} * 40 + 1 as int)"), F.lit(40))
+    five = F.concat(turned(piece("p % 3"), "p % 2 = 1"), F.lit("N" * 15), turned(F.substring(site, 21, 40), "p % 5 = 0"))
+    three = F.concat(turned(piece("((p % 3 + 1 + p div 3 % 2) % 3)"), "p div 2 % 2 = 1"), F.lit("N" * 15), turned(F.substring(site, 61, 40), "p % 7 = 0"))
+    nothing = _bases("concat('x', p)")
+    calls = _t(spark, d, "part").select(F.col("p_partkey").alias("p")).select(
+        F.col("p").alias("UUID"), F.concat(F.lit("e"), e("p % 25").cast("string")).alias("element"), site.alias("site_seq"), F.lit("?").alias("Orient_5p"), F.lit("?").alias("Orient_3p"), F.lit("?").alias("Inversion"), F.lit("be1").alias("5_Prime_End"), F.lit("be2").alias("3_Prime_End"),
+        F.when(e("p % 11 = 0 or p % 13 = 0"), nothing).otherwise(five).alias("Genomic_Consensus_5p"), three.alias("Genomic_Consensus_3p"), F.when(e("p % 13 = 0"), nothing).otherwise(five).alias("Insert_Consensus_5p"), F.lit("").alias("Insert_Consensus_3p"),
+    )
+    return calls, _t(spark, d, "nation").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("element"), _bases("n_nationkey").alias("element_seq"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS p, CASE WHEN p_partkey % 13 = 0 THEN 'NA' WHEN (p_partkey % 2 = 1) = (p_partkey % 5 = 0) THEN '+' ELSE '-' END AS o5, CASE WHEN ((p_partkey // 2) % 2 = 1) = (p_partkey % 7 = 0) THEN '+' ELSE '-' END AS o3 FROM part),
+f AS (SELECT *, p % 13 <> 0 AND p % 3 > (p % 3 + 1 + (p // 3) % 2) % 3 AS flip, p % 17 > 0 AS passed FROM c)
+SELECT p AS "UUID", CASE WHEN NOT passed THEN '?' WHEN flip THEN o3 ELSE o5 END AS "Orient_5p", CASE WHEN NOT passed THEN '?' WHEN flip THEN o5 ELSE o3 END AS "Orient_3p", CASE WHEN NOT passed THEN '?' WHEN o5 <> 'NA' AND o5 <> o3 THEN 'Y' ELSE 'N' END AS "Inversion",
+CASE WHEN passed AND flip THEN 'be2' ELSE 'be1' END AS "5_Prime_End", CASE WHEN passed AND flip THEN 'be1' ELSE 'be2' END AS "3_Prime_End" FROM f""")
+def q112_orientation_repair(spark, d):
+    calls, elements = _oriented(spark, d)
+    done = orientation.repaired(calls, elements, F.col("UUID") % 17 > 0)
+    return done.select("UUID", "Orient_5p", "Orient_3p", "Inversion", "5_Prime_End", "3_Prime_End")
+
+
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as calls in the order of their keys, many of which share breakpoints."""
+    e = F.expr
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("n")).select("n", e("concat('c', n % 5)").alias("chrom"), e("n * 37 % (1000 + n div 3)").alias("be1"), e("n * 37 % (1000 + n div 3) + if(n % 3 = 0, 0, n % 7)").alias("be2"), e("n % 11").alias("sr"), e("n % 4").alias("dr"))
+
+
+@query()
+def q113_resolved_duplicates(spark, d):
+    """One call of those that share breakpoints. No SQL: which one depends on the order of the list; a test compares it with a loop."""
+    return pairing.resolved_duplicates(_repeated(spark, d), "n")

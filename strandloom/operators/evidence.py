@@ -41,11 +41,12 @@ def zscore_mask(counts: DataFrame, group: str | None, value: str, above: float)
 def cpm_mask(reads: DataFrame, bins: DataFrame, width: int, mapped: Column, counted: Column, above: float = 2.0) -> DataFrame:
     """(chrom, start, end, cpm, z) of bins(chrom, start, end) of fixed width whose counts per million mapped reads and base lie more than `above` deviations over the mean of all bins.
 
-    reads(chrom, pos) count in the bin of their position if they are `counted`; bins without reads count as 0."""
-    million = reads.agg(F.count_if(mapped).cast("double").alias("m")).first().m / 1e6
+    reads(chrom, pos) count in the bin of their position if they are `counted`; bins without reads count as 0, and so do all where no read is mapped."""
+    (million,) = free(bins, "million")
+    total = reads.agg((F.count_if(mapped).cast("double") / 1e6).alias(million))  # one row
     n = reads.where(counted).groupBy("chrom", (F.floor(F.col("pos") / width) * width).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    cpm = F.coalesce(F.col("n"), F.lit(0)) / F.lit(million) / (F.col("end") - F.col("start"))
-    return zscore_mask(bins.join(n, ["chrom", "start"], "left").select("chrom", "start", "end", cpm.alias("cpm")), None, "cpm", above)
+    cpm = F.coalesce(F.try_divide(F.coalesce(F.col("n"), F.lit(0)), F.col(million)) / (F.col("end") - F.col("start")), F.lit(0.0))
+    return zscore_mask(bins.join(n, ["chrom", "start"], "left").join(F.broadcast(total)).select("chrom", "start", "end", cpm.alias("cpm")), None, "cpm", above)
 
 
 def reasons(tests: dict[str, Column], passed: str = "PASS") -> Column:

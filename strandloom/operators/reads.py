@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cigar import aligned_pairs, walk
-from ..functions.sequence import count_of, has_flag
+from ..functions.cigar import aligned_pairs, let, walk
+from ..functions.sequence import count_of, has_flag, normal_tail, one_against_all_p
 from .names import free
 
 # Flag bits, the tags that stay, and the distance given to ends on two chromosomes.
@@ -55,6 +55,20 @@ def last_base_z(qual: Column) -> Column:
     return F.coalesce(F.element_at(F.transform(F.array(F.regexp_extract_all(sorted_, F.lit(r"(?s)((.)\2*)"), F.lit(1))), statistic), 1), F.lit(0.0))
 
 
+def last_base_p(qual: Column, sides: int = 2) -> Column:
+    """The rank-sum test's p of all base qualities but the last against the last one: exact where no other quality equals the last, else by
+    last_base_z; 1 if all are equal or there is one."""
+    codes = F.transform(F.split(qual, ""), lambda c: F.ascii(c))
+
+    def p_of(q: Column) -> Column:
+        last, others = F.element_at(q, -1), F.slice(q, 1, F.size(q) - 1)
+        count = lambda test: F.size(F.filter(others, test))
+        exact = one_against_all_p(count(lambda x: x < last), count(lambda x: x == last), F.size(others), sides)
+        return F.when((F.size(q) < 2) | (F.size(F.array_distinct(q)) == 1), 1.0).otherwise(F.coalesce(exact, F.least(F.lit(1.0), normal_tail(F.greatest(last_base_z(qual), F.lit(0.0)), sides))))
+
+    return F.when(qual.isNotNull() & (F.length(qual) > 0), let(codes, p_of))
+
+
 def clipped(reads: DataFrame, least: int = 3, minor: int = 2, most_n: int = 4, least_z: float = LEAST_Z) -> DataFrame:
     """Clipped reads of with_alignment(reads): mapped, no duplicate, `least` bases or more outside the alignment, of which
     the minor side has at most `minor`, few N, and a last base whose quality doesn't stand out. Masked positions go by an overlap anti join."""
