@@ -65,6 +65,8 @@ CUES = {
     "secret": r"(?i)auth|bearer|config|export|env|login",
 }
 CONTEXT, LABELERS, BUCKETS, ROUNDS = 24, 4, 8, 25
+#: The bit of votes that says that a span can't be one of its kind.
+AGAINST = 1 << LABELERS
 
 
 def _digits(x: Column) -> Column:
@@ -101,6 +103,17 @@ def _strict(kind: str, x: Column) -> Column:
     return form
 
 
+def _against(kind: str, x: Column) -> Column:
+    """What a labeler may say beside yes and nothing: that a span can't be of its kind, as its checksum or its range fails. That is decisive."""
+    if kind == "card":
+        return ~luhn(_digits(x))
+    if kind == "ip":
+        return ~x.rlike(STRICT["ip"])
+    if kind == "phone":
+        return ~F.length(_digits(x)).between(7, 15)
+    return F.lit(False)
+
+
 def _shape(kind: str, x: Column) -> Column:
     """Whether the span varies as one of its kind would: neither repeated signs nor round numbers."""
     if kind == "secret":
@@ -133,7 +146,7 @@ def _spans(kind: str, matches: Column, gaps: Column, base: bool) -> Column:
         F.lit(KINDS.index(kind)).alias("kind"),
         s["start"].alias("start"),
         (s["start"] + s["size"]).alias("end"),
-        (_bit(_strict(kind, s["text"]), 0) + _bit(s["text"].rlike(GAZETTEER[kind]), 1) + _bit(s["before"].rlike(CUES[kind]), 2) + _bit(_shape(kind, s["text"]), 3)).alias("votes"),
+        (_bit(_strict(kind, s["text"]), 0) + _bit(s["text"].rlike(GAZETTEER[kind]), 1) + _bit(s["before"].rlike(CUES[kind]), 2) + _bit(_shape(kind, s["text"]), 3) + (F.lit(0) if base else _bit(_against(kind, s["text"]), LABELERS))).alias("votes"),
         F.least(F.floor(F.log2(s["size"])), F.lit(BUCKETS - 1)).cast("int").alias("bucket"),
         F.lit(base).alias("base"),
     ))
@@ -176,12 +189,13 @@ def _likelihood(offset: int) -> str:
 def fit(found: DataFrame, column: str = "candidates") -> dict[int, list[float]]:
     """By kind, the classifier's log-odds: the prior, then each labeler's for a vote and for none, then each length bucket's.
 
-    Vote patterns are counted before they meet, and the table of a kind has at most 2**LABELERS * BUCKETS rows.
+    Vote patterns are counted before they meet, and the table of a kind has at most 2 * 2**LABELERS * BUCKETS rows. Spans
+    with a vote against them count as none of their kind from the start, so the labelers' errors are learned from known ones, too.
     """
     counts = found.select(F.explode(column).alias("s")).groupBy("s.kind", "s.votes", "s.bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
     cells = counts.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", "bucket", "n"))).alias("cells"))
     pos, neg = 1, 1 + LABELERS
-    soft = f"transform(cells, c -> named_struct('votes', c.votes, 'bucket', c.bucket, 'n', c.n, 'q', p[0] * {_likelihood(pos)} / (p[0] * {_likelihood(pos)} + (1D - p[0]) * {_likelihood(neg)})))"
+    soft = f"transform(cells, c -> named_struct('votes', c.votes, 'bucket', c.bucket, 'n', c.n, 'q', if(c.votes & {AGAINST} <> 0, 0D, p[0] * {_likelihood(pos)} / (p[0] * {_likelihood(pos)} + (1D - p[0]) * {_likelihood(neg)}))))"
     total = lambda what, of="true": f"aggregate(w, 0D, (a, c) -> a + if({of}, c.n * {what}, 0D))"
     # Pseudo-counts say that a labeler is rather right than wrong, which also fixes which class is which.
     rates = [f"({total('c.q', f'c.votes & {1 << i} <> 0')} + 8D) / ({total('c.q')} + 10D)" for i in range(LABELERS)]
@@ -197,7 +211,7 @@ def fit(found: DataFrame, column: str = "candidates") -> dict[int, list[float]]:
 
 
 def accepted(column: Column, model: dict[int, list[float]], threshold: float = 0.0) -> Column:
-    """The base spans and the loose ones whose log-odds exceed the threshold, by kind and start."""
+    """The base spans, and the loose ones that nothing speaks against and whose log-odds exceed the threshold, by kind and start."""
 
     def score(s: Column) -> Column:
         out = F.lit(float("-inf"))
@@ -209,7 +223,7 @@ def accepted(column: Column, model: dict[int, list[float]], threshold: float = 0
             out = F.when(s["kind"] == kind, value).otherwise(out)
         return out
 
-    return F.array_sort(F.filter(column, lambda s: s["base"] | (score(s) > threshold)))
+    return F.array_sort(F.filter(column, lambda s: s["base"] | ((s["votes"].bitwiseAND(AGAINST) == 0) & (score(s) > threshold))))
 
 
 def written(spans: Column) -> Column:

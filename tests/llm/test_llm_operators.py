@@ -135,6 +135,37 @@ def test_pii(spark, docs, none):
     assert pii.find(none, out="found").count() == 0 and pii.redact(docs.where("text is null")).first().text is None
 
 
+def luhn_digits(rng, n, valid):
+    """n digits that begin as card numbers do and whose checksum holds, or doesn't."""
+    body = rng.choice(["4", "51", "37", "6"]) + "".join(rng.choice("0123456789") for _ in range(n))
+    body = body[: n - 1]
+    total = sum(sum(divmod(int(d) * (2 if k % 2 == 0 else 1), 10)) for k, d in enumerate(reversed(body)))
+    last = -total % 10
+    return body + str(last if valid else (last + 1 + rng.randrange(9)) % 10)
+
+
+def test_pii_precision_on_planted_decoys(spark):
+    """By kind: spans that the plain forms miss are found, and decoys that look alike are left alone."""
+    rng, rows, real, decoys = random.Random(9), [], {}, {}
+    for k in range(400):
+        name = "".join(rng.choice("abcdefgh") for _ in range(6))
+        kinds = {
+            "card": (f"card {luhn_digits(rng, 15, True)}", f"order {luhn_digits(rng, 15 + k % 3, False)}"), "ip": (None, f"version {k % 9}.{k % 7}.{k % 5}" if k % 2 else f"address 10.{k}.{300 + k}.7"),
+            "email": (f"write to {name} [at] mail{name} [dot] com", f"meet @ {name}"), "phone": (f"call ({200 + k}) 555-{1000 + k}", f"from {k} to {k + 1} in 20{k % 90 + 10}"),
+        }
+        for which, store in ((0, real), (1, decoys)):
+            for kind, pair in kinds.items():
+                if pair[which]:
+                    text = f"Some text before, {pair[which]}; and after it."
+                    store.setdefault(kind, set()).add(len(rows))
+                    rows.append((len(rows), text))
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written(F.col("spans")).alias("spans")).collect()}
+    for kind, ids in real.items():
+        assert sum(f"{kind}:" in got[i] for i in ids) >= 0.95 * len(ids), kind
+    for kind, ids in decoys.items():
+        assert sum(f"{kind}:" in got[i] for i in ids) <= 0.02 * len(ids), kind
+
+
 def test_quality_learns_and_scores_all(spark, docs, none):
     rng = random.Random(3)
     good, bad = (lambda: " ".join(rng.choice(WORDS) for _ in range(50))), (lambda: " ".join(rng.choice(WORDS).upper() + "!!" for _ in range(50)))
