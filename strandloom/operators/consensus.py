@@ -188,15 +188,22 @@ def library_hits(queries: DataFrame, library: DataFrame, word: int = 12, least:
     """(query_id, target_id, strand, HIT) of queries(query_id, seq) and library(target_id, seq): the best local alignment of each
     strand of a query (its coordinates are on that strand) to each element with which it shares a word, scoring `least`. Ids are
     unique. Words of each sequence count once, and pairs are brought together before sequences are, so a frequent word costs rows of three
-    columns; a library is of elements and doesn't grow with the reads. Sequences shorter than a word have no hits."""
+    columns; a library is of elements and doesn't grow with the reads. Words of low complexity (a letter in two thirds of it, or two
+    letters turn about), such as those of the poly-A tails of most elements, count only for queries that have no others. Sequences
+    shorter than a word have no hits."""
 
-    def words(rows: DataFrame, *ids: str) -> DataFrame:
-        each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - word + 1), lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.lit(word)))))
-        return rows.where(F.length("seq") >= word).select(*ids, F.explode(each).alias("word"))
+    def low(w: Column) -> Column:
+        most = F.greatest(*[F.length(w) - F.length(F.replace(w, F.lit(x), F.lit(""))) for x in "ACGT"])
+        return (most * 3 >= 2 * word) | (F.substring(w, F.lit(3), F.lit(word - 2)) == F.substring(w, F.lit(1), F.lit(word - 2)))
+
+    def words(rows: DataFrame, *ids: str, all_: bool) -> DataFrame:
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - word + 1), lambda i: F.substring(F.col("seq"), i, F.lit(word))))
+        kept = every if all_ else F.get(F.transform(F.array(every), lambda e: F.when(F.exists(e, lambda w: ~low(w)), F.filter(e, lambda w: ~low(w))).otherwise(e)), F.lit(0))
+        return rows.where(F.length("seq") >= word).select(*ids, F.explode(F.transform(kept, lambda w: F.xxhash64(w))).alias("word"))
 
     asked = _both_strands(queries.select("query_id", "seq"), "seq")
     known = library.select("target_id", F.upper("seq").alias("seq"))
-    pairs = words(asked, "query_id", "strand").join(words(known, "target_id"), "word").select("query_id", "strand", "target_id").distinct()
+    pairs = words(asked, "query_id", "strand", all_=False).join(words(known, "target_id", all_=True), "word").select("query_id", "strand", "target_id").distinct()
     met = pairs.join(asked, ["query_id", "strand"]).join(known.withColumnRenamed("seq", "target"), "target_id").select("query_id", "target_id", "strand", "seq", "target")
     return _aligned(met, "seq", "target", _gapped, ["seq", "target"]).where(F.col("score") >= least)
 

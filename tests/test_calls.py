@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as sq
 from strandloom.jobs import genome_queries
 from strandloom.jobs.registry import QUERIES
-from strandloom.operators import evidence, orientation, pairing, reads
+from strandloom.operators import consensus, evidence, orientation, pairing, reads
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,6 +65,18 @@ def test_p_values(spark):
     assert got[:7] == [2 / 5, 2 / 5, 1.0, 1.0, None, None, 2 / 10] and got[7] == 2 / 5 and 0 < got[8] <= 1
 
 
+def test_tails_bring_no_pairs(spark):
+    """Reads and elements that share a tail of A only don't meet; a read of nothing but A meets every tail."""
+    draw = random.Random(3)
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    elements = [(k, letters(150) + "A" * 40) for k in range(30)]
+    rows = [(k, letters(60) + "A" * 40) for k in range(200)] + [(1000 + k, e[80:]) for k, e in elements] + [(5000, "A" * 60)]
+    hits = consensus.library_hits(spark.createDataFrame(rows, "query_id long, seq string"), spark.createDataFrame(elements, "target_id long, seq string")).where("strand = '+'").collect()
+    own = {(r.query_id, r.target_id) for r in hits if r.query_id < 5000}
+    assert {(1000 + k, k) for k, _ in elements} <= own and len(own) < 60
+    assert sum(r.query_id == 5000 for r in hits) == 30
+
+
 def test_masks_without_mapped_reads_and_pairs_without_scores(spark):
     bins = spark.createDataFrame([("a", 0, 10), ("a", 10, 20)], "chrom string, start long, end long")
     none = spark.createDataFrame([], "chrom string, pos long")
