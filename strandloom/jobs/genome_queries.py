@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import reverse_complement
-from strandloom.operators import assembly, mapping, orientation, pairing
+from strandloom.operators import assembly, chimeras, mapping, orientation, pairing
 from strandloom.operators import reads as rd
 from strandloom.operators.lineage import fresh_folder
 from strandloom.sources import alignments as al
@@ -149,3 +149,23 @@ def _repeated(spark: SparkSession, d: str) -> DataFrame:
 def q113_resolved_duplicates(spark, d):
     """One call of those that share breakpoints. No SQL: which one depends on the order of the list; a test compares it with a loop."""
     return pairing.resolved_duplicates(_repeated(spark, d), "n")
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS p, p_partkey % 40 AS h, 'c' || (p_partkey % 5) AS chrom, (p_partkey * 7919) % 1000000 AS low, ['L1', 'ALU', 'OTHER'][p_partkey % 3 + 1] AS fam FROM part),
+m AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'L1' ELSE 'ALU' END AS fam, 'c' || ((s_suppkey // 2) % 4) AS chrom, (s_suppkey * 997) % 1000000 AS s, (s_suppkey * 997) % 1000000 + 300 AS e FROM supplier)
+SELECT p AS "UUID", h::INTEGER AS "ChimeraBaseCount", CASE WHEN h >= 20 THEN 100.0 ELSE 0.0 END::DOUBLE AS "ChimeraMatchIns", CASE WHEN h >= 20 THEN 100.0 ELSE 0.0 END::DOUBLE AS "ChimeraMatchRef", CASE WHEN h = 0 THEN 'NA' ELSE substr({_sql_bases("('h' || p)")}, 1, h::INTEGER) END AS "InsSiteHomology",
+fam <> 'OTHER' AND (EXISTS (SELECT 1 FROM m WHERE m.fam = c.fam AND m.chrom = c.chrom AND m.s < c.low + 10005 AND m.e > greatest(c.low - 10000, 0)) OR NOT EXISTS (SELECT 1 FROM m WHERE m.fam = c.fam AND m.chrom = c.chrom)) AS "PossibleRefEltChimera" FROM c""")
+def q115_chimeras(spark, d):
+    """Parts as calls whose consensus runs from the site's letters over some that both have into the element's."""
+    e = F.expr
+    shared = F.substring(_bases("concat('h', p)"), F.lit(1), e("cast(p % 40 as int)"))
+    site, rest = F.substring(_bases("concat('s', p)"), 1, 60), F.substring(_bases("concat('t', p)"), 1, 60)
+    whole = F.concat(site, shared, rest)
+    calls = _t(spark, d, "part").select(F.col("p_partkey").alias("p")).select(
+        F.col("p").alias("UUID"), F.concat(F.lit("e"), e("string(p)")).alias("element"), e("element_at(array('L1', 'ALU', 'OTHER'), cast(p % 3 + 1 as int))").alias("superfamily"), e("concat('c', p % 5)").alias("chrom"), e("(p * 7919) % 1000000").alias("start"), e("(p * 7919) % 1000000 + 5").alias("end"),
+        F.concat(site, shared).alias("ref_seq"), F.when(e("p % 4 = 0"), "NA").otherwise(whole).alias("Genomic_Consensus_3p"), F.when(e("p % 4 = 0"), whole).otherwise("NA").alias("Genomic_Consensus_5p"),
+    )
+    elements = _t(spark, d, "part").select(F.col("p_partkey").alias("p")).select(F.concat(F.lit("e"), e("string(p)")).alias("element"), F.concat(shared, rest).alias("element_seq"))
+    masks = _t(spark, d, "supplier").select(F.expr("if(s_suppkey % 2 = 0, 'L1', 'ALU')").alias("superfamily"), F.expr("concat('c', s_suppkey div 2 % 4)").alias("chrom"), F.expr("(s_suppkey * 997) % 1000000").alias("start"), F.expr("(s_suppkey * 997) % 1000000 + 300").alias("end"))
+    done = chimeras.annotated(calls, elements, masks)
+    return done.select("UUID", "ChimeraBaseCount", "ChimeraMatchIns", "ChimeraMatchRef", "InsSiteHomology", "PossibleRefEltChimera")
