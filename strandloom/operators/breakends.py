@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import has_flag, pair_score
+from ..functions.sequence import count_of, has_flag, pair_score
 from .clusters import median_cluster
+from .consensus import consensus, sampled, trimmed
 from .intervals import band_pairs, overlap_join
 from .names import free
-from .reads import DUPLICATE, UNMAPPED
+from .reads import DUPLICATE, UNMAPPED, unclipped_start
 
 
 def sr_clusters(split: DataFrame, distance: int = 100) -> DataFrame:
@@ -28,6 +29,19 @@ def breakends(split: DataFrame, least: int = 1, least_clip: int = 10, most: int
     return one.where(admitted & (F.col("n_reads") <= most) if most else admitted)
 
 
+def with_consensus(ends: DataFrame, split: DataFrame, least_score: float = 0.9, most_n: int = 4, most: int = 1000, least_quality: int = 33) -> DataFrame:
+    """ends with the consensus of their reads and its score, those left out whose score is lower, whose consensus is empty or has more than most_n letters N.
+
+    split: `reads.split_reads` with seq and qual. Reads go by where they would begin without clips, cut at the first window of low quality; at most `most`
+    different sequences of a breakend count (see `consensus.sampled`). A breakend without reads of more than 20 bases has none and goes."""
+    keys = ["chrom", "breakpos", "side"]
+    (begin,) = free(split, "begin")
+    rows = split.select(*keys, unclipped_start().alias(begin), trimmed(F.col("seq"), F.col("qual"), least_quality).alias("seq"))
+    made = consensus(sampled(rows, keys, most), keys, [begin], least_score=least_score)
+    good = (F.length("consensus") > 0) & (F.col("score") >= least_score) & (count_of(F.upper("consensus"), "N") <= most_n)
+    return ends.join(made.where(good).select(*keys, "consensus", F.col("score").alias("consensus_score")), keys)
+
+
 def breakend_pairs(ends: DataFrame, distance: int = 100, overlap: Column | None = None) -> DataFrame:
     """Scored pairs of a left and a right breakend at most `distance` apart: chrom, left_pos, right_pos, n of each, score.
     overlap: of the two, as an expression over left_pos and right_pos; by default the bases from the left break to the right one."""

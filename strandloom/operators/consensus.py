@@ -12,6 +12,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import quality_trim_at, reverse_complement
@@ -117,7 +118,7 @@ def consensus(reads: DataFrame, keys: list[str], order: list[str], seq: str = "s
     extended; 0 if none did, or as soon as a read has no base in common; 1 for a single sequence. Reads of at most SHORT bases
     don't count, and repeats in a row count once. With retry, all reads count, so do all scores, and until one
     extends it the last read is begun with. Reads equal in order go by sequence; null sequences are left out. All reads are
-    used, however many: a cluster streams, and only its consensus is held.
+    used, however many (`sampled` bounds them): a cluster streams, and only its consensus is held.
     """
     kinds = dict(reads.dtypes)
     n = len(keys)
@@ -130,6 +131,15 @@ def consensus(reads: DataFrame, keys: list[str], order: list[str], seq: str = "s
     return sorted_fold(reads, keys, [*[c for c in order if c != seq], seq], schema, fold)
 
 
+def sampled(reads: DataFrame, keys: list[str], most: int = 1000, seq: str = "seq", seed: int = 1) -> DataFrame:
+    """Reads of at most `most` different sequences in a group, all reads of each: those whose hash, with the group's keys and the seed, is least. Which ones stay
+    doesn't depend on how rows are dealt out, and a task keeps no more than its own least ones before rows meet, so a consensus costs
+    `most` alignments however deep its group is. Null sequences are one sequence."""
+    (rank,) = free(reads, "rank")
+    order = F.xxhash64(F.lit(seed), *keys, seq)
+    return reads.withColumn(rank, F.dense_rank().over(W.partitionBy(*keys).orderBy(order))).where(F.col(rank) <= most).drop(rank)
+
+
 def ungapped_hit(query: str, target: str) -> tuple | None:
     """(score, q_start, q_end, t_start, t_end, equal bases) of the best stretch of one diagonal; the first diagonal and the first end win ties."""
     x, y = _codes(query), _codes(target)

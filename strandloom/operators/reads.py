@@ -96,6 +96,11 @@ def match_fraction_of_read() -> Column:
     return 1 - F.try_divide(F.col("nm").cast("double"), F.col("alen"))
 
 
+def unclipped_start() -> Column:
+    """Where a read of with_alignment would begin if its leading clip were aligned, too."""
+    return F.col("pos") - F.col("qstart")
+
+
 def clipped_part(seq: Column) -> Column:
     """The longer clipped side of a read's sequence, the left one on a tie."""
     return F.when(F.col("qstart") < F.col("rlen") - F.col("qend"), F.substring(seq, F.col("qend") + 1, F.length(seq))).otherwise(F.substring(seq, F.lit(1), F.col("qstart")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as sq
 from strandloom.jobs import genome_queries
 from strandloom.jobs.registry import QUERIES
-from strandloom.operators import consensus, evidence, orientation, pairing, reads
+from strandloom.operators import breakends, consensus, evidence, orientation, pairing, reads
 
 DATA = "/root/testdata/sf0.001"
 
@@ -65,6 +65,22 @@ def test_p_values(spark):
     assert got[:7] == [2 / 5, 2 / 5, 1.0, 1.0, None, None, 2 / 10] and got[7] == 2 / 5 and 0 < got[8] <= 1
 
 
+def test_breakends_with_their_consensus(spark):
+    """Reads at one breakpoint, begun two bases apart, make the sequence that they are pieces of; depth beyond the bound costs nothing."""
+    draw = random.Random(4)
+    text = "".join(draw.choice("ACGT") for _ in range(200))
+    rows = [("c", 100, "right", 50 + 2 * k, 0, text[2 * k : 2 * k + 60], "I" * 60) for k in range(30) for _ in range(5)]
+    rows += [("c", 300, "left", 300, 5, "".join(draw.choice("ACGT") for _ in range(60)), "I" * 60) for _ in range(6)]  # nothing in common
+    rows += [("c", 500, "left", 500, 5, text[:60], "I" * 60), ("d", 1, "left", 1, 0, "N" * 5 + text[:60], "I" * 65), ("d", 2, "left", 1, 0, "ACGT", "IIII"), ("d", 3, "left", 1, 0, None, None)]
+    split = spark.createDataFrame(rows, "chrom string, breakpos long, side string, pos long, qstart int, seq string, qual string")
+    ends = split.select("chrom", "breakpos", "side").distinct()
+    for n in (1, 5):
+        got = {(r.chrom, r.breakpos): (r.consensus, r.consensus_score) for r in breakends.with_consensus(ends, split.repartition(n)).collect()}
+        assert got == {("c", 100): (text[:118], 1.0), ("c", 500): (text[:60], 1.0)}
+    few = [consensus.sampled(split.repartition(n), ["chrom", "breakpos"], 3).where("breakpos = 100").collect() for n in (1, 7)]
+    assert Counter(few[0]) == Counter(few[1]) and len({r.seq for r in few[0]}) == 3 and len(few[0]) == 15
+
+
 def test_tails_bring_no_pairs(spark):
     """Reads and elements that share a tail of A only don't meet; a read of nothing but A meets every tail."""
     draw = random.Random(3)
