@@ -41,10 +41,20 @@ def stitched(rows: DataFrame, key: str, order: list[str], value: Column, how: st
 def gap_chain(rows: DataFrame, key: str, start: str, end: str, spacing: int, tie: str, out: str = "chain", block: int = BLOCK) -> DataFrame:
     """A number for each chain: a row joins if it starts at most `spacing` after the row before it ended. Rows equal in start
     and tie should end alike; of those, the one that begins a chain counts as the first."""
-    prior, new, turned = free(rows, "prior", "new", "turned")
-    lagged = stitched(rows, key, [start, tie], F.col(end), "lag", prior, block)
-    marked = lagged.withColumn(new, F.when(F.col(start) - F.col(prior) <= spacing, 0).otherwise(1)).withColumn(turned, -F.col(new))
-    return stitched(marked, key, [start, tie, turned], F.col(new), "sum", out, block).drop(prior, new, turned)
+    b, n, new, inner, k2, b2, base = free(rows, "block", "number", "new", "inner", "key_of_block", "number_of_block", "base")
+    first_start, last_end, size, opens = free(rows, "first_start", "last_end", "size", "opens")
+    # Within a block all but its first row know their place; one row a block says how its first row and its numbers go on.
+    order = W.partitionBy(key, b).orderBy(start, tie)
+    joins = F.col(start) - F.lag(end).over(order) <= spacing
+    placed = rows.withColumn(b, F.floor(F.col(start) / block)).withColumns({n: F.row_number().over(order), new: F.when(joins, 0).otherwise(1)}).withColumn(new, F.when(F.col(n) == 1, 0).otherwise(F.col(new)))
+    dealt = cut(placed.withColumn(inner, F.sum(new).over(order.rowsBetween(W.unboundedPreceding, 0))))
+    blocks = W.partitionBy(key).orderBy(b)
+    totals = dealt.groupBy(key, b).agg(F.min_by(start, n).alias(first_start), F.max_by(end, n).alias(last_end), F.max(inner).alias(size))
+    opened = totals.withColumn(opens, F.when(F.col(first_start) - F.lag(last_end).over(blocks) <= spacing, 0).otherwise(1))
+    earlier = F.coalesce(F.sum(F.col(size) + F.col(opens)).over(blocks.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = opened.select(F.col(key).alias(k2), F.col(b).alias(b2), (earlier + F.col(opens)).alias(base))
+    met = dealt.join(known, F.col(key).eqNullSafe(F.col(k2)) & F.col(b).eqNullSafe(F.col(b2)))
+    return met.withColumn(out, F.col(base) + F.col(inner)).select(*[c for c in rows.columns if c != out], out)
 
 
 def sorted_fold(rows: DataFrame, keys: list[str], order: list[str], schema: str, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
