@@ -82,15 +82,19 @@ def first_overlap(a: DataFrame, b: DataFrame, key: list[str], width: int, label:
 
 
 def weighted_mean(a: DataFrame, b: DataFrame, key: list[str], width: int, score: str = "score") -> DataFrame:
-    """Mean of b's score over the bases of a that it covers, 0 if none. A record that starts at 0 doesn't count, and its first base doesn't."""
+    """(key, mean_score): mean of b's score over the bases of a that it covers, 0 if none. A record that starts at 0 doesn't count, and its first base
+    doesn't. Other columns of a, and of b but for its span and score, don't matter."""
+    a, b = a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("b_chrom", "b_start", "b_end", F.col(score).alias("b_score"))
     bases = F.greatest(F.lit(0), F.least("b_end", "end") - F.greatest(F.col("b_start") + 1, F.col("start")) + 1)
-    sums = overlap_join(a, b.where("b_start <> 0"), width).select(*key, bases.alias("k"), F.col(score).alias("s")).groupBy(*key).agg(F.sum(F.col("k") * F.col("s")).alias("x"), F.sum("k").alias("n"))
-    return a.join(sums, key, "left").select(*key, F.coalesce(F.try_divide(F.col("x"), F.col("n")), F.lit(0.0)).alias("mean_score"))
+    sums = overlap_join(a, b.where("b_start <> 0"), width).select(*key, F.struct(bases.alias("k"), F.col("b_score").alias("s")).alias("b_x")).groupBy(*key).agg(F.sum(F.col("b_x.k") * F.col("b_x.s")).alias("b_x"), F.sum("b_x.k").alias("b_n"))
+    return a.join(sums, key, "left").select(*key, F.coalesce(F.try_divide(F.col("b_x"), F.col("b_n")), F.lit(0.0)).alias("mean_score"))
 
 
 def annotate(a: DataFrame, b: DataFrame, key: list[str], width: int, text: str = "label", missing: str = "NA") -> DataFrame:
-    """Every row of a with the distinct texts of b that it overlaps, sorted and joined by `;`."""
-    found = overlap_join(a, b, width).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(text)), ";").alias("annotation"))
+    """Every row of a with the distinct texts of b that it overlaps, sorted and joined by `;`. A column of a named annotation is replaced; null texts don't count."""
+    a = a.drop("annotation")
+    spans, texts = a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("b_chrom", "b_start", "b_end", F.col(text).alias("b_text"))
+    found = overlap_join(spans, texts, width).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("b_text")), ";").alias("annotation"))
     return a.join(found, key, "left").withColumn("annotation", F.coalesce("annotation", F.lit(missing)))
 
 

@@ -95,7 +95,7 @@ def result_table(calls: DataFrame, unmapped: bool = False) -> DataFrame:
 
 
 def repaired_ids(calls: DataFrame, library: DataFrame) -> DataFrame:
-    """calls with the superfamily that library(superfamily, subfamily) has for their subfamily, the greatest if there are several."""
+    """calls with the superfamily that library(superfamily, subfamily) has for their subfamily, the greatest if there are several; calls without one stay as they are."""
     known = library.where(c("subfamily").isNotNull()).groupBy(c("subfamily").alias("known_sub")).agg(F.max("superfamily").alias("known_super"))
     return calls.join(F.broadcast(known), c("Subfamily") == c("known_sub"), "left").withColumn("Superfamily", F.coalesce("known_super", "Superfamily")).select(*calls.columns)  # some dozens of elements
 
