@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import reverse_complement
-from strandloom.operators import assembly, chimeras, mapping, orientation, pairing
+from strandloom.operators import assembly, chimeras, filters, mapping, orientation, pairing
 from strandloom.operators import reads as rd
 from strandloom.operators.lineage import fresh_folder
 from strandloom.sources import alignments as al
@@ -151,6 +151,13 @@ def q113_resolved_duplicates(spark, d):
     return pairing.resolved_duplicates(_repeated(spark, d), "n")
 
 
+@query("SELECT o_orderkey AS query_id FROM orders WHERE o_orderkey % 4 <> 1")
+def q114_screened(spark, d):
+    """Orders as sequences, of which every fourth stands nowhere in the genome."""
+    rows = _pieces(spark, d).withColumn("seq", F.when(F.col("query_id") % 4 == 1, F.substring(_bases("concat('z', query_id)"), 1, 100)).otherwise(F.col("seq")))
+    return filters.screened(rows, "query_id", "seq", _genome(spark, d)).select("query_id")
+
+
 @query(f"""WITH c AS (SELECT p_partkey AS p, p_partkey % 40 AS h, 'c' || (p_partkey % 5) AS chrom, (p_partkey * 7919) % 1000000 AS low, ['L1', 'ALU', 'OTHER'][p_partkey % 3 + 1] AS fam FROM part),
 m AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'L1' ELSE 'ALU' END AS fam, 'c' || ((s_suppkey // 2) % 4) AS chrom, (s_suppkey * 997) % 1000000 AS s, (s_suppkey * 997) % 1000000 + 300 AS e FROM supplier)
 SELECT p AS "UUID", h::INTEGER AS "ChimeraBaseCount", CASE WHEN h >= 20 THEN 100.0 ELSE 0.0 END::DOUBLE AS "ChimeraMatchIns", CASE WHEN h >= 20 THEN 100.0 ELSE 0.0 END::DOUBLE AS "ChimeraMatchRef", CASE WHEN h = 0 THEN 'NA' ELSE substr({_sql_bases("('h' || p)")}, 1, h::INTEGER) END AS "InsSiteHomology",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import longest_run
+from ..functions.sequence import cigar_match, longest_run
 from .intervals import overlap_anti, overlap_join, weighted_mean
+from .mapping import aligned
 
 c = F.col
 
@@ -123,3 +124,11 @@ def map_filter(rows: DataFrame, scores: DataFrame, key: list[str], width: int, c
 def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
     """(reason, n): how often each of the reasons, joined by commas, is given."""
     return rows.select(F.explode(F.split(reasons, ",")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def screened(rows: DataFrame, key: str, seq: str, contigs: DataFrame, least: float = 0.9, invert: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """rows whose sequence (a consensus, or its distal part) stands in contigs(chrom, seq) with 1 - NM / M above `least` in any of its alignments; invert: the others, those
+    without a sequence or an alignment among them. key is unique."""
+    hits = aligned(rows.select(F.col(key).alias("query_id"), F.col(seq).alias("seq")), contigs, index)
+    good = hits.where(cigar_match(F.col("cigar"), F.col("nm")) > least).select(F.col("query_id").alias(key)).distinct()
+    return rows.join(good, key, "left_anti" if invert else "left_semi").select(*rows.columns)
