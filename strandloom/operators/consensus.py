@@ -24,6 +24,8 @@ MATCH, MISMATCH, OPEN, EXTEND = 2, -3, 5, 2
 FLAT_MATCH, FLAT_MISMATCH = 5, -4
 #: Reads of at most so many bases don't count; a score needs more columns than LEAST_COLUMNS; an overlap ends within END bases.
 SHORT, LEAST_COLUMNS, END = 20, 10, 5
+#: Cells of diagonals that are looked at together.
+CELLS = 1 << 20
 
 
 def trimmed(seq: Column, qual: Column, least_quality: Column | int = 33) -> Column:
@@ -143,17 +145,24 @@ def sampled(reads: DataFrame, keys: list[str], most: int = 1000, seq: str = "seq
 def ungapped_hit(query: str, target: str) -> tuple | None:
     """(score, q_start, q_end, t_start, t_end, equal bases) of the best stretch of one diagonal; the first diagonal and the first end win ties."""
     x, y = _codes(query), _codes(target)
-    best = None
-    for shift in range(-len(x) + 1, len(y)):
-        q, t = max(0, -shift), max(0, shift)
-        size = min(len(x) - q, len(y) - t)
-        equal = (x[q : q + size] == y[t : t + size]) & (x[q : q + size] != ord("N"))
-        sums = np.concatenate(([0], np.cumsum(np.where(equal, FLAT_MATCH, FLAT_MISMATCH))))
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(gain.argmax())
-        if gain[end] > 0 and (best is None or gain[end] > best[0]):
-            start = int(sums[: end + 1].argmin())
-            best = (int(gain[end]), q + start, q + end, t + start, t + end, int(equal[start:end].sum()))
+    m, best = len(x), None
+    if not m or not len(y):
+        return None
+    # A row for each diagonal, with what the query's bases stand against; beyond the target that is 0, which equals nothing.
+    edge = np.zeros(m - 1, np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, y, edge]), m)
+    known = x != ord("N")
+    many = max(1, CELLS // m)
+    for at in range(0, len(rows), many):
+        equal = (rows[at : at + many] == x) & known
+        sums = np.zeros((len(equal), m + 1), np.int32)
+        np.cumsum(np.where(equal, FLAT_MATCH, FLAT_MISMATCH), axis=1, out=sums[:, 1:])
+        gain = sums - np.minimum.accumulate(sums, axis=1)
+        k = int(gain.max(axis=1).argmax())
+        end = int(gain[k].argmax())
+        if gain[k, end] > 0 and (best is None or gain[k, end] > best[0]):
+            start, shift = int(sums[k, : end + 1].argmin()), at + k - m + 1
+            best = (int(gain[k, end]), start, end, start + shift, end + shift, int(equal[k, start:end].sum()))
     return best
 
 
