@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.sequence import count_of, has_flag, pair_score
-from .clusters import median_cluster
+from .clusters import median_cluster, running
 from .consensus import consensus, sampled, trimmed
 from .intervals import band_pairs, overlap_join
+from .lineage import cut
 from .names import free
 from .reads import DUPLICATE, UNMAPPED, unclipped_start
 
@@ -65,29 +67,95 @@ def insertion_reasons(max_mapq: Column, n_split: Column, most_per_sample: Column
     return F.when(F.size(found) > 0, F.array_join(found, ",")).when(low, "mappability").otherwise("PASS")
 
 
-def _clip(side: str) -> Column:
-    return F.col("qstart") if side == "left" else F.col("rlen") - F.col("qend")
+#: Bases up to which a read, or a site with what is looked at beside it, is compared pair by pair.
+SHORT = 32
 
 
-def _near(reads: DataFrame, sites: DataFrame, pad: Column | int, least_mapq: int, width: int) -> DataFrame:
-    """Reads that overlap a site's positions, widened by pad. sites(site, site_chrom, low, high): low <= high, inclusive."""
-    usable = reads.where(~has_flag(F.col("flag"), UNMAPPED) & ~has_flag(F.col("flag"), DUPLICATE) & (F.col("mapq") >= least_mapq))
-    start, end = free(usable, "start", "end")
-    spans = usable.withColumns({start: F.col("pos"), end: F.col("ref_end")})
-    return overlap_join(spans, sites.withColumns({"b_chrom": F.col("site_chrom"), "b_start": F.greatest(F.col("low") - pad, F.lit(0)), "b_end": F.col("high") + pad + 1}), width)
+def _usable(reads: DataFrame, least_mapq: int) -> DataFrame:
+    """The reads that count for sites, with what is asked of them: chrom, pos, ref_end, bam, left and right (clipped bases), plain (as long as their stretch of the reference), alen.
+    Kept, as several steps read them; `simple` ones are long, lie behind 0, and aren't both clipped and plain."""
+    good = reads.where(~has_flag(F.col("flag"), UNMAPPED) & ~has_flag(F.col("flag"), DUPLICATE) & (F.col("mapq") >= least_mapq))
+    slim = good.select("chrom", F.col("pos").cast("long").alias("pos"), F.col("ref_end").cast("long").alias("ref_end"), "bam", "alen", F.col("qstart").alias("left"), (F.col("rlen") - F.col("qend")).alias("right"), (F.col("alen") == F.col("rlen")).alias("plain"))
+    simple = (F.col("alen") > SHORT) & (F.col("pos") >= 0) & ~(F.col("plain") & (F.greatest("left", "right") > 0))
+    return cut(slim.where("chrom is not null and pos is not null and ref_end is not null").withColumn("simple", simple))
+
+
+def _spots(sites: DataFrame, reach: int) -> DataFrame:
+    """(chrom, low, high, narrow): each place of sites once; a narrow one, with reach on both sides, is shorter than any simple read."""
+    places = sites.select(F.col("site_chrom").alias("chrom"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).distinct()
+    return places.withColumn("narrow", (F.col("high") - F.col("low") + 2 * reach <= SHORT) & (F.col("low") >= 0))
+
+
+def _paired(usable: DataFrame, spots: DataFrame, pad: int, width: int) -> DataFrame:
+    """Pairs of reads and places that overlap within pad, of which one isn't simple or narrow; without such ones no join is made."""
+    odd, wide = usable.where("not simple"), spots.where("not narrow")
+    some, broad = not odd.isEmpty(), not wide.isEmpty()
+    spans = lambda f: f.withColumns({"start": F.col("pos"), "end": F.col("ref_end")})
+    put = lambda f: f.select(F.col("chrom").alias("b_chrom"), F.greatest(F.col("low") - pad, F.lit(0)).alias("b_start"), (F.col("high") + pad + 1).alias("b_end"), "low", "high")
+    met = [overlap_join(spans(a), put(b), width) for a, b, there in ((odd, spots, some), (usable.where("simple"), wide, broad)) if there]
+    out = met[0] if met else spans(odd).join(put(spots).limit(0), F.lit(False))
+    return out.unionByName(met[1]) if len(met) > 1 else out
+
+
+def _summed(usable: DataFrame, spots: DataFrame, streams: dict[str, tuple[Column, Column]], terms: dict[str, list[tuple[int, str, Column]]]) -> DataFrame:
+    """(chrom, low, high, bam, terms) of simple reads at narrow places, from numbers of reads up to positions: a place looks some of them up, and meets no read.
+
+    streams: which reads count, and at which position. terms: signs, streams, and positions up to which they are taken."""
+    every = F.array(*[F.when(test, F.struct(at.alias("at"), *[F.lit(int(n == name)).alias(n) for n in streams])) for name, (test, at) in streams.items()])
+    steps = usable.where("simple").select("chrom", "bam", F.explode(F.array_compact(every)).alias("e")).select("chrom", "bam", "e.*").groupBy("chrom", "bam", "at").agg(*[F.sum(n).alias(n) for n in streams])
+    steps = cut(steps)
+    flat = [(t, sign, name, at) for t, parts in terms.items() for sign, name, at in parts]
+    asked = spots.where("narrow").select("chrom", "low", "high", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), at.cast("long").alias("at")) for i, (_, _, _, at) in enumerate(flat)])).alias("x")).select("chrom", "low", "high", "x.i", "x.at")
+    # Each file's own numbers at each position that is asked for; files are few.
+    marks = asked.select("chrom", "at").distinct().join(steps.select("chrom", "bam").distinct(), "chrom").select("chrom", "bam", "at", *[F.lit(0).cast("long").alias(n) for n in streams], F.lit(1).cast("long").alias("asked"))
+    total = running(steps.withColumn("asked", F.lit(0).cast("long")).unionByName(marks), ["chrom", "bam"], "at", list(streams))
+    value = F.coalesce(*[F.when(F.col("i") == i, sign * F.col(name)) for i, (_, sign, name, _) in enumerate(flat)])
+    found = asked.join(total, ["chrom", "at"]).select("chrom", "low", "high", "bam", "i", value.alias("v"))
+    return found.groupBy("chrom", "low", "high", "bam").agg(*[F.sum(F.when(F.col("i").isin([i for i, f in enumerate(flat) if f[0] == t]), F.col("v")).otherwise(0)).alias(t) for t in terms])
+
+
+def _streams(clip: int = 0) -> dict[str, tuple[Column, Column]]:
+    pos, end, plain = F.col("pos"), F.col("ref_end"), F.col("plain")
+    return {"begun": (F.lit(True), pos + 1), "ended": (F.lit(True), end), "plain_begun": (plain, pos + 1), "plain_ended": (plain, end), "left_at": (F.col("left") > clip, pos), "right_at": (F.col("right") > clip, end)}
+
+
+def _overlapping(pad: int) -> list[tuple[int, str, Column]]:
+    """Reads that begin before the end of a place with its pad, less those that end before it."""
+    return [(1, "begun", F.col("high") + pad + 1), (-1, "ended", F.greatest(F.col("low") - pad, F.lit(0)))]
+
+
+def _at_sites(sites: DataFrame, parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """(site, bam, near, names) of the sums of parts(chrom, low, high, bam, near, names) at sites, where any read is near."""
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    found = whole.groupBy("chrom", "low", "high", "bam").agg(*[F.sum(n).alias(n) for n in ("near", *names)]).where("near > 0")
+    placed = sites.select("site", F.col("site_chrom").alias("chrom"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    return placed.join(found, ["chrom", "low", "high"]).groupBy("site", "bam").agg(*[F.sum(n).alias(n) for n in ("near", *names)])
 
 
 def break_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10, width: int = 1024) -> DataFrame:
     """(site, bam, alt, ref, vaf) of sites(site, site_chrom, low, high): a read that is clipped by more than the larger of
-    the two positions' distance and pad counts as alt if it breaks within flex of either; an unclipped one as ref if it
-    strictly spans both. Counts meet before sites do, so a site's depth is no group."""
-    met = _near(reads, sites, pad, least_mapq, width)
+    the two positions' distance and pad counts as alt if it breaks within flex (less than pad) of either; an unclipped one as ref if it
+    strictly spans both. Reads are counted by position, and sites look numbers up (see `_summed`), so depth costs nothing and reads don't meet sites."""
+    if not 0 <= flex < pad:
+        raise ValueError("flex must be less than pad")
+    usable, spots = _usable(reads, least_mapq), cut(_spots(sites, pad))
     long = F.greatest(F.col("high") - F.col("low"), F.lit(pad))
     at = lambda p: (F.abs(p - F.col("low")) <= flex) | (F.abs(p - F.col("high")) <= flex)
-    alt = ((_clip("right") > long) & at(F.col("ref_end"))) | ((_clip("left") > long) & at(F.col("pos")))
-    ref = ~alt & (F.col("alen") == F.col("rlen")) & (F.col("pos") < F.col("low")) & (F.col("ref_end") > F.col("high"))
-    counts = met.groupBy("site", "bam").agg(F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
-    return counts.withColumn("vaf", F.coalesce(F.try_divide(F.col("alt").cast("double"), F.col("alt") + F.col("ref")), F.lit(0.0)))
+    alt = ((F.col("right") > long) & at(F.col("ref_end"))) | ((F.col("left") > long) & at(F.col("pos")))
+    ref = ~alt & F.col("plain") & (F.col("pos") < F.col("low")) & (F.col("ref_end") > F.col("high"))
+    pairs = _paired(usable, spots, pad, width).groupBy("chrom", "low", "high", "bam").agg(F.count(F.lit(1)).alias("near"), F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
+    sums = _summed(usable, spots, {n: s for n, s in _streams().items() if not n.endswith("_at")}, {"near": _overlapping(pad), "ref": [(1, "plain_begun", F.col("low")), (-1, "plain_ended", F.col("high"))]})
+    # Breaks by place and bases clipped: a place meets one row for each of them.
+    kinds = F.array_compact(F.array(F.when(F.col("left") > pad, F.struct(F.col("pos").alias("at"), F.col("left").alias("clip"))), F.when(F.col("right") > pad, F.struct(F.col("ref_end").alias("at"), F.col("right").alias("clip")))))
+    breaks = usable.where("simple").select("chrom", "bam", F.explode(kinds).alias("e")).groupBy("chrom", "bam", "e.at", "e.clip").agg(F.count(F.lit(1)).alias("k"))
+    beside = F.array_distinct(F.concat(*[F.sequence(F.col(c) - flex, F.col(c) + flex) for c in ("low", "high")]))
+    asked = spots.where("narrow").select("chrom", "low", "high", F.explode(beside).alias("at"))
+    hits = asked.join(breaks, ["chrom", "at"]).where(F.col("clip") > long).groupBy("chrom", "low", "high", "bam").agg(F.sum("k").alias("alt"))
+    zero = lambda n: F.lit(0).cast("long").alias(n)
+    met = _at_sites(sites, [pairs, sums.select("*", zero("alt")), hits.select("*", zero("near"), zero("ref"))], ["alt", "ref"])
+    return met.select("site", "bam", "alt", "ref").withColumn("vaf", F.coalesce(F.try_divide(F.col("alt").cast("double"), F.col("alt") + F.col("ref")), F.lit(0.0)))
 
 
 def genotype_lists(counts: DataFrame) -> DataFrame:
@@ -98,30 +166,50 @@ def genotype_lists(counts: DataFrame) -> DataFrame:
 
 def endpoint_counts(reads: DataFrame, sites: DataFrame, clip: int = 5, width: int = 1024) -> DataFrame:
     """(site, n): reads clipped by more than `clip` whose alignment begins or ends within one base of the site's low position."""
-    met = _near(reads, sites, 5, 0, width)
-    hit = ((_clip("left") > clip) & (F.abs(F.col("pos") - F.col("low")) <= 1)) | ((_clip("right") > clip) & (F.abs(F.col("ref_end") - F.col("low")) <= 1))
-    return met.groupBy("site").agg(F.count_if(hit).alias("n"))
+    usable, spots = _usable(reads, 0).withColumn("bam", F.lit("")), cut(_spots(sites, 5))
+    hit = ((F.col("left") > clip) & (F.abs(F.col("pos") - F.col("low")) <= 1)) | ((F.col("right") > clip) & (F.abs(F.col("ref_end") - F.col("low")) <= 1))
+    pairs = _paired(usable, spots, 5, width).groupBy("chrom", "low", "high", "bam").agg(F.count(F.lit(1)).alias("near"), F.count_if(hit).alias("n"))
+    low = F.col("low")
+    n = [(sign, stream, low + at) for stream in ("left_at", "right_at") for sign, at in ((1, 1), (-1, -2))]
+    sums = _summed(usable, spots, {k: s for k, s in _streams(clip).items() if not k.startswith("plain")}, {"near": _overlapping(5), "n": n})
+    return _at_sites(sites, [pairs, sums], ["n"]).groupBy("site").agg(F.sum("n").alias("n"))
 
 
-def junction_modes(reads: DataFrame, sites: DataFrame, window: int = 200, least: int = 4, share: float = 0.5, width: int = 1024) -> DataFrame:
+def junction_modes(reads: DataFrame, sites: DataFrame, window: int = 200, least: int = 4, share: float = 0.5, block: int = 1 << 13) -> DataFrame:
     """(site, junction, n) of every site: the commonest clipped end within window of its low position (smallest on ties) if
-    there are `least` ends and it has that share, else the position itself."""
-    met = _near(reads, sites, window, 10, width)
-    ends = met.select("site", "low", F.explode(F.array_compact(F.array(F.when(_clip("left") > 0, F.col("pos")), F.when(_clip("right") > 0, F.col("ref_end"))))).alias("p")).where(F.abs(F.col("p") - F.col("low")) <= window)
-    counts = ends.groupBy("site", "p").agg(F.count(F.lit(1)).alias("k"))
-    top = counts.groupBy("site").agg(F.sum("k").alias("n"), F.min(F.struct((-F.col("k")).alias("m"), "p")).alias("t"))
+    there are `least` ends and it has that share, else the position itself. Ends are counted by position, and the counts around each place are a range window
+    over them, so neither depth nor the number of sites makes pairs."""
+    usable = _usable(reads, 10).where("ref_end > 0")
+    # At the window's first position only reads that go on behind it overlap it.
+    left, right = F.struct(F.col("pos").alias("p"), (F.col("ref_end") > F.col("pos")).alias("goes_on")), F.struct(F.col("ref_end").alias("p"), F.lit(False).alias("goes_on"))
+    ends = usable.select("chrom", F.explode(F.array_compact(F.array(F.when(F.col("left") > 0, left), F.when(F.col("right") > 0, right)))).alias("e")).groupBy("chrom", "e.p").agg(F.count(F.lit(1)).alias("k"), F.count_if("e.goes_on").alias("k_on"))
+    ends = cut(ends)
+    places = sites.select(F.col("site_chrom").alias("chrom"), F.col("low").cast("long").alias("p")).distinct()
+    seats = F.explode(F.sequence(F.floor((F.col("p") - window) / block), F.floor((F.col("p") + window) / block)))
+    both = ends.select("chrom", "p", "k", F.lit(False).alias("asked"), seats.alias("b")).unionByName(places.select("chrom", "p", F.lit(None).cast("long").alias("k"), F.lit(True).alias("asked"), F.floor(F.col("p") / block).alias("b")))
+    around = W.partitionBy("chrom", "b").orderBy("p").rangeBetween(1 - window, window)
+    top = both.withColumns({"n": F.sum("k").over(around), "t": F.min(F.when(F.col("k").isNotNull(), F.struct((-F.col("k")).alias("m"), "p"))).over(around)}).where("asked").select("chrom", F.col("p").alias("low"), "n", "t")
+    first = ends.where("k_on > 0").select("chrom", (F.col("p") + window).alias("low"), F.col("k_on").alias("n"), F.struct((-F.col("k_on")).alias("m"), "p").alias("t"))
+    found = top.unionByName(first.join(places.select("chrom", F.col("p").alias("low")), ["chrom", "low"], "left_semi")).groupBy("chrom", "low").agg(F.sum("n").alias("n"), F.min("t").alias("t"))
+    placed = sites.select("site", F.col("site_chrom").alias("chrom"), F.col("low").alias("low")).join(found, ["chrom", "low"], "left")
     sure = (F.col("n") >= least) & (-F.col("t.m") >= share * F.col("n"))
-    return sites.join(top, "site", "left").select("site", F.when(sure, F.col("t.p")).otherwise(F.col("low")).alias("junction"), F.coalesce("n", F.lit(0)).alias("n"))
+    return placed.select("site", F.when(sure, F.col("t.p")).otherwise(F.col("low")).alias("junction"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def junction_support(reads: DataFrame, sites: DataFrame, side: str, margin: int = 5, least_mapq: int = 10, width: int = 1024) -> DataFrame:
     """(site, bam, alt, ref): unclipped reads that strictly span low - margin and high + margin are ref; others with a soft
     clip on the side, within margin and the site's length of its break, are alt."""
-    met = _near(reads, sites, margin, least_mapq, width)
-    ref = (F.col("alen") == F.col("rlen")) & (F.col("pos") < F.col("low") - margin) & (F.col("ref_end") > F.col("high") + margin)
+    usable, spots = _usable(reads, least_mapq), cut(_spots(sites, margin))
+    low, high, size = F.col("low"), F.col("high"), F.col("high") - F.col("low")
+    ref = F.col("plain") & (F.col("pos") < low - margin) & (F.col("ref_end") > high + margin)
     edge = F.col("pos") if side == "left" else F.col("ref_end")
-    alt = ~ref & (_clip(side) > 0) & (F.abs(edge - F.col("low")) <= margin + F.col("high") - F.col("low"))
-    return met.groupBy("site", "bam").agg(F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
+    alt = ~ref & (F.col(side) > 0) & (F.abs(edge - low) <= margin + size)
+    pairs = _paired(usable, spots, margin, width).groupBy("chrom", "low", "high", "bam").agg(F.count(F.lit(1)).alias("near"), F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
+    # A long read that ends behind a place's begin can lie before it with its left break, not with its right one.
+    begin = low - margin - size - 1 if side == "left" else F.greatest(low - margin, F.lit(0))
+    stream = f"{side}_at"
+    sums = _summed(usable, spots, {k: s for k, s in _streams().items() if k == stream or not k.endswith("_at")}, {"near": _overlapping(margin), "alt": [(1, stream, high + margin), (-1, stream, begin)], "ref": [(1, "plain_begun", low - margin), (-1, "plain_ended", high + margin)]})
+    return _at_sites(sites, [pairs, sums], ["alt", "ref"]).select("site", "bam", "alt", "ref")
 
 
 def reference_vaf(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -38,6 +38,23 @@ def stitched(rows: DataFrame, key: str, order: list[str], value: Column, how: st
     return met.withColumn(out, done).select(*[c for c in rows.columns if c != out], out)
 
 
+def running(rows: DataFrame, keys: list[str], at: str, values: list[str], block: int = 1 << 14) -> DataFrame:
+    """(keys, at, values): sums over all rows of the same keys up to each position `at`, one row for each. Blocks of positions are summed by themselves, and a
+    block's totals are one row; nulls count as 0."""
+    b, b2, *names = free(rows, "block", "number_of_block", *[f"before_{i}" for i in range(len(values))], *[f"key_{i}" for i in range(len(keys))])
+    before, other = names[: len(values)], names[len(values) :]
+    summed = rows.groupBy(*keys, at).agg(*[F.sum(F.coalesce(v, F.lit(0))).alias(v) for v in values])
+    dealt = cut(summed.withColumn(b, F.floor(F.col(at) / block)))
+    earlier = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, b).agg(*[F.sum(v).alias(v) for v in values])
+    known = totals.select(*[F.col(k).alias(o) for k, o in zip(keys, other)], F.col(b).alias(b2), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(n) for v, n in zip(values, before)])
+    same = F.col(b) == F.col(b2)
+    for k, o in zip(keys, other):
+        same &= F.col(k).eqNullSafe(F.col(o))
+    inner = W.partitionBy(*keys, b).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+    return dealt.join(known, same).select(*keys, at, *[(F.sum(v).over(inner) + F.col(n)).alias(v) for v, n in zip(values, before)])
+
+
 def gap_chain(rows: DataFrame, key: str, start: str, end: str, spacing: int, tie: str, out: str = "chain", block: int = BLOCK) -> DataFrame:
     """A number for each chain: a row joins if it starts at most `spacing` after the row before it ended. Rows equal in start
     and tie should end alike; of those, the one that begins a chain counts as the first."""
