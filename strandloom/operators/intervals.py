@@ -75,26 +75,45 @@ def overlap_anti(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     return met.where(F.col(hit).isNull()).drop(hit)
 
 
+def _back(a: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of a with the columns of found(chrom, start, end, ...) for their span; those that aren't in it go."""
+    c, s, e = free(a.join(found.drop("chrom", "start", "end"), F.lit(False)), "f_chrom", "f_start", "f_end")
+    renamed = found.withColumnsRenamed({"chrom": c, "start": s, "end": e})
+    return a.join(renamed, (F.col("chrom") == F.col(c)) & (F.col("start") == F.col(s)) & (F.col("end") == F.col(e))).drop(c, s, e)
+
+
 def first_overlap(a: DataFrame, b: DataFrame, key: list[str], width: int, label: str = "label") -> DataFrame:
-    """One row of b for each row of a that overlaps any: the one that begins first, then ends first, then by label."""
-    best = F.min(F.struct("b_start", "b_end", label)).alias("m")
-    return overlap_join(a, b, width).groupBy(*key).agg(best).select(*key, "m.*")
+    """One row of b for each row of a that overlaps any: the one that begins first, then ends first, then by label.
+
+    Equal spans of a have the same answer, and of equal spans of b only the least label can be one, so each meets once."""
+    (m,) = free(a, "m")
+    least = b.groupBy("b_chrom", "b_start", "b_end").agg(F.min(F.struct(F.col(label).alias(label))).alias("b_label"))
+    met = overlap_join(a.select("chrom", "start", "end").distinct(), least, width)
+    found = met.groupBy("chrom", "start", "end").agg(F.min(F.struct("b_start", "b_end", F.col(f"b_label.{label}").alias(label))).alias(m))
+    return _back(a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), found).groupBy(*key).agg(F.min(m).alias(m)).select(*key, f"{m}.*")
 
 
 def weighted_mean(a: DataFrame, b: DataFrame, key: list[str], width: int, score: str = "score") -> DataFrame:
     """(key, mean_score): mean of b's score over the bases of a that it covers, 0 if none. A record that starts at 0 doesn't count, and its first base
-    doesn't. Other columns of a, and of b but for its span and score, don't matter."""
-    a, b = a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("b_chrom", "b_start", "b_end", F.col(score).alias("b_score"))
+    doesn't. Other columns of a, and of b but for its span and score, don't matter. Equal spans meet once: of a they have the same sums, and those of b
+    are brought to one with the sum of their scores."""
+    a = a.select(*dict.fromkeys([*key, "chrom", "start", "end"]))
+    scored = b.where("b_start <> 0").groupBy("b_chrom", "b_start", "b_end").agg(F.sum(F.col(score)).alias("b_score"), F.count(F.lit(1)).alias("b_rows"))
     bases = F.greatest(F.lit(0), F.least("b_end", "end") - F.greatest(F.col("b_start") + 1, F.col("start")) + 1)
-    sums = overlap_join(a, b.where("b_start <> 0"), width).select(*key, F.struct(bases.alias("k"), F.col("b_score").alias("s")).alias("b_x")).groupBy(*key).agg(F.sum(F.col("b_x.k") * F.col("b_x.s")).alias("b_x"), F.sum("b_x.k").alias("b_n"))
+    met = overlap_join(a.select("chrom", "start", "end").distinct(), scored, width)
+    found = met.groupBy("chrom", "start", "end").agg(F.sum(bases * F.col("b_score")).alias("b_x"), F.sum(bases * F.col("b_rows")).alias("b_n"))
+    sums = _back(a, found).groupBy(*key).agg(F.sum("b_x").alias("b_x"), F.sum("b_n").alias("b_n"))
     return a.join(sums, key, "left").select(*key, F.coalesce(F.try_divide(F.col("b_x"), F.col("b_n")), F.lit(0.0)).alias("mean_score"))
 
 
 def annotate(a: DataFrame, b: DataFrame, key: list[str], width: int, text: str = "label", missing: str = "NA") -> DataFrame:
-    """Every row of a with the distinct texts of b that it overlaps, sorted and joined by `;`. A column of a named annotation is replaced; null texts don't count."""
+    """Every row of a with the distinct texts of b that it overlaps, sorted and joined by `;`. A column of a named annotation is replaced; null texts don't count.
+    Equal spans of a, and equal spans of b with the same text, meet once."""
     a = a.drop("annotation")
-    spans, texts = a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("b_chrom", "b_start", "b_end", F.col(text).alias("b_text"))
-    found = overlap_join(spans, texts, width).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("b_text")), ";").alias("annotation"))
+    spans, texts = a.select(*dict.fromkeys([*key, "chrom", "start", "end"])), b.select("b_chrom", "b_start", "b_end", F.col(text).alias("b_text")).distinct()
+    met = overlap_join(spans.select("chrom", "start", "end").distinct(), texts, width).groupBy("chrom", "start", "end").agg(F.collect_set("b_text").alias("b_texts"))
+    every = _back(spans, met).select(*key, F.explode("b_texts").alias("b_text"))
+    found = every.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("b_text")), ";").alias("annotation"))
     return a.join(found, key, "left").withColumn("annotation", F.coalesce("annotation", F.lit(missing)))
 
 
