@@ -8,8 +8,11 @@ the first bin that it shares there: rows visit, beside their own, the coarser le
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .names import free
@@ -137,14 +140,59 @@ def decluster(rows: DataFrame, value: str, distance: int, block: int = 1 << 20)
     return dealt.withColumn(most, F.max(value).over(near)).where(F.col(own) & (F.col(value) >= F.col(most))).drop(b, own, most)
 
 
-def decluster_spans(rows: DataFrame, value: str, reach: int, width: int) -> DataFrame:
+def _cover(start: np.ndarray, end: np.ndarray, value: np.ndarray, size: int, least) -> list[np.ndarray]:
+    """Tables of the largest value over stretches of 2**k points, of spans [start, end) of points below size."""
+    deep = max(1, size.bit_length())
+    power = np.frexp((end - start).astype(float))[1] - 1  # the largest k with 2**k <= length
+    tables = [np.full(size, least, value.dtype) for _ in range(deep)]
+    for k in range(deep - 1, -1, -1):
+        if k + 1 < deep:
+            np.maximum(tables[k], tables[k + 1], out=tables[k])
+            np.maximum(tables[k][1 << k :], tables[k + 1][: size - (1 << k)], out=tables[k][1 << k :])
+        mine = np.flatnonzero(power == k)
+        np.maximum.at(tables[k], start[mine], value[mine])
+        np.maximum.at(tables[k], end[mine] - (1 << k), value[mine])
+    # Pushed down, the last table holds each point's own largest value; from it those of stretches are built.
+    out = [tables[0]]
+    for k in range(1, deep):
+        half, wide = 1 << (k - 1), out[-1].copy()
+        np.maximum(wide[:-half], out[-1][half:], out=wide[:-half])
+        out.append(wide)
+    return out
+
+
+def decluster_spans(rows: DataFrame, value: str, reach: int, width: int = 1 << 14) -> DataFrame:
     """Rows of (chrom, start, end, value, ...) that no row of strictly larger value overlaps within [start - reach, end + reach); ties keep both.
 
-    Of each span, only its largest value takes part, and only one row for each span and value is looked up."""
-    most, c, s, e, v = free(rows, "most", "c_chrom", "c_start", "c_end", "c_value")
-    peak = rows.groupBy(F.col("chrom").alias("b_chrom"), F.col("start").alias("b_start"), F.col("end").alias("b_end")).agg(F.max(value).alias(most))
-    spans = rows.select("chrom", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), F.col(value).alias(v)).distinct()
-    beaten = overlap_join(spans, peak, width).where(F.col(most) > F.col(v)).select(F.col("chrom").alias(c), (F.col("start") + reach).alias(s), (F.col("end") - reach).alias(e), v).distinct()
+    Positions are whole numbers, no span ends before it begins, and reach is 1 at least. No pairs arise: spans are cut at blocks of `width` positions (at least
+    1024), a block's largest value at each point is a table, and a span looks up the largest one of its stretch. Of equal spans only the largest value takes part,
+    and only one row for each span and value is looked up."""
+    if reach < 1:
+        raise ValueError("reach must be 1 or more")
+    width = max(width, 1024)
+    c, s, e, v = free(rows, "c_chrom", "c_start", "c_end", "c_value")
+    kind = {f.name: f.dataType for f in rows.schema}[value]
+    whole = isinstance(kind, T.IntegralType)
+    known = rows.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(value).cast("long" if whole else "double").alias("v")).where("chrom is not null and start is not null and end >= start and v is not null")
+    distinct = known.distinct()
+    peak = known.groupBy("chrom", "start", "end").agg(F.max("v").alias("v")).select("chrom", "start", "end", "v", F.lit(False).alias("asked"))
+    asked = distinct.select("chrom", (F.col("start") - reach).alias("start"), (F.col("end") + reach).alias("end"), "v", F.lit(True).alias("asked"))
+    # Twice as many points as positions: a span that is empty is the even point at its place, which others hold only inside.
+    both = peak.unionByName(asked).withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))))
+    size, least = 2 * width, np.iinfo(np.int64).min if whole else -np.inf
+
+    def look(key, table):
+        start, end, val, ask = (table.column(n).to_numpy() for n in ("start", "end", "v", "asked"))
+        first = key[1].as_py() * size
+        low = np.maximum(np.where(end > start, 2 * start + 1, 2 * start) - first, 0)
+        high = np.minimum(np.where(end > start, 2 * end, 2 * start + 1) - first, size)
+        tables = np.stack(_cover(low[~ask], high[~ask], val[~ask], size, least))
+        q = np.flatnonzero(ask)
+        power = np.frexp((high[q] - low[q]).astype(float))[1] - 1
+        best = np.maximum(tables[power, low[q]], tables[power, high[q] - (1 << power)])
+        return table.take(pa.array(q[best > val[q]])).select(["chrom", "start", "end", "v"])
+
+    beaten = both.groupBy("chrom", "b").applyInArrow(look, f"chrom {dict(rows.dtypes)['chrom']}, start long, end long, v {'long' if whole else 'double'}").select(F.col("chrom").alias(c), (F.col("start") + reach).alias(s), (F.col("end") - reach).alias(e), F.col("v").alias(v)).distinct()
     return rows.join(beaten, (F.col("chrom") == F.col(c)) & (F.col("start") == F.col(s)) & (F.col("end") == F.col(e)) & (F.col(value) == F.col(v)), "left_anti")
 
 
