@@ -17,8 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions.sequence import reverse_complement
 from ..sources.alignments import fetch, tiles
-from .clusters import sorted_fold
-from .intervals import overlap_join
+from .clusters import running, sorted_fold
 from .names import free
 from .reads import clipped_part
 
@@ -26,6 +25,8 @@ from .reads import clipped_part
 WORD, WINDOW, COMMON, RARE = 15, 8, 64, 3
 #: Bases between hits of a chain, earlier hits looked at, band beside a chain, and bases beside it that are fetched.
 GAP, BEFORE, BAND, PAD, TILE = 500, 64, 32, 24, 1 << 12
+#: Letters of sequences that are looked at together.
+LETTERS = 1 << 19
 # Scores of the aligner whose place this takes.
 MATCH, MISMATCH, OPEN, EXTEND, LEAST = 1, -4, 6, 1, 30
 _U = np.uint64
@@ -38,13 +39,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def minimizers_of(seq: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, place, whether it stands on the other strand) of the least words of `window` in a row, of both strands' words the lesser one.
-    Words with other letters than ACGT, equal to their reverse, or of one or two letters turn about (poly-A) are none."""
-    codes = _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+def minimizers_of_all(seqs: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the sequence, word, place, whether it stands on the other strand) of the least words of `window` in a row, of both strands' words the lesser one.
+    Words with other letters than ACGT, equal to their reverse, or of one or two letters turn about (poly-A) are none. Sequences are looked at end to end,
+    with a letter between them that no word holds."""
+    codes = _CODE[np.frombuffer("\n".join(seqs).encode("ascii", "replace"), np.uint8)]
     n = len(codes) - WORD + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     here, other, good = np.zeros(n, _U), np.zeros(n, _U), np.ones(n, bool)
     for j in range(WORD):
         c = codes[j : j + n]
@@ -58,10 +60,27 @@ def minimizers_of(seq: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     last = np.minimum(np.arange(n) + WORD - 2, len(changes) - 1)
     good &= (here != other) & (changes[last] - changes[: len(last)] > 0)
     order = np.where(good, _mixed(np.minimum(here, other) + _U(1)), ~_U(0))
-    wide = min(window, n)
-    least = np.unique(np.lib.stride_tricks.sliding_window_view(order, wide).argmin(axis=1) + np.arange(n - wide + 1))
-    least = least[good[least]]
-    return order[least].astype(np.int64), least, (other < here)[least]
+    sizes = np.array([len(x) for x in seqs], np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    words = np.maximum(sizes - WORD + 1, 0)
+    if window == 1:
+        least = np.flatnonzero(good)
+    else:
+        # Windows within a sequence; one with fewer words than a window has them all in one.
+        kept = [start + order[start : start + w].argmin(keepdims=True) for start, w in zip(starts[(words > 0) & (words < window)], words[(words > 0) & (words < window)])]
+        if n >= window:
+            row = np.repeat(np.arange(len(seqs)), sizes + 1)[: n - window + 1]
+            inside = np.flatnonzero(np.arange(n - window + 1) + window <= (starts + words)[row])
+            kept.append(np.lib.stride_tricks.sliding_window_view(order, window)[inside].argmin(axis=1) + inside)
+        least = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        least = least[good[least]]
+    of = np.searchsorted(starts, least, "right") - 1
+    return of, order[least].astype(np.int64), least - starts[of], (other < here)[least]
+
+
+def minimizers_of(seq: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, place, turned) of one sequence."""
+    return minimizers_of_all([seq], window)[1:]
 
 
 def minimizers(rows: DataFrame, keys: list[str], seq: str = "seq", window: int = WINDOW) -> DataFrame:
@@ -70,10 +89,14 @@ def minimizers(rows: DataFrame, keys: list[str], seq: str = "seq", window: int =
 
     def run(batches):
         for batch in batches:
-            found = [minimizers_of(x.as_py() or "", window) for x in batch.column(seq)]
-            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            flat = [np.concatenate([f[k] for f in found]) if found else [] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in keys), pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.bool_())], [*keys, "word", "at", "turned"])
+            seqs, at = [x or "" for x in batch.column(seq).to_pylist()], 0
+            while at < len(seqs):
+                stop, held = at, 0
+                while stop < len(seqs) and (stop == at or held + len(seqs[stop]) < LETTERS):
+                    held, stop = held + len(seqs[stop]) + 1, stop + 1
+                of, word, place, turned = minimizers_of_all(seqs[at:stop], window)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of + at)) for k in keys), pa.array(word), pa.array(place), pa.array(turned)], [*keys, "word", "at", "turned"])
+                at = stop
 
     return rows.select(*keys, seq).mapInArrow(run, f"{kinds}, word long, at long, turned boolean")
 
@@ -299,11 +322,18 @@ def aligned(queries: DataFrame, contigs: DataFrame, index: DataFrame | None = No
 def realigned_counts(spans: DataFrame, clipped: DataFrame, library: DataFrame, least_clip: int = 15, most_other: int = 2) -> DataFrame:
     """(span_id, n): of reads clipped by least_clip bases or more, and by at most most_other on the minor side, those that overlap a span and whose clipped part aligns to the
     library, or doesn't but begins with ten A. spans(span_id, chrom, start, end), clipped: `reads.with_alignment`, library(chrom, seq) of elements.
-    Spans without such reads have 0. A library is of elements, so all its words are looked at."""
+    Spans without such reads, or with an end not behind their start, have 0; ids of spans are unique. A library is of elements, so all its words are looked at."""
     ours = clipped.where((F.col("rlen") - F.col("alen") >= least_clip) & (F.col("alen") > 0) & (F.least(F.col("qstart"), F.col("rlen") - F.col("qend")) <= most_other))
     reads = ours.select("chrom", F.col("pos").alias("start"), F.col("ref_end").alias("end"), clipped_part(F.upper("seq")).alias("part"))
     parts = reads.select("part").distinct().select(F.col("part").alias("query_id"), F.col("part").alias("seq"))
     hits = aligned(parts, library, least=least_clip, window=1).select(F.col("query_id").alias("part")).distinct().withColumn("aligns", F.lit(True))
     told = reads.join(hits, "part", "left").where(F.coalesce("aligns", F.lit(False)) | F.startswith("part", F.lit("A" * 10)))
-    met = overlap_join(spans.select("span_id", "chrom", "start", "end"), told.select(*[F.col(c).alias(f"b_{c}") for c in ("chrom", "start", "end")]), 256)
-    return spans.select("span_id").join(met.groupBy("span_id").agg(F.count(F.lit(1)).alias("n")), "span_id", "left").select("span_id", F.coalesce("n", F.lit(0)).alias("n"))
+    # Reads that begin before a span's end, less those that end before it: spans look both numbers up, and meet no read.
+    lying = told.where("chrom is not null and end >= start")
+    step = F.explode(F.array(F.struct((F.col("start") + 1).cast("long").alias("at"), F.lit(1).alias("begun"), F.lit(0).alias("ended")), F.struct(F.col("end").cast("long").alias("at"), F.lit(0).alias("begun"), F.lit(1).alias("ended"))))
+    steps = lying.select("chrom", step.alias("e")).select("chrom", "e.*").groupBy("chrom", "at").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    wanted = spans.where("start < end").select("span_id", "chrom", F.explode(F.array(F.struct(F.col("end").cast("long").alias("at"), F.lit(True).alias("last")), F.struct(F.col("start").cast("long").alias("at"), F.lit(False).alias("last")))).alias("e")).select("span_id", "chrom", "e.*")
+    marks = wanted.select("chrom", "at").distinct().select("chrom", "at", *[F.lit(0).cast("long").alias(n) for n in ("begun", "ended")])
+    total = running(steps.unionByName(marks), ["chrom"], "at", ["begun", "ended"])
+    met = wanted.join(total, ["chrom", "at"]).groupBy("span_id").agg(F.sum(F.when(F.col("last"), F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
+    return spans.select("span_id").join(met, "span_id", "left").select("span_id", F.coalesce("n", F.lit(0)).alias("n"))
