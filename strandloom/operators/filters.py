@@ -117,8 +117,9 @@ def gene_filter(calls: DataFrame, pseudogenes: DataFrame, genes: DataFrame, widt
 
 
 def map_filter(rows: DataFrame, scores: DataFrame, key: list[str], width: int, cutoff: float = 0.5) -> DataFrame:
-    """Rows(key, chrom, start, end) whose mean score is over the cutoff."""
-    return rows.join(weighted_mean(rows, scores, key, width), key).where(c("mean_score") > cutoff)
+    """Rows(key, chrom, start, end) whose mean score is over the cutoff. Means are compared in nine decimals: the last bits of a sum of doubles depend on its
+    order, and a mean equal to the cutoff isn't over it."""
+    return rows.join(weighted_mean(rows, scores, key, width), key).where(F.round("mean_score", 9) > cutoff)
 
 
 def reason_counts(rows: DataFrame, reasons: str) -> DataFrame:
