@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .consensus import ungapped_best
 from .intervals import overlap_semi
+from .lineage import cut
 from .names import free
 
 #: Score from which an alignment counts, and bases around a call in which an element of the genome is looked for.
@@ -30,11 +31,12 @@ def homology(calls: DataFrame, elements: DataFrame) -> DataFrame:
     3' consensus (of the 5' one where that is NA or null) that aligns to its element and to its site alike, and how well that stretch
     by itself aligns to each, in percent; 0 and NA without one. elements(element, element_seq). Ids are unique; spans are on the consensus
     as it is given, whichever strand aligns; an unknown element aligns to nothing."""
-    rows = calls.join(elements.select("element", "element_seq"), "element", "left").select("UUID", "element_seq", "ref_seq", F.coalesce(_given("Genomic_Consensus_3p"), _given("Genomic_Consensus_5p")).alias("q"))
+    # Kept, as both alignments and the join of both read them.
+    rows = cut(calls.join(elements.select("element", "element_seq"), "element", "left").select("UUID", "element_seq", "ref_seq", F.coalesce(_given("Genomic_Consensus_3p"), _given("Genomic_Consensus_5p")).alias("q")))
     met = rows.join(_best(rows, "element_seq", "i"), "UUID", "left").join(_best(rows, "ref_seq", "g"), "UUID", "left")
     start, end = F.greatest("i.start", "g.start"), F.least("i.end", "g.end")
     shared = F.when(F.col("i").isNotNull() & F.col("g").isNotNull() & (end > start), F.substring("q", (start + 1).cast("int"), (end - start).cast("int")))
-    parts = met.select("UUID", "element_seq", "ref_seq", shared.alias("q"))
+    parts = cut(met.select("UUID", "element_seq", "ref_seq", shared.alias("q")))  # read three times
     again = parts.join(_best(parts, "element_seq", "i"), "UUID", "left").join(_best(parts, "ref_seq", "g"), "UUID", "left")
     identity = lambda x: F.coalesce(F.col(f"{x}.identity"), F.lit(0.0))
     return again.select("UUID", F.coalesce(F.length("q"), F.lit(0)).alias("ChimeraBaseCount"), identity("i").alias("ChimeraMatchIns"), identity("g").alias("ChimeraMatchRef"), F.coalesce("q", F.lit("NA")).alias("InsSiteHomology"))

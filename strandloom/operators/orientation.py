@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .consensus import ungapped_best
 from .evidence import swap_columns
+from .lineage import cut
 from .names import free
 
 #: Score and identity from which an alignment counts, and the identity at which a site itself is like the element.
@@ -35,8 +36,9 @@ def end_alignments(calls: DataFrame, elements: DataFrame) -> DataFrame:
     """(UUID, end, elt, gen) of the 5p and 3p ends of calls(UUID, element, site_seq, Genomic_Consensus_*, Insert_Consensus_*) on elements(element, element_seq). An end whose
     genomic consensus doesn't align to both takes the insert's consensus instead, if that does. Ids are unique; an unknown element aligns to nothing."""
     ends = F.array(*[F.struct(F.lit(e).alias("end"), F.col(f"Genomic_Consensus_{e}").alias("genomic"), F.col(f"Insert_Consensus_{e}").alias("insert")) for e in ("5p", "3p")])
-    rows = calls.join(elements.select("element", "element_seq"), "element", "left").select("UUID", "element_seq", "site_seq", F.explode(ends).alias("e")).select("UUID", "element_seq", "site_seq", "e.*")
-    first = _hits(rows, "genomic")
+    # Kept, as both turns read them, and each of these its sequences twice.
+    rows = cut(calls.join(elements.select("element", "element_seq"), "element", "left").select("UUID", "element_seq", "site_seq", F.explode(ends).alias("e")).select("UUID", "element_seq", "site_seq", "e.*"))
+    first = cut(_hits(rows, "genomic"))  # read twice
     lacking = rows.join(first.where(F.col("elt").isNotNull() & F.col("gen").isNotNull()), ["UUID", "end"], "left_anti")
     again = _hits(lacking, "insert").where(F.col("elt").isNotNull() & F.col("gen").isNotNull())
     both = first.join(again.select("UUID", "end", F.col("elt").alias("elt2"), F.col("gen").alias("gen2")), ["UUID", "end"], "full")
