@@ -97,11 +97,10 @@ def q55_breakend_pairs(spark, d):
 
 @query()
 def q56_matched_breakends(spark, d):
-    """Greedy matching within chains that no pair crosses; breakends without a partner stay single. No SQL: the choice is sequential; a test compares it with a loop."""
+    """Greedy matching in blocks of positions; breakends without a partner stay single. No SQL: the choice is sequential; a test compares it with a loop."""
     ends = cut(be.breakends(_split(spark, d))).withColumn("id", F.concat_ws(":", "chrom", "side", F.col("breakpos").cast("string")))
-    chain = cl.gap_chain(ends, "chrom", "breakpos", "breakpos", 100, "side").where("side = 'left'").select("chrom", F.col("breakpos").alias("left_pos"), "chain")
-    scored = be.breakend_pairs(ends).join(chain, ["chrom", "left_pos"]).withColumns({"l": F.concat_ws(":left:", "chrom", F.col("left_pos").cast("string")), "r": F.concat_ws(":right:", "chrom", F.col("right_pos").cast("string"))})
-    taken = pairing.greedy_pairs(scored, ["chrom", "chain"], "l", "r", "score").select("l", "r", "score")
+    name = lambda side: F.concat_ws(f":{side}:", "chrom", F.col(f"{side}_pos").cast("string"))
+    taken = be.matched(ends).select(name("left").alias("l"), name("right").alias("r"), "score")
     return pairing.with_leftovers(taken, ends.where("side = 'left'").select(F.col("id").alias("l")), ends.where("side = 'right'").select(F.col("id").alias("r")), "l", "r")
 
 

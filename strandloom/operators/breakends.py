@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.sequence import count_of, has_flag, pair_score
-from .clusters import median_cluster, running
+from .clusters import median_cluster, running, sorted_fold
 from .consensus import consensus, sampled, trimmed
 from .intervals import band_pairs, overlap_join
-from .lineage import cut
+from .lineage import cut, written
 from .names import free
 from .reads import DUPLICATE, UNMAPPED, unclipped_start
 
@@ -54,6 +58,70 @@ def breakend_pairs(ends: DataFrame, distance: int = 100, overlap: Column | None
     return met.withColumn("score", F.round(pair_score(F.col("left_pos"), F.col("right_pos"), shared.cast("double"), F.col("left_n"), F.col("right_n")), 4))
 
 
+def matched(ends: DataFrame, distance: int = 100, block: int = 1 << 12) -> DataFrame:
+    """breakend_pairs that are taken by falling score (then left and right position, as text) if neither breakend is used. A breakend is one row.
+
+    Pairs arise within blocks of positions only, and none is a row. A block doesn't know the partners of breakends near its edges, so these are unsure, and so is any breakend
+    that an earlier pair with an unsure one may use; all others are settled. Unsure ones go on to the next turn, in blocks that are
+    half a block off, until none is left: the first pair of all lies inside a block in one of two turns, so turns end. block: more than eight distances."""
+    if block <= 8 * distance:
+        raise ValueError("block must be more than eight distances")
+    spark = ends.sparkSession
+    d = F.col("id")
+    # Of counts only their sum matters, in whole ten-thousandths.
+    base = pair_score(F.lit(0), d, F.greatest(F.lit(0), d + 1).cast("double"), F.lit(0), F.lit(0))
+    flat = np.array([r[0] for r in spark.range(-distance, distance + 1).orderBy("id").select(F.round(F.round(base, 4) * 10_000).cast("long")).collect()], np.int64)
+
+    def settled(at: np.ndarray, left: np.ndarray, n: np.ndarray, low: int, high: int) -> tuple[bytearray, dict[int, int]]:
+        """States of a block's breakends (0 free, 1 unsure, 2 used), and partners of the left ones that are used."""
+        l, r = np.flatnonzero(left), np.flatnonzero(~left)
+        first, last = np.searchsorted(at[r], at[l] - distance), np.searchsorted(at[r], at[l] + distance, "right")
+        many = last - first
+        a = np.repeat(l, many)
+        b = r[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+        text = np.unique(at.astype(str), return_inverse=True)[1]
+        score = flat[at[b] - at[a] + distance] + 10_000 * (n[a] + n[b])
+        order = np.lexsort((text[b], text[a], -score))
+        state, partner = bytearray(((at - distance < low) | (at + distance >= high)).astype(np.uint8).tobytes()), {}
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            u, v = state[x], state[y]
+            if u == 2 or v == 2:
+                continue
+            if u or v:
+                state[x] = state[y] = 1
+            else:
+                state[x] = state[y] = 2
+                partner[x] = y
+        return state, partner
+
+    def fold_of(off: int):
+        def fold(stream):
+            for (chrom, seat), group in groupby(stream, key=lambda row: row[:2]):
+                at, left, n = (np.array(c) for c in list(zip(*group))[2:])
+                state, partner = settled(at, left, n, seat * block - off, (seat + 1) * block - off)
+                for i in np.flatnonzero(np.frombuffer(state, np.uint8) == 1).tolist():
+                    yield chrom, int(at[i]), bool(left[i]), int(n[i]), None, None
+                for x, y in partner.items():
+                    yield chrom, int(at[x]), True, int(n[x]), int(at[y]), int(n[y])
+
+        return fold
+
+    (seat,) = free(ends, "seat")
+    kind = dict(ends.dtypes)["chrom"]
+    open_ = ends.select("chrom", F.col("breakpos").cast("long").alias("pos"), (F.col("side") == "left").alias("is_left"), F.col("n_reads").cast("long").alias("n"))
+    parts, off = [], 0
+    while True:
+        dealt = open_.withColumn(seat, F.floor((F.col("pos") + off) / block))
+        done = written(sorted_fold(dealt, ["chrom", seat], ["pos", "is_left", "n"], f"chrom {kind}, pos long, is_left boolean, n long, right_pos long, right_n long", fold_of(off)))
+        parts.append(done.where("right_pos is not null"))
+        open_ = done.where("right_pos is null").select("chrom", "pos", "is_left", "n")
+        if open_.isEmpty():
+            break
+        off = block // 2 - off
+    whole = reduce(DataFrame.unionByName, parts).select("chrom", F.col("pos").alias("left_pos"), "right_pos", F.col("n").alias("left_n"), "right_n")
+    return whole.withColumn("score", F.round(pair_score(F.col("left_pos"), F.col("right_pos"), F.greatest(F.lit(0), F.col("right_pos") - F.col("left_pos") + 1).cast("double"), F.col("left_n"), F.col("right_n")), 4))
+
+
 def insertion_reasons(max_mapq: Column, n_split: Column, most_per_sample: Column, n_samples: Column | None = None, excluded: Column | None = None, mappability: Column | None = None, least_mapq: int = 10, least_split: int = 4, most_samples: int = 0, least_mappability: float = 0.1) -> Column:
     """Why an insertion is left out, joined by commas, else PASS: the fullest sample is looked at only if all samples
     together have enough split reads, mappability only if nothing else is wrong."""

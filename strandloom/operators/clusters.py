@@ -92,7 +92,9 @@ def sorted_fold(rows: DataFrame, keys: list[str], order: list[str], schema: str,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kinds)
-    return rows.select(*keys, *order).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # A fixed number of tasks: a fold costs far more than its bytes, by which small partitions would be put together.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *order).repartition(tasks, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def median_cluster(rows: DataFrame, key: str, pos: str, distance: int, own: str | None = None) -> DataFrame:
