@@ -27,10 +27,14 @@ def _bases(cigar: Column, ops: str) -> Column:
 
 def with_alignment(reads: DataFrame) -> DataFrame:
     """reads with ref_end, rlen (of the query), alen (on the reference), qstart and qend (of the aligned query), from the CIGAR."""
-    cigar = F.coalesce(F.col("cigar"), F.lit(""))
-    lead, tail = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cigar, "^(?:[0-9]+H)?([0-9]+)S", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("int"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(cigar, "([0-9]+)S(?:[0-9]+H)?$", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("int")
-    alen, rlen = _bases(cigar, "MDN=X"), _bases(cigar, "MIS=X")
-    return reads.withColumns({"alen": alen, "rlen": rlen, "qstart": lead, "qend": rlen - tail, "ref_end": F.col("pos") + alen})
+    cigar, names = F.coalesce(F.col("cigar"), F.lit("")), free(reads, "alen", "rlen", "lead", "tail")
+    clip = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(cigar, pattern, 1), F.lit("")).try_cast("int"), F.lit(0))
+    parts = _bases(cigar, "MDN=X"), _bases(cigar, "MIS=X"), clip("^(?:[0-9]+H)?([0-9]+)S"), clip("([0-9]+)S(?:[0-9]+H)?$")
+    # One row of one: filters on these columns stay behind it, so a CIGAR is read once for a row, however often they are used.
+    once = reads.select("*", F.inline(F.array(F.struct(*[p.alias(n) for p, n in zip(parts, names)]))))
+    alen, rlen, lead, tail = (F.col(n) for n in names)
+    read = {"alen": alen, "rlen": rlen, "qstart": lead, "qend": rlen - tail, "ref_end": F.col("pos") + alen}
+    return once.withColumns(read).drop(*[n for n in names if n not in read])
 
 
 def sample_of(by_group: bool = False) -> Column:
@@ -41,18 +45,21 @@ def sample_of(by_group: bool = False) -> Column:
 
 def last_base_z(qual: Column) -> Column:
     """Rank-sum statistic of all base qualities but the last against the last one: normal, corrected for ties and continuity; 0 if all are equal."""
-    # The sorted qualities as runs of equal ones: as many elements as there are different qualities.
-    sorted_ = F.array_join(F.array_sort(F.split(qual, "")), "")
-    n, last = F.length(qual).cast("double"), F.right(qual, F.lit(1))
-
-    def statistic(runs: Column) -> Column:
-        total = lambda f: F.aggregate(runs, F.lit(0.0), lambda a, r: a + f(r, F.length(r).cast("double")))
-        m, ties = n - 1, total(lambda r, t: t * t * t - t)
-        u = total(lambda r, t: F.when(F.left(r, F.lit(1)) < last, t).when(F.left(r, F.lit(1)) == last, (t - 1) / 2).otherwise(0.0))
-        spread = F.sqrt((1 - ties / (n * n * n - n)) * m * (m + 2) / 12)
-        return F.when((n < 2) | (F.size(runs) < 2), 0.0).otherwise(F.abs((F.greatest(u, m - u) - m / 2 - 0.5) / spread))
-
-    return F.coalesce(F.element_at(F.transform(F.array(F.regexp_extract_all(sorted_, F.lit(r"(?s)((.)\2*)"), F.lit(1))), statistic), 1), F.lit(0.0))
+    # Each different quality is counted once, so nothing is sorted, and equal ones aren't even told apart.
+    def statistic(q: Column) -> Column:
+        n, last = F.length(q).cast("double"), F.right(q, F.lit(1))
+        kinds = F.transform(F.array_distinct(F.split(q, "")), lambda x: F.struct(x.alias("x"), (n - F.length(F.replace(q, x, F.lit("")))).alias("t")))
+
+        def of_kinds(k: Column) -> Column:
+            total = lambda f: F.aggregate(k, F.lit(0.0), lambda a, r: a + f(r["x"], r["t"]))
+            m, ties = n - 1, total(lambda x, t: t * t * t - t)
+            u = total(lambda x, t: F.when(x < last, t).when(x == last, (t - 1) / 2).otherwise(0.0))
+            spread = F.sqrt((1 - ties / (n * n * n - n)) * m * (m + 2) / 12)
+            return F.abs((F.greatest(u, m - u) - m / 2 - 0.5) / spread)
+
+        return F.when((n < 2) | (F.replace(q, last, F.lit("")) == ""), 0.0).otherwise(let(kinds, of_kinds))
+
+    return F.coalesce(let(qual, statistic), F.lit(0.0))
 
 
 def last_base_p(qual: Column, sides: int = 2) -> Column:
