@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cigar import let
+
 # IUPAC codes and their complements.
 CODES, COMPLEMENTS = "acgtrymkbdhvACGTRYMKBDHV", "tgcayrkmvhdbTGCAYRKMVHDB"
 
@@ -127,8 +129,12 @@ def oriented(long: Column, short: Column) -> Column:
 
 def quality_trim_at(values: Column, window: int = 4, least: float = 5.0) -> Column:
     """First index at which the mean of `window` qualities falls below `least`; null if none does. The last window is not looked at."""
-    spots = F.filter(F.sequence(F.lit(0), F.size(values) - window - 1), lambda i: F.aggregate(F.slice(values, i + 1, F.lit(window)), F.lit(0.0), lambda a, x: a + x) / window < least)
-    return F.when(F.size(values) > window, F.try_element_at(spots, F.lit(1)))
+
+    def at(v: Column) -> Column:
+        spots = F.filter(F.sequence(F.lit(0), F.size(v) - window - 1), lambda i: F.aggregate(F.slice(v, i + 1, F.lit(window)), F.lit(0.0), lambda a, x: a + x) / window < least)
+        return F.when(F.size(v) > window, F.try_element_at(spots, F.lit(1)))
+
+    return let(values, at)  # computed once, not for each window
 
 
 def has_flag(flag: Column, bit: int) -> Column:
