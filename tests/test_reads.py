@@ -136,6 +136,15 @@ def test_isolation_finds_planted_outliers(spark):
     assert list(outliers.path(tree, np.arange(8.0)[:, None])) == [walk(0, x) for x in range(8)]
 
 
+def test_isolation_goes_down_all_trees_together():
+    """Whole trees give each row, of any number, the mean of the paths that the trees themselves give."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (700, 3)), 1)
+    trees = [outliers.grow(x[rng.choice(700, 60)], rng, 6) for _ in range(9)]
+    want = np.mean([outliers.path(t, x) for t in trees], axis=0)
+    assert (outliers.mean_path([outliers.laid(t, 6) for t in trees], x, 64) == want).all()
+
+
 def test_sequence_functions(spark):
     cases = [
         (sq.widest_gap(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 5), (9, 12), (16, 20))])), (5, 9)),
