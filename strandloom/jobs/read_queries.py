@@ -332,7 +332,7 @@ fin AS (SELECT ins, CASE WHEN df AND t1 IS NOT NULL AND t2 IS NOT NULL AND NOT c
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
     e = F.expr
-    hits = _x(spark, d).select(F.col("o").alias("ins"), e("1 + n % 2").alias("be"), e("case p % 3 when 0 then 'ALU:Y' when 1 then 'L1:HS' else 'SVA:F' end").alias("target_id"), e("(p * 7 + s) % 60").alias("score"), e("p % 300").alias("target_start"), e("20 + s % 80").alias("target_alnsize"), e("400 + (p % 3) * 10").alias("target_seqsize"), e("case p % 4 when 0 then repeat('A', 40) when 1 then concat('ACGTACGT', repeat('A', 10)) else repeat('ACGT', 8) end").alias("query_align"), F.lit("ACGT").alias("target_align"), e("0.88D + (p % 12) / 100.0D").alias("pct")).distinct()
+    hits = _x(spark, d).select(F.col("o").alias("ins"), e("1 + n % 2").alias("be"), e("case p % 3 when 0 then 'ALU:Y' when 1 then 'L1:HS' else 'SVA:F' end").alias("target_id"), e("(p * 7 + s) % 60").alias("score"), e("p % 300").alias("target_start"), e("20 + s % 80").alias("target_alnsize"), e("400 + (p % 3) * 10").alias("target_seqsize"), e("case p % 4 when 0 then repeat('A', 40) when 1 then concat('ACGTACGT', repeat('A', 10)) else repeat('ACGT', 8) end").alias("query_align"), F.lit("ACGT").alias("target_align"), e("0.88D + (p % 12) / 100.0D").alias("pct"))
     poly = hits.select("ins").distinct().select("ins", F.when(F.col("ins") % 2 == 0, 0.9).otherwise(0.1).alias("be1_poly"), F.when(F.col("ins") % 3 == 0, 0.9).otherwise(0.1).alias("be2_poly"))
     return rs.best_ends(hits, poly)
 

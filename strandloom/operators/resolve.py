@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.sequence import only_poly_a, swap_strand
 
 c = F.col
+#: Hits that a task of best_ends takes, about.
+ROWS = 1 << 19
 HIT = ("target_id", "score", "target_start", "target_alnsize", "target_seqsize", "query_align", "target_align", "pct")
 
 
 def best_ends(hits: DataFrame, ends: DataFrame, least: float = 0.9) -> DataFrame:
     """ins with be1 and be2, the alignments chosen for both ends (null if none), and their best match.
 
-    hits(ins, be, HIT...), ends(ins, be1_poly, be2_poly): the larger poly-A share of an end's sequences. The best hit of an end is that of the
+    hits(ins, be, HIT...), of which copies change nothing, ends(ins, be1_poly, be2_poly): the larger poly-A share of an end's sequences. The best hit of an end is that of the
     highest score (smallest target on ties) over `least`. If targets differ, the lower one (the first on a tie) is replaced by its best on
     the other's target if that costs fewer than 5 points, 20 for a poly-A end; if they still differ, poly-A alignments go; and if the ends
     disagreed at first and both are left, the lower one takes its best on the other's target or none."""
-    good = hits.where(c("pct") > least).withColumn("hit", F.struct(*HIT))
-    by_target = good.groupBy("ins", "be", "target_id").agg(F.min_by("hit", F.struct((-c("score")).alias("s"), "query_align")).alias("hit"))
-    order = F.struct((-c("hit.score")).alias("s"), "target_id")
-    best = by_target.groupBy("ins").agg(F.min_by(F.when(c("be") == 1, c("hit")), F.when(c("be") == 1, order)).alias("b1"), F.min_by(F.when(c("be") == 2, c("hit")), F.when(c("be") == 2, order)).alias("b2"))
-    on = lambda be, other, name: by_target.where(c("be") == be).select("ins", c("target_id").alias("t"), c("hit").alias(name)).join(best.select("ins", c(f"{other}.target_id").alias("t")), ["ins", "t"]).drop("t")
-    met = best.join(on(1, "b2", "n1"), "ins", "left").join(on(2, "b1", "n2"), "ins", "left").join(ends, "ins", "left")
+    good = hits.where(c("pct") > least).select("ins", "be", "target_id", F.struct(*HIT).alias("hit"))
+    # One shuffle by insertion serves all that follows, in tasks of about as many rows whatever the input, so that none holds more of a larger one.
+    tasks = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-good.count() // ROWS))
+    by_target = good.repartition(tasks, "ins").groupBy("ins", "be", "target_id").agg(F.min_by("hit", F.struct((-c("hit.score")).alias("s"), c("hit.query_align"))).alias("hit"))
+    # All best hits of an insertion, at most one for an element and end, in one row: nothing is joined with itself.
+    held = by_target.groupBy("ins").agg(*[F.collect_list(F.when(c("be") == be, c("hit"))).alias(f"h{be}") for be in (1, 2)])
+    top = lambda h: F.array_min(F.transform(h, lambda x: F.struct((-x["score"]).alias("s"), x["target_id"].alias("t"), x.alias("hit"))))["hit"]
+    best = held.select("ins", "h1", "h2", top("h1").alias("b1"), top("h2").alias("b2"))
+    on = lambda h, other: F.get(F.filter(h, lambda x: x["target_id"] == c(f"{other}.target_id")), F.lit(0))
+    met = best.select("ins", "b1", "b2", on("h1", "b2").alias("n1"), on("h2", "b1").alias("n2")).join(ends, "ins", "left")
     differ = F.coalesce(c("b1.target_id") != c("b2.target_id"), F.lit(False))
     first_higher = c("b1.score") > c("b2.score")
     allowed = lambda poly: F.when(c(poly) > 0.75, 20).otherwise(5)
