@@ -9,7 +9,7 @@ from strandloom.functions import cigar as cg
 from strandloom.functions.sequence import reverse_complement
 from strandloom.operators import assembly, chimeras, filters, mapping, orientation, pairing
 from strandloom.operators import reads as rd
-from strandloom.operators.lineage import fresh_folder
+from strandloom.operators.lineage import fresh_folder, written
 from strandloom.sources import alignments as al
 from strandloom.sources import bam
 
@@ -48,11 +48,10 @@ def _genome(spark: SparkSession, d: str) -> DataFrame:
 _GENOME = "WITH g AS (SELECT p_partkey % 5 AS k, count(*) * 128 AS n FROM part GROUP BY 1), o AS (SELECT o_orderkey AS o, 'g' || k AS chrom, (o_orderkey * 7919) % (n - 100) AS pos FROM orders JOIN g ON o_orderkey % 5 = k)"
 
 
-def _pieces(spark: SparkSession, d: str) -> DataFrame:
+def _pieces(spark: SparkSession, d: str, genome: DataFrame) -> DataFrame:
     """Orders as reads of 100 letters of the genome: every third on the other strand, every second with a letter changed."""
-    genome = _genome(spark, d)
     sizes = genome.select("chrom", F.length("seq").alias("n"))
-    spans = _t(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("g"), (F.col("o_orderkey") % 5).cast("string")).alias("chrom")).join(sizes, "chrom").withColumn("start", (F.col("o") * 7919) % (F.col("n") - 100)).withColumn("end", F.col("start") + 100)
+    spans = _t(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("g"), (F.col("o_orderkey") % 5).cast("string")).alias("chrom")).join(F.broadcast(sizes), "chrom").withColumn("start", (F.col("o") * 7919) % (F.col("n") - 100)).withColumn("end", F.col("start") + 100)
     found = al.fetch(spans, al.tiles(genome, 4096), ["o"], 4096)
     changed = F.when(F.col("o") % 2 == 0, F.concat(F.substring("seq", 1, 50), F.translate(F.substring("seq", 51, 1), "ACGT", "CGTA"), F.substring("seq", 52, 49))).otherwise(F.col("seq"))
     return found.select(F.col("o").alias("query_id"), changed.alias("seq")).select("query_id", F.when(F.col("query_id") % 3 == 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
@@ -61,7 +60,8 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_GENOME} SELECT o AS query_id, chrom, pos, CASE WHEN o % 3 = 0 THEN '-' ELSE '+' END AS strand, '100M' AS cigar, CAST(CASE WHEN o % 2 = 0 THEN 95 ELSE 100 END AS BIGINT) AS score, CAST(CASE WHEN o % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS nm,
 CAST(0 AS BIGINT) AS q_start, CAST(100 AS BIGINT) AS q_end FROM o""")
 def q107_genome_alignment(spark, d):
-    return mapping.aligned(_pieces(spark, d), _genome(spark, d)).where("part = 0").select("query_id", "chrom", "pos", "strand", "cigar", "score", "nm", "q_start", "q_end")
+    genome = written(_genome(spark, d))
+    return mapping.aligned(written(_pieces(spark, d, genome)), genome).where("part = 0").select("query_id", "chrom", "pos", "strand", "cigar", "score", "nm", "q_start", "q_end")
 
 
 @query(f"""WITH {_SITES}, r AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p, 'c' || (l_suppkey % 5) AS chrom, 1000 + (l_partkey * 9973 + l_orderkey * 31) % 1000000 AS pos FROM lineitem),
@@ -154,8 +154,9 @@ def q113_resolved_duplicates(spark, d):
 @query("SELECT o_orderkey AS query_id FROM orders WHERE o_orderkey % 4 <> 1")
 def q114_screened(spark, d):
     """Orders as sequences, of which every fourth stands nowhere in the genome."""
-    rows = _pieces(spark, d).withColumn("seq", F.when(F.col("query_id") % 4 == 1, F.substring(_bases("concat('z', query_id)"), 1, 100)).otherwise(F.col("seq")))
-    return filters.screened(rows, "query_id", "seq", _genome(spark, d)).select("query_id")
+    genome = written(_genome(spark, d))
+    rows = _pieces(spark, d, genome).withColumn("seq", F.when(F.col("query_id") % 4 == 1, F.substring(_bases("concat('z', query_id)"), 1, 100)).otherwise(F.col("seq")))
+    return filters.screened(rows, "query_id", "seq", genome).select("query_id")
 
 
 @query(f"""WITH c AS (SELECT p_partkey AS p, p_partkey % 40 AS h, 'c' || (p_partkey % 5) AS chrom, (p_partkey * 7919) % 1000000 AS low, ['L1', 'ALU', 'OTHER'][p_partkey % 3 + 1] AS fam FROM part),

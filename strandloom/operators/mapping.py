@@ -11,13 +11,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.sequence import reverse_complement
-from ..sources.alignments import fetch, tiles
-from .clusters import running, sorted_fold
+from ..sources.alignments import fetch, pieces_of, tiles
+from .clusters import running
+from .lineage import written
 from .names import free
 from .reads import clipped_part
 
@@ -106,10 +108,15 @@ def genome_index(contigs: DataFrame, size: int = 1 << 16, window: int = WINDOW)
     queries. A contig is dealt out in tiles with as much around them as decides whether a place is one. A match of window + WORD - 1 bases
     is always found; window 1 holds all words, for short queries and small libraries."""
     lead, tail = window - 1, window - 1 + WORD - 1
-    number, begin = free(contigs, "tile", "begin")
-    cut_ = contigs.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("seq") / size) - 1)).alias(number))
-    first = F.greatest(F.col(number) * size - lead, F.lit(0))
-    pieces = cut_.select("chrom", number, first.alias(begin), F.substring("seq", (first + 1).cast("int"), ((F.col(number) + 1) * size + tail - first).cast("int")).alias("seq"))
+    size = max(size, tail)
+    number, begin, parts = free(contigs, "tile", "begin", "parts")
+    cut_ = contigs.where(F.length("seq") > 0).select("chrom", pieces_of(F.col("seq"), size).alias(parts))
+    beside = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    around = F.transform(parts, lambda x, i: F.concat(F.right(beside(i - 1), F.lit(lead)), x, F.left(beside(i + 1), F.lit(tail))))
+    laid = cut_.select("chrom", F.posexplode(around).alias(number, "seq")).withColumn(number, F.col(number).cast("long"))
+    # Dealt out: the pieces of a contig come from one task.
+    tasks = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = laid.withColumn(begin, F.greatest(F.col(number) * size - lead, F.lit(0))).repartition(tasks, "chrom", number)
     found = minimizers(pieces, ["chrom", number, begin], window=window).withColumn("at", F.col("at") + F.col(begin))
     return found.where((F.col("at") >= F.col(number) * size) & (F.col("at") < (F.col(number) + 1) * size)).select("word", "chrom", "at", "turned")
 
@@ -123,11 +130,12 @@ def seeds(queries: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     sizes = queries.select("query_id", F.length("seq").cast("long").alias("size"), "seq")
     asked = minimizers(sizes, ["query_id", "size"], window=window)
     counts = index.groupBy("word").agg(F.count(F.lit(1)).alias("places"))
-    known = asked.join(counts, "word")
+    # Neither join is a broadcast: a genome's words are many more than the size of what they are derived from says.
+    known = asked.join(counts.hint("merge"), "word")
     # A query's words are few; those of queries are ranked by them, not by places.
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("places", "word", "at"))
     used = known.withColumn("rank", rank).where((F.col("places") <= COMMON) | (F.col("rank") <= RARE)).select("query_id", "size", "word", F.col("at").alias("q"), F.col("turned").alias("q_turned"))
-    met = used.join(index, "word")
+    met = used.join(index.hint("merge"), "word")
     same = F.col("q_turned") == F.col("turned")
     return met.select("query_id", "size", "chrom", F.when(same, "+").otherwise("-").alias("strand"), F.col("at").alias("ref"), F.when(same, F.col("q")).otherwise(F.col("size") - WORD - F.col("q")).alias("at"))
 
@@ -182,25 +190,94 @@ def chosen(chains: list[tuple], size: int) -> list[tuple]:
 CHAIN = "chain int, chain_score double, second double, chrom string, strand string, q_start long, q_end long, r_start long, r_end long, low long, high long"
 
 
+def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the columns; the first does."""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for name in names:
+        c = table.column(name)
+        unlike = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))
+        one_null = pc.xor(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, len(c) - 1)))
+        out[1:] |= pc.fill_null(unlike, False).to_numpy(zero_copy_only=False) | one_null.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _chains_of(table: pa.Table, names: list[str]) -> pa.Table:
+    """The chains of whole queries' hits (query_id, size, chrom, strand, ref, at), sorted. Hits on one diagonal are one chain, as each goes best with the one
+    before it; where the best chain of a query leaves no other, none are compared. The rest goes through `chained` and `chosen`."""
+    ref, at, size = (table.column(n).to_numpy() for n in ("ref", "at", "size"))
+    new_query, new_group = _starts(table, ["query_id", "size"]), _starts(table, ["chrom", "strand"])
+    first = np.flatnonzero(new_query | new_group | np.append(True, np.diff(ref) > GAP))
+    last = np.append(first[1:], len(ref)) - 1
+    step = np.append(0, np.diff(ref))
+    step[first] = 0
+    shift = ref - at
+    low, high = np.minimum.reduceat(shift, first), np.maximum.reduceat(shift, first)
+    inside = np.ones(len(ref), bool)
+    inside[first] = False
+    plain = (low == high) & (np.add.reduceat(inside & (step <= 0), first) == 0)
+    score = WORD + np.add.reduceat(np.minimum(step, WORD), first).astype(float)
+    plus = pc.equal(table.column("strand"), "+").to_numpy(zero_copy_only=False)[first]
+    q_start, q_end = at[first], at[last] + WORD
+    start, end = np.where(plus, q_start, size[first] - q_end), np.where(plus, q_end, size[first] - q_start)
+    # Stretches by query: the best, if it is alone in its score, and whether it takes the place of all others.
+    query = np.flatnonzero(new_query[first])
+    of = np.repeat(np.arange(len(query)), np.diff(np.append(query, len(first))))
+    top = np.maximum.reduceat(score, query)
+    is_top = score == top[of]
+    best = np.flatnonzero(is_top)[np.searchsorted(of[is_top], np.arange(len(query)))]
+    hidden = 2 * (np.minimum(end, end[best][of]) - np.maximum(start, start[best][of])) > end - start
+    simple = np.logical_and.reduceat(plain & (is_top | hidden), query) & (np.add.reduceat(is_top.astype(int), query) == 1)
+    second = np.maximum.reduceat(np.where(is_top, 0.0, score), query)
+    b = best[simple]
+    rows = pa.array(first[b])
+    taken = lambda n: table.column(n).take(rows).combine_chunks()
+    quick = [taken("query_id"), taken("size"), pa.array(np.zeros(len(b), np.int32)), pa.array(score[b]), pa.array(second[simple]), taken("chrom"), taken("strand"), *(pa.array(x) for x in (q_start[b], q_end[b], ref[first[b]], ref[last[b]] + WORD, low[b], high[b]))]
+    done = [pa.Table.from_arrays(quick, names)]
+    slow: list[tuple] = []
+    for k in np.flatnonzero(~simple).tolist():
+        held, begin = [], query[k]
+        for i in range(begin, query[k + 1] if k + 1 < len(query) else len(first)):
+            chrom, strand = table.column("chrom")[first[i]].as_py(), table.column("strand")[first[i]].as_py()
+            if plain[i]:
+                held.append((score[i], chrom, strand, *(int(x[i]) for x in (q_start, q_end)), int(ref[first[i]]), int(ref[last[i]]) + WORD, int(low[i]), int(high[i])))
+            else:
+                held += [(c[0], chrom, strand, *c[1:]) for c in chained(list(zip(ref[first[i] : last[i] + 1].tolist(), at[first[i] : last[i] + 1].tolist())))]
+        own = int(first[begin])
+        slow += [(own, n, c[0], c[-1], *c[1:-1]) for n, c in enumerate(chosen(held, int(size[own])))]
+    if slow:
+        columns = list(zip(*slow))
+        rows = pa.array(columns[0], pa.int64())
+        kinds = [pa.int32(), pa.float64(), pa.float64(), done[0].schema.field("chrom").type, done[0].schema.field("strand").type, *[pa.int64()] * 6]
+        done.append(pa.Table.from_arrays([taken_at.take(rows).combine_chunks() for taken_at in (table.column("query_id"), table.column("size"))] + [pa.array(c, k) for c, k in zip(columns[1:], kinds)], names))
+    return pa.concat_tables(done)
+
+
 def chains(found: DataFrame) -> DataFrame:
     """(query_id, size, CHAIN) of seeds: the chains of each query, the best one first (0)."""
     kind = dict(found.dtypes)["query_id"]
+    names = ["query_id", "size", *(f.split()[0] for f in CHAIN.split(", "))]
 
-    def fold(stream):
-        for (query, size), rows in groupby(stream, key=lambda r: r[:2]):
-            held = []
-            for (chrom, strand), part in groupby(rows, key=lambda r: r[2:4]):
-                stretch: list[tuple[int, int]] = []
-                for row in part:
-                    if stretch and row[4] - stretch[-1][0] > GAP:
-                        held += [(c[0], chrom, strand, *c[1:]) for c in chained(stretch)]
-                        stretch = []
-                    stretch.append(row[4:6])
-                held += [(c[0], chrom, strand, *c[1:]) for c in chained(stretch)]
-            for k, (score, chrom, strand, *rest, second) in enumerate(chosen(held, size)):
-                yield query, size, k, score, second, chrom, strand, *rest
-
-    return sorted_fold(found, ["query_id"], ["size", "chrom", "strand", "ref", "at"], f"query_id {kind}, size long, {CHAIN}", fold)
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Whole queries are looked at; the last one may go on in the next batch.
+            known = pa.Table.from_batches([*([held[-1].slice(held[-1].num_rows - 1)] if held else []), batch])
+            begins = np.flatnonzero(_starts(known, ["query_id", "size"])[1 if held else 0 :])
+            cut_at = int(begins[-1]) if len(begins) else 0
+            if len(begins) and (held or cut_at):
+                yield from _chains_of(pa.Table.from_batches([*held, batch.slice(0, cut_at)]).combine_chunks(), names).to_batches()
+                held = []
+            held.append(batch.slice(cut_at))
+        if held:
+            yield from _chains_of(pa.Table.from_batches(held).combine_chunks(), names).to_batches()
+
+    order = ["query_id", "size", "chrom", "strand", "ref", "at"]
+    # A fixed number of tasks: chains cost far more than their bytes.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.select(*order).repartition(tasks, "query_id").sortWithinPartitions(*order).mapInArrow(run, f"query_id {kind}, size long, {CHAIN}")
 
 
 def banded(query: str, target: str, low: int, high: int) -> tuple | None:
@@ -294,7 +371,8 @@ def aligned(queries: DataFrame, contigs: DataFrame, index: DataFrame | None = No
     was written before, with the same window.
     """
     asked = queries.select("query_id", F.upper("seq").alias("seq"))
-    found = chains(seeds(asked, genome_index(contigs, window=window) if index is None else index, window))
+    # Index and chains are written, as both are read twice: for counts and places, for the genome's pieces and what is aligned to them.
+    found = written(chains(seeds(asked, written(genome_index(contigs, window=window)) if index is None else index, window)))
     begin = F.greatest(F.col("r_start") - F.col("q_start") - PAD - BAND, F.lit(0))
     spans = found.select("query_id", "chain", "chrom", begin.alias("start"), (F.col("r_end") + F.col("size") - F.col("q_end") + PAD + BAND).alias("end"))
     pieces = fetch(spans, tiles(contigs.select("chrom", F.upper("seq").alias("seq")), TILE), ["query_id", "chain"], TILE, "target")

@@ -88,10 +88,15 @@ def gene_exons(lines: DataFrame) -> DataFrame:
     return counted.select("name", "gene", "chrom", "strand", F.col("tx_start").try_cast("long").alias("tx_start"), F.col("tx_end").try_cast("long").alias("tx_end"), exons.alias("exons"))
 
 
+def pieces_of(seq: Column, size: int) -> Column:
+    """The pieces of `size` letters of a text, in their order, cut in one pass: a substring for each would go through the text from its begin each time."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def tiles(contigs: DataFrame, size: int = TILE) -> DataFrame:
     """(chrom, tile, seq) of contigs(chrom, seq), in pieces of `size` bases."""
-    count = F.ceil(F.length("seq") / size)
-    return contigs.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("tile")).select("chrom", "tile", F.substring("seq", (F.col("tile") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+    cut = contigs.where(F.length("seq") > 0).select("chrom", F.posexplode(pieces_of(F.col("seq"), size)).alias("tile", "seq"))
+    return cut.select("chrom", F.col("tile").cast("long").alias("tile"), "seq")
 
 
 def fetch(spans: DataFrame, tiled: DataFrame, key: list[str], size: int = TILE, out: str = "seq") -> DataFrame:
@@ -102,7 +107,8 @@ def fetch(spans: DataFrame, tiled: DataFrame, key: list[str], size: int = TILE,
     asked = spans.where(low < F.col("end")).select(*key, F.col("chrom").alias("chrom"), low.alias(low_), F.col("end").alias(high_), F.explode(F.sequence(F.floor(low / size), F.floor((F.col("end") - 1) / size))).alias(tile_))
     begin, stop = F.greatest(F.col(low_) - F.col(tile_) * size, F.lit(0)), F.least(F.col(high_) - F.col(tile_) * size, F.lit(size))
     known = tiled.select(F.col("chrom").alias("chrom"), F.col("tile").alias(tile_), F.col("seq").alias(bases))
-    met = asked.join(known, ["chrom", tile_]).withColumn(bases, F.substring(bases, (begin + 1).cast("int"), (stop - begin).cast("int")))
+    # No broadcast: what is known of the size of derived sequences is far too little.
+    met = asked.join(known.hint("merge"), ["chrom", tile_]).withColumn(bases, F.substring(bases, (begin + 1).cast("int"), (stop - begin).cast("int")))
     joined = met.where(F.length(bases) > 0).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(tile_).alias("tile"), F.col(bases).alias("bases")))).alias(parts))
     return joined.select(*key, F.array_join(F.transform(parts, lambda p: p["bases"]), "").alias(out))
 

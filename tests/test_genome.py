@@ -275,3 +275,43 @@ def test_spans_look_up_realigned_reads_and_short_parts_are_cut_together(spark, m
         of, *found = mapping.minimizers_of_all(seqs, window)
         for i, seq in enumerate(seqs):
             assert [x[of == i].tolist() for x in found] == [x.tolist() for x in mapping.minimizers_of(seq, window)]
+
+
+def test_chains_equal_a_loop_over_hits(spark):
+    from itertools import groupby
+
+    draw, hits = random.Random(5), set()
+    for q in range(400):
+        for _ in range(draw.choice([1, 1, 2, 3, 5])):
+            chrom, strand, base = draw.choice("ab"), draw.choice("+-"), draw.randrange(3000)
+            for _ in range(draw.choice([1, 1, 3, 8])):
+                at = draw.randrange(86)
+                hits.add((f"q{q}", 100, chrom, strand, base + at + draw.choice([0] * 9 + [2]), at))
+    want = []
+    for (query, size), rows in groupby(sorted(hits), key=lambda r: r[:2]):
+        held = []
+        for (chrom, strand), part in groupby(rows, key=lambda r: r[2:4]):
+            stretches = [[]]
+            for r in part:
+                if stretches[-1] and r[4] - stretches[-1][-1][0] > mapping.GAP:
+                    stretches.append([])
+                stretches[-1].append(r[4:6])
+            held += [(c[0], chrom, strand, *c[1:]) for s in stretches for c in mapping.chained(s)]
+        want += [(query, size, k, c[0], c[-1], *c[1:-1]) for k, c in enumerate(mapping.chosen(held, size))]
+    frame = spark.createDataFrame(sorted(hits), "query_id string, size long, chrom string, strand string, ref long, at long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in mapping.chains(frame).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter(got) == Counter(want)
+    assert mapping.chains(frame.limit(0)).collect() == []
+
+
+def test_a_genome_derived_from_few_bytes_is_not_broadcast(spark):
+    letters = F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789abcdef", "ACGTACGTACGTACGT")
+    contigs = spark.range(20).groupBy((F.col("id") % 2).cast("string").alias("chrom")).agg(F.array_join(F.collect_list(letters), "").alias("seq"))
+    queries = contigs.select(F.col("chrom").alias("query_id"), F.substring("seq", 101, 100).alias("seq"))
+    plan = mapping.seeds(queries, mapping.genome_index(contigs))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.query_id, r.chrom, r.pos, r.cigar) for r in mapping.aligned(queries, contigs).collect()} == {(c, c, 100, "100M") for c in "01"}
