@@ -156,7 +156,7 @@ def q114_screened(spark, d):
     """Orders as sequences, of which every fourth stands nowhere in the genome."""
     genome = written(_genome(spark, d))
     rows = _pieces(spark, d, genome).withColumn("seq", F.when(F.col("query_id") % 4 == 1, F.substring(_bases("concat('z', query_id)"), 1, 100)).otherwise(F.col("seq")))
-    return filters.screened(rows, "query_id", "seq", genome).select("query_id")
+    return filters.screened(written(rows), "query_id", "seq", genome).select("query_id")
 
 
 @query(f"""WITH c AS (SELECT p_partkey AS p, p_partkey % 40 AS h, 'c' || (p_partkey % 5) AS chrom, (p_partkey * 7919) % 1000000 AS low, ['L1', 'ALU', 'OTHER'][p_partkey % 3 + 1] AS fam FROM part),

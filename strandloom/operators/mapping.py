@@ -27,8 +27,8 @@ from .reads import clipped_part
 WORD, WINDOW, COMMON, RARE = 15, 8, 64, 3
 #: Bases between hits of a chain, earlier hits looked at, band beside a chain, and bases beside it that are fetched.
 GAP, BEFORE, BAND, PAD, TILE = 500, 64, 32, 24, 1 << 12
-#: Letters of sequences that are looked at together.
-LETTERS = 1 << 19
+#: Letters of sequences, and cells of a row of alignments' tables, that are looked at together.
+LETTERS, CELLS = 1 << 19, 1 << 14
 # Scores of the aligner whose place this takes.
 MATCH, MISMATCH, OPEN, EXTEND, LEAST = 1, -4, 6, 1, 30
 _U = np.uint64
@@ -342,10 +342,37 @@ def banded(query: str, target: str, low: int, high: int) -> tuple | None:
     return score, low + i + 1 + k, i + 1, q_end, "".join(f"{len(list(g))}{op}" for op, g in groupby(reversed(ops))), edits
 
 
-def placed(query: str, target: str, low: int, high: int) -> tuple | None:
-    """banded, without its table where one diagonal is best anyway: a gap costs OPEN + EXTEND at least, so no alignment with one beats
-    an ungapped one that loses no more than that."""
-    if low == high and 0 <= low and low + len(query) <= len(target):
+def best_scores(pairs: list[tuple[str, str, int]], size: int, wide: int) -> np.ndarray:
+    """The scores that `banded` finds for (query, target, low), of queries of `size` letters and bands of `wide` diagonals, whose tables are filled side by side; 0 if no base meets."""
+    n = len(pairs)
+    x = np.frombuffer("".join(q.upper() for q, _, _ in pairs).encode("ascii", "replace"), np.uint8).reshape(n, size)
+    known = np.ones(256, np.uint8)
+    known[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"ACGT", np.uint8)
+    laid = np.zeros((n, size + wide - 1), np.uint8)
+    for j, (_, target, low) in enumerate(pairs):
+        a, z = max(low, 0), min(low + size + wide - 1, len(target))
+        if z > a:
+            laid[j, a - low : z - low] = known[np.frombuffer(target[a:z].upper().encode("ascii", "replace"), np.uint8)]
+    far = -(1 << 20)
+    held, down, top = np.zeros((n, wide), np.int32), np.full((n, wide), far, np.int32), np.zeros(n, np.int32)
+    opened, longer, along = (np.full((n, wide), far, np.int32) for _ in range(3))
+    slope = EXTEND * np.arange(wide, dtype=np.int32)
+    for i in range(size):
+        letters = laid[:, i : i + wide]
+        inside = letters != 0
+        opened[:, :-1], longer[:, :-1] = held[:, 1:] - (OPEN + EXTEND), down[:, 1:] - EXTEND
+        down = np.maximum(opened, longer)
+        first = np.where(inside, np.maximum(np.maximum(held + np.where(letters == x[:, i : i + 1], MATCH, MISMATCH).astype(np.int32), down), 0), 0)
+        along[:, 1:] = np.maximum.accumulate(first + slope, axis=1)[:, :-1] - (OPEN + EXTEND) - slope[:-1]
+        held, down = np.where(inside, np.maximum(first, along), 0), np.where(inside, down, far)
+        top = np.maximum(top, held.max(axis=1))
+    return top
+
+
+def on_one_diagonal(query: str, target: str, low: int) -> tuple | None:
+    """banded without its table, where one diagonal is best anyway: a gap costs OPEN + EXTEND at least, so no alignment with one beats
+    an ungapped one that loses no more than that. None if it may not be best."""
+    if 0 <= low and low + len(query) <= len(target):
         x, y = (np.frombuffer(s.upper().encode("ascii", "replace"), np.uint8) for s in (query, target[low : low + len(query)]))
         same = (x == y) & (_CODE[x] < 4)
         sums = np.append(0, np.cumsum(np.where(same, MATCH, MISMATCH)))
@@ -354,7 +381,31 @@ def placed(query: str, target: str, low: int, high: int) -> tuple | None:
         if gain[end] >= len(query) * MATCH - OPEN - EXTEND:
             start = int(end - np.argmin(sums[: end + 1][::-1]))  # the last least sum begins it, as a table's 0 does
             return int(gain[end]), low + start, start, end, f"{end - start}M", int((~same[start:end]).sum())
-    return banded(query, target, low - BAND, high + BAND)
+    return None
+
+
+def placed(query: str, target: str, low: int, high: int) -> tuple | None:
+    """banded with BAND beside the diagonals low to high, without its table where it isn't needed."""
+    return (on_one_diagonal(query, target, low) if low == high else None) or banded(query, target, low - BAND, high + BAND)
+
+
+def all_placed(queries: list[tuple[str, str, int, int]], least: int) -> list[tuple | None]:
+    """placed of each (query, target, low, high) that scores `least` or more, else None. Most chains that chance has made score less, which
+    is found out for CELLS cells of tables at once; only the others' tables are kept and walked back."""
+    out: list[tuple | None] = [on_one_diagonal(q, t, low) if low == high else None for q, t, low, high in queries]
+    left: dict[tuple[int, int], list[int]] = {}
+    for i, (q, _, low, high) in enumerate(queries):
+        if out[i] is None and q:
+            left.setdefault((len(q), high - low + 1 + 2 * BAND), []).append(i)
+    for (size, wide), rows in left.items():
+        together = max(1, CELLS // wide)
+        for k in range(0, len(rows), together):
+            part = rows[k : k + together]
+            scores = best_scores([(queries[i][0], queries[i][1], queries[i][2] - BAND) for i in part], size, wide)
+            for i in (i for i, score in zip(part, scores) if score >= max(least, 1)):
+                q, t, low, high = queries[i]
+                out[i] = banded(q, t, low - BAND, high + BAND)
+    return [hit if hit is not None and hit[0] >= least else None for hit in out]
 
 
 MAPPING = "chrom string, pos long, strand string, cigar string, score long, nm long, mapq int, q_start long, q_end long, part int"
@@ -385,9 +436,10 @@ def aligned(queries: DataFrame, contigs: DataFrame, index: DataFrame | None = No
     def run(batches):
         for batch in batches:
             rows = []
-            for query, seq, target, begin, low, high, chrom, strand, score, second, part in zip(*(c.to_pylist() for c in batch.columns)):
-                hit = placed(seq, target, low - begin, high - begin)
-                if hit is None or hit[0] < least:
+            each = list(zip(*(c.to_pylist() for c in batch.columns)))
+            hits = all_placed([(seq, target, low - begin, high - begin) for _, seq, target, begin, low, high, *_ in each], least)
+            for (query, seq, _, begin, _, _, chrom, strand, score, second, part), hit in zip(each, hits):
+                if hit is None:
                     continue
                 clip = lambda n: f"{n}S" if n else ""
                 rows.append((query, chrom, begin + hit[1], strand, clip(hit[2]) + hit[4] + clip(len(seq) - hit[3]), hit[0], hit[5], max(0, round(60 - 60 * second / score)), hit[2], hit[3], part))

@@ -315,3 +315,17 @@ def test_a_genome_derived_from_few_bytes_is_not_broadcast(spark):
     plan = mapping.seeds(queries, mapping.genome_index(contigs))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert {(r.query_id, r.chrom, r.pos, r.cigar) for r in mapping.aligned(queries, contigs).collect()} == {(c, c, 100, "100M") for c in "01"}
+
+
+def test_tables_filled_side_by_side_give_what_each_gives():
+    draw, queries = random.Random(3), []
+    for _ in range(200):
+        target = genome_of(draw, draw.choice([60, 212]))
+        query = list(target[40:140]) if draw.random() < 0.5 else list(genome_of(draw, 100))
+        for _ in range(draw.randrange(5)):
+            at = draw.randrange(len(query))
+            query[at] = draw.choice(["A", "N", "CC", ""])
+        low = draw.choice([40, 24, -10, 100])
+        queries.append(("".join(query), target, low, low + draw.choice([0, 0, 3])))
+    one = [mapping.placed(*q) for q in queries]
+    assert mapping.all_placed(queries, 30) == [hit if hit and hit[0] >= 30 else None for hit in one]
