@@ -16,7 +16,7 @@ from strandloom.operators import evidence as ev
 from strandloom.operators import filters as fl
 from strandloom.operators import intervals as iv
 from strandloom.operators import outliers, pairing
-from strandloom.operators.lineage import cut
+from strandloom.operators.lineage import cut, written
 from strandloom.operators import reads as rd
 from strandloom.operators import resolve as rs
 
@@ -156,8 +156,9 @@ def q62_junction_support(spark, d):
 
 @query(f"WITH {_BOTH}, b AS (SELECT site, bam, sum(alt) AS a, sum(alt + ref) AS t FROM (SELECT * FROM lft UNION ALL SELECT * FROM rgt) GROUP BY ALL) SELECT site, string_agg(bam || '|' || printf('%.3f', coalesce(a / nullif(t, 0)::DOUBLE, 0)), ',' ORDER BY bam) AS vafs FROM b GROUP BY 1")
 def q63_reference_vaf(spark, d):
-    r, s = _reads(spark, d), _sites(spark, d)
-    return be.reference_vaf(be.junction_support(r, s, "left"), be.junction_support(r, s, "right"))
+    both = written(be.junction_supports(_reads(spark, d), _sites(spark, d)))
+    one = lambda side: both.select("site", "bam", F.col(f"alt_{side}").alias("alt"), "ref")
+    return be.reference_vaf(one("left"), one("right"))
 
 
 _FAR = "(chrom <> mate_chrom OR abs(pos - mate_pos) {op} 10000)"

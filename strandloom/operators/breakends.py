@@ -145,7 +145,7 @@ def _usable(reads: DataFrame, least_mapq: int) -> DataFrame:
     good = reads.where(~has_flag(F.col("flag"), UNMAPPED) & ~has_flag(F.col("flag"), DUPLICATE) & (F.col("mapq") >= least_mapq))
     slim = good.select("chrom", F.col("pos").cast("long").alias("pos"), F.col("ref_end").cast("long").alias("ref_end"), "bam", "alen", F.col("qstart").alias("left"), (F.col("rlen") - F.col("qend")).alias("right"), (F.col("alen") == F.col("rlen")).alias("plain"))
     simple = (F.col("alen") > SHORT) & (F.col("pos") >= 0) & ~(F.col("plain") & (F.greatest("left", "right") > 0))
-    return cut(slim.where("chrom is not null and pos is not null and ref_end is not null").withColumn("simple", simple))
+    return written(slim.where("chrom is not null and pos is not null and ref_end is not null").withColumn("simple", simple))
 
 
 def _spots(sites: DataFrame, reach: int) -> DataFrame:
@@ -169,16 +169,22 @@ def _summed(usable: DataFrame, spots: DataFrame, streams: dict[str, tuple[Column
     """(chrom, low, high, bam, terms) of simple reads at narrow places, from numbers of reads up to positions: a place looks some of them up, and meets no read.
 
     streams: which reads count, and at which position. terms: signs, streams, and positions up to which they are taken."""
-    every = F.array(*[F.when(test, F.struct(at.alias("at"), *[F.lit(int(n == name)).alias(n) for n in streams])) for name, (test, at) in streams.items()])
+    # Streams that count at the same position of a read are one row.
+    spots_of: dict[str, tuple[Column, dict[str, Column]]] = {}
+    for name, (test, at) in streams.items():
+        spots_of.setdefault(str(at), (at, {}))[1][name] = test
+    told = lambda tests, n: F.when(tests[n], 1).otherwise(0) if n in tests else F.lit(0)
+    every = F.array(*[F.when(reduce(lambda x, y: x | y, tests.values()), F.struct(at.alias("at"), *[told(tests, n).alias(n) for n in streams])) for at, tests in spots_of.values()])
     steps = usable.where("simple").select("chrom", "bam", F.explode(F.array_compact(every)).alias("e")).select("chrom", "bam", "e.*").groupBy("chrom", "bam", "at").agg(*[F.sum(n).alias(n) for n in streams])
-    steps = cut(steps)
+    steps = written(steps)
     flat = [(t, sign, name, at) for t, parts in terms.items() for sign, name, at in parts]
     asked = spots.where("narrow").select("chrom", "low", "high", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), at.cast("long").alias("at")) for i, (_, _, _, at) in enumerate(flat)])).alias("x")).select("chrom", "low", "high", "x.i", "x.at")
     # Each file's own numbers at each position that is asked for; files are few.
     marks = asked.select("chrom", "at").distinct().join(steps.select("chrom", "bam").distinct(), "chrom").select("chrom", "bam", "at", *[F.lit(0).cast("long").alias(n) for n in streams], F.lit(1).cast("long").alias("asked"))
     total = running(steps.withColumn("asked", F.lit(0).cast("long")).unionByName(marks), ["chrom", "bam"], "at", list(streams))
     value = F.coalesce(*[F.when(F.col("i") == i, sign * F.col(name)) for i, (_, sign, name, _) in enumerate(flat)])
-    found = asked.join(total, ["chrom", "at"]).select("chrom", "low", "high", "bam", "i", value.alias("v"))
+    # No broadcast, here and where sites meet: a table of sites takes far fewer bytes than what is asked for them, by which Spark would choose.
+    found = asked.hint("merge").join(total, ["chrom", "at"]).select("chrom", "low", "high", "bam", "i", value.alias("v"))
     return found.groupBy("chrom", "low", "high", "bam").agg(*[F.sum(F.when(F.col("i").isin([i for i, f in enumerate(flat) if f[0] == t]), F.col("v")).otherwise(0)).alias(t) for t in terms])
 
 
@@ -199,7 +205,7 @@ def _at_sites(sites: DataFrame, parts: list[DataFrame], names: list[str]) -> Dat
         whole = whole.unionByName(p)
     found = whole.groupBy("chrom", "low", "high", "bam").agg(*[F.sum(n).alias(n) for n in ("near", *names)]).where("near > 0")
     placed = sites.select("site", F.col("site_chrom").alias("chrom"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
-    return placed.join(found, ["chrom", "low", "high"]).groupBy("site", "bam").agg(*[F.sum(n).alias(n) for n in ("near", *names)])
+    return placed.hint("merge").join(found, ["chrom", "low", "high"]).groupBy("site", "bam").agg(*[F.sum(n).alias(n) for n in ("near", *names)])
 
 
 def break_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1, least_mapq: int = 10, width: int = 1024) -> DataFrame:
@@ -220,7 +226,7 @@ def break_counts(reads: DataFrame, sites: DataFrame, pad: int = 5, flex: int = 1
     breaks = usable.where("simple").select("chrom", "bam", F.explode(kinds).alias("e")).groupBy("chrom", "bam", "e.at", "e.clip").agg(F.count(F.lit(1)).alias("k"))
     beside = F.array_distinct(F.concat(*[F.sequence(F.col(c) - flex, F.col(c) + flex) for c in ("low", "high")]))
     asked = spots.where("narrow").select("chrom", "low", "high", F.explode(beside).alias("at"))
-    hits = asked.join(breaks, ["chrom", "at"]).where(F.col("clip") > long).groupBy("chrom", "low", "high", "bam").agg(F.sum("k").alias("alt"))
+    hits = asked.hint("merge").join(breaks, ["chrom", "at"]).where(F.col("clip") > long).groupBy("chrom", "low", "high", "bam").agg(F.sum("k").alias("alt"))
     zero = lambda n: F.lit(0).cast("long").alias(n)
     met = _at_sites(sites, [pairs, sums.select("*", zero("alt")), hits.select("*", zero("near"), zero("ref"))], ["alt", "ref"])
     return met.select("site", "bam", "alt", "ref").withColumn("vaf", F.coalesce(F.try_divide(F.col("alt").cast("double"), F.col("alt") + F.col("ref")), F.lit(0.0)))
@@ -251,33 +257,39 @@ def junction_modes(reads: DataFrame, sites: DataFrame, window: int = 200, least:
     # At the window's first position only reads that go on behind it overlap it.
     left, right = F.struct(F.col("pos").alias("p"), (F.col("ref_end") > F.col("pos")).alias("goes_on")), F.struct(F.col("ref_end").alias("p"), F.lit(False).alias("goes_on"))
     ends = usable.select("chrom", F.explode(F.array_compact(F.array(F.when(F.col("left") > 0, left), F.when(F.col("right") > 0, right)))).alias("e")).groupBy("chrom", "e.p").agg(F.count(F.lit(1)).alias("k"), F.count_if("e.goes_on").alias("k_on"))
-    ends = cut(ends)
+    ends = written(ends)
     places = sites.select(F.col("site_chrom").alias("chrom"), F.col("low").cast("long").alias("p")).distinct()
     seats = F.explode(F.sequence(F.floor((F.col("p") - window) / block), F.floor((F.col("p") + window) / block)))
     both = ends.select("chrom", "p", "k", F.lit(False).alias("asked"), seats.alias("b")).unionByName(places.select("chrom", "p", F.lit(None).cast("long").alias("k"), F.lit(True).alias("asked"), F.floor(F.col("p") / block).alias("b")))
     around = W.partitionBy("chrom", "b").orderBy("p").rangeBetween(1 - window, window)
     top = both.withColumns({"n": F.sum("k").over(around), "t": F.min(F.when(F.col("k").isNotNull(), F.struct((-F.col("k")).alias("m"), "p"))).over(around)}).where("asked").select("chrom", F.col("p").alias("low"), "n", "t")
     first = ends.where("k_on > 0").select("chrom", (F.col("p") + window).alias("low"), F.col("k_on").alias("n"), F.struct((-F.col("k_on")).alias("m"), "p").alias("t"))
-    found = top.unionByName(first.join(places.select("chrom", F.col("p").alias("low")), ["chrom", "low"], "left_semi")).groupBy("chrom", "low").agg(F.sum("n").alias("n"), F.min("t").alias("t"))
-    placed = sites.select("site", F.col("site_chrom").alias("chrom"), F.col("low").alias("low")).join(found, ["chrom", "low"], "left")
+    found = top.unionByName(first.join(places.select("chrom", F.col("p").alias("low")).hint("merge"), ["chrom", "low"], "left_semi")).groupBy("chrom", "low").agg(F.sum("n").alias("n"), F.min("t").alias("t"))
+    placed = sites.select("site", F.col("site_chrom").alias("chrom"), F.col("low").alias("low")).join(found.hint("merge"), ["chrom", "low"], "left")
     sure = (F.col("n") >= least) & (-F.col("t.m") >= share * F.col("n"))
     return placed.select("site", F.when(sure, F.col("t.p")).otherwise(F.col("low")).alias("junction"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def junction_support(reads: DataFrame, sites: DataFrame, side: str, margin: int = 5, least_mapq: int = 10, width: int = 1024) -> DataFrame:
-    """(site, bam, alt, ref): unclipped reads that strictly span low - margin and high + margin are ref; others with a soft
-    clip on the side, within margin and the site's length of its break, are alt."""
+def junction_supports(reads: DataFrame, sites: DataFrame, sides: tuple[str, ...] = ("left", "right"), margin: int = 5, least_mapq: int = 10, width: int = 1024) -> DataFrame:
+    """(site, bam, alt_left, alt_right, ref), of the sides that are named: unclipped reads that strictly span low - margin and high + margin are ref; others
+    with a soft clip on a side, within margin and the site's length of its break, are its alt. Reads are looked through once for both."""
     usable, spots = _usable(reads, least_mapq), cut(_spots(sites, margin))
     low, high, size = F.col("low"), F.col("high"), F.col("high") - F.col("low")
     ref = F.col("plain") & (F.col("pos") < low - margin) & (F.col("ref_end") > high + margin)
-    edge = F.col("pos") if side == "left" else F.col("ref_end")
-    alt = ~ref & (F.col(side) > 0) & (F.abs(edge - low) <= margin + size)
-    pairs = _paired(usable, spots, margin, width).groupBy("chrom", "low", "high", "bam").agg(F.count(F.lit(1)).alias("near"), F.count_if(alt).alias("alt"), F.count_if(ref).alias("ref"))
+    edge = {"left": F.col("pos"), "right": F.col("ref_end")}
+    alt = {side: ~ref & (F.col(side) > 0) & (F.abs(edge[side] - low) <= margin + size) for side in sides}
+    pairs = _paired(usable, spots, margin, width).groupBy("chrom", "low", "high", "bam").agg(F.count(F.lit(1)).alias("near"), *[F.count_if(test).alias(f"alt_{side}") for side, test in alt.items()], F.count_if(ref).alias("ref"))
     # A long read that ends behind a place's begin can lie before it with its left break, not with its right one.
-    begin = low - margin - size - 1 if side == "left" else F.greatest(low - margin, F.lit(0))
-    stream = f"{side}_at"
-    sums = _summed(usable, spots, {k: s for k, s in _streams().items() if k == stream or not k.endswith("_at")}, {"near": _overlapping(margin), "alt": [(1, stream, high + margin), (-1, stream, begin)], "ref": [(1, "plain_begun", low - margin), (-1, "plain_ended", high + margin)]})
-    return _at_sites(sites, [pairs, sums], ["alt", "ref"]).select("site", "bam", "alt", "ref")
+    begin = {"left": low - margin - size - 1, "right": F.greatest(low - margin, F.lit(0))}
+    terms = {f"alt_{side}": [(1, f"{side}_at", high + margin), (-1, f"{side}_at", begin[side])] for side in sides}
+    streams = {k: s for k, s in _streams().items() if k.removesuffix("_at") in sides or not k.endswith("_at")}
+    sums = _summed(usable, spots, streams, {"near": _overlapping(margin), **terms, "ref": [(1, "plain_begun", low - margin), (-1, "plain_ended", high + margin)]})
+    return _at_sites(sites, [pairs, sums], [*terms, "ref"]).select("site", "bam", *terms, "ref")
+
+
+def junction_support(reads: DataFrame, sites: DataFrame, side: str, margin: int = 5, least_mapq: int = 10, width: int = 1024) -> DataFrame:
+    """(site, bam, alt, ref): junction_supports of one side."""
+    return junction_supports(reads, sites, (side,), margin, least_mapq, width).withColumnRenamed(f"alt_{side}", "alt")
 
 
 def reference_vaf(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -465,5 +465,5 @@ def realigned_counts(spans: DataFrame, clipped: DataFrame, library: DataFrame, l
     wanted = spans.where("start < end").select("span_id", "chrom", F.explode(F.array(F.struct(F.col("end").cast("long").alias("at"), F.lit(True).alias("last")), F.struct(F.col("start").cast("long").alias("at"), F.lit(False).alias("last")))).alias("e")).select("span_id", "chrom", "e.*")
     marks = wanted.select("chrom", "at").distinct().select("chrom", "at", *[F.lit(0).cast("long").alias(n) for n in ("begun", "ended")])
     total = running(steps.unionByName(marks), ["chrom"], "at", ["begun", "ended"])
-    met = wanted.join(total, ["chrom", "at"]).groupBy("span_id").agg(F.sum(F.when(F.col("last"), F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
+    met = wanted.hint("merge").join(total, ["chrom", "at"]).groupBy("span_id").agg(F.sum(F.when(F.col("last"), F.col("begun")).otherwise(-F.col("ended"))).alias("n"))
     return spans.select("span_id").join(met, "span_id", "left").select("span_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -130,3 +130,16 @@ def test_best_ends_are_one_shuffle_of_hits(spark, monkeypatch):
 
     got = {r.ins: tuple(x and (x.target_id, x.score) for x in (r.be1, r.be2)) for r in out.collect()}
     assert got == {i: chosen(i) for i in {h[0] for h in hits}}
+
+
+def test_sites_of_few_bytes_are_not_broadcast(spark):
+    from strandloom.operators import breakends as be
+
+    reads = spark.range(300).selectExpr("'c' as chrom", "id * 7 % 900 as pos", "id * 7 % 900 + 60 as ref_end", "concat('b', id % 2) as bam", "0 as flag", "60 as mapq", "60 as alen", "if(id % 3 = 0, 0, 8) as qstart", "if(id % 3 = 0, 60, 68) as qend", "if(id % 3 = 0, 60, 68) as rlen")
+    sites = spark.range(40).selectExpr("id as site", "'c' as site_chrom", "id * 21 as low", "id * 21 + id % 4 as high")
+    both = be.junction_supports(reads, sites)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("at#" in line or "low#" in line)]
+    for side in ("left", "right"):
+        want = {(r.site, r.bam, r.alt, r.ref) for r in be.junction_support(reads, sites, side).collect()}
+        assert {(r.site, r.bam, r[f"alt_{side}"], r.ref) for r in both.collect()} == want
