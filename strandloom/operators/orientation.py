@@ -16,6 +16,8 @@ from .names import free
 
 #: Score and identity from which an alignment counts, and the identity at which a site itself is like the element.
 LEAST_SCORE, LEAST_IDENTITY, SELF_IDENTITY = 100, 0.9, 0.95
+#: What an alignment may lose on its way, as with the aligner whose place this takes: else a run of N, or of unlike bases, is bridged wherever chance has bases meet behind it.
+DROP = 30
 # Columns of both ends, which change places when ends do.
 BY_END = (
     ("5_Prime_End", "3_Prime_End"), ("Orient_5p", "Orient_3p"), ("5p_Elt_Match", "3p_Elt_Match"), ("5p_Genome_Match", "3p_Genome_Match"), ("Split_reads_5prime", "Split_reads_3prime"), ("5p_Cons_Len", "3p_Cons_Len"),
@@ -27,7 +29,7 @@ def _hits(rows: DataFrame, consensus: str) -> DataFrame:
     """(UUID, end, elt, gen) of rows(UUID, end, element_seq, site_seq, consensus): structs of strand, start and end on the element or site, null without an alignment."""
     kinds = F.array(F.struct(F.lit("elt").alias("kind"), F.col("element_seq").alias("t")), F.struct(F.lit("gen").alias("kind"), F.col("site_seq").alias("t")))
     pairs = rows.select("UUID", "end", F.upper(consensus).alias("q"), F.explode(kinds).alias("k")).select("UUID", "end", "q", "k.kind", F.upper("k.t").alias("t")).where((F.length("q") > 0) & (F.length("t") > 0))
-    best = ungapped_best(pairs, "q", "t", LEAST_IDENTITY).where(F.col("score") >= LEAST_SCORE)
+    best = ungapped_best(pairs, "q", "t", LEAST_IDENTITY, DROP).where(F.col("score") >= LEAST_SCORE)
     hit = F.struct("strand", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
     return best.groupBy("UUID", "end").agg(F.max(F.when(F.col("kind") == "elt", hit)).alias("elt"), F.max(F.when(F.col("kind") == "gen", hit)).alias("gen"))
 
@@ -68,4 +70,4 @@ def repaired(calls: DataFrame, elements: DataFrame, passed: Column | None = None
 def self_aligned(calls: DataFrame, elements: DataFrame) -> DataFrame:
     """(UUID) of calls(UUID, element, around_seq) whose own site, with what is fetched around it, is like their element: SELF_IDENTITY of the best stretch."""
     pairs = calls.join(elements.select("element", "element_seq"), "element").select("UUID", F.upper("element_seq").alias("q"), F.upper("around_seq").alias("t")).where((F.length("q") > 0) & (F.length("t") > 0))
-    return ungapped_best(pairs, "q", "t", SELF_IDENTITY).where(F.col("score") >= LEAST_SCORE).select("UUID").distinct()
+    return ungapped_best(pairs, "q", "t", SELF_IDENTITY, DROP).where(F.col("score") >= LEAST_SCORE).select("UUID").distinct()

@@ -143,3 +143,51 @@ def test_sites_of_few_bytes_are_not_broadcast(spark):
     for side in ("left", "right"):
         want = {(r.site, r.bam, r.alt, r.ref) for r in be.junction_support(reads, sites, side).collect()}
         assert {(r.site, r.bam, r[f"alt_{side}"], r.ref) for r in both.collect()} == want
+
+
+def test_unlike_bases_between_good_ones_are_not_bridged(spark, tmp_path):
+    """Parts whose letters behind the run of N meet the element's, or the site's, by chance (of 480,000 parts these six)."""
+    import duckdb
+
+    from strandloom.jobs.registry import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(p,) for p in (134376, 142132, 170439, 319019, 371460, 543724, 11, 13)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    name = "Q112_orientation_repair"
+    got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == set(c.sql(ORACLE_SQL[name]).fetchall())
+
+
+def test_dropped_stretches_equal_a_plain_search():
+    import random
+
+    from strandloom.operators import consensus as cs
+
+    draw, pairs = random.Random(4), []
+    for _ in range(300):
+        t = "".join(draw.choice("ACGT") for _ in range(60))
+        q = "".join(c if draw.random() < 0.6 else draw.choice("ACGTN") for c in t[draw.randrange(9) :][: draw.randrange(20, 50)])
+        pairs.append((q, t))
+
+    def plain(q, t, drop):
+        best = (0, -1)
+        for k in range(len(q) + len(t) - 1):
+            now = peak = begin = same = 0
+            for j, c in enumerate(q):
+                at = k - len(q) + 1 + j
+                hit = 0 <= at < len(t) and t[at] == c != "N"
+                now, same = now + (cs.FLAT_MATCH if hit else cs.FLAT_MISMATCH), same + hit
+                peak = max(peak, now)
+                if now <= 0 or now < peak - drop:
+                    now, peak, begin, same = 0, 0, j + 1, 0
+                elif now > best[0]:
+                    shift = at - j
+                    best = (now, begin, j + 1, begin + shift, j + 1 + shift, same)
+        return best if best[0] else None
+
+    for drop in (8, 16, 30):
+        for (q, t), hit in zip(pairs, cs.ungapped_hits(*map(list, zip(*pairs)), drop)):
+            assert hit[0] == plain(q, t, drop)[0]
+            assert sum(cs.FLAT_MATCH if a == b != "N" else cs.FLAT_MISMATCH for a, b in zip(q[hit[1] : hit[2]], t[hit[3] : hit[4]])) == hit[0]
