@@ -132,7 +132,8 @@ def quality_trim_at(values: Column, window: int = 4, least: float = 5.0) -> Colu
 
     def at(v: Column) -> Column:
         spots = F.filter(F.sequence(F.lit(0), F.size(v) - window - 1), lambda i: F.aggregate(F.slice(v, i + 1, F.lit(window)), F.lit(0.0), lambda a, x: a + x) / window < least)
-        return F.when(F.size(v) > window, F.try_element_at(spots, F.lit(1)))
+        # A mean is no less than the least of its values, so most have no window that must be looked at.
+        return F.when((F.size(v) > window) & (F.array_min(v) < least), F.try_element_at(spots, F.lit(1)))
 
     return let(values, at)  # computed once, not for each window
 
